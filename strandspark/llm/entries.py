@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontaminate, quality, simhash, tokens
+from strandspark.llm import decontaminate, language_model, quality, simhash, tokens
 from strandspark.llm.common import fold, one_label, table
 
 QUALITY_KEEPS = 0.3
@@ -31,6 +31,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = fold(F.col("doc_id"))
+    tune = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5) % 8 == 0
+    return language_model.score(table(spark, sf_dir, "documents"), rest != 1, rest == 1, tune)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
