@@ -26,8 +26,9 @@ from strandspark.llm.components import connected_components
 from strandspark.session import materialise, ship
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
-#: Rows of a bucket, rows of one (block, value) group before it is dealt out again, children of a node.
-BUCKET, GROUP, FAN = 20_000, 8_192, 8
+#: Rows of a bucket, rows of one (block, value) group before it is dealt out again, children of a node, pairs of
+#: nodes descended at a time.
+BUCKET, GROUP, FAN, PAIRS = 16_000, 8_192, 8, 4_096
 FULL = (1 << 64) - 1
 
 
@@ -102,28 +103,28 @@ def index_links(fps: np.ndarray, masks: np.ndarray, distance: int = DISTANCE) ->
     i, j = np.triu_indices(len(values[top]))
     shared = agree[top][i] & agree[top][j]
     acc = np.bitwise_count((values[top][i] ^ values[top][j]) & shared).astype(np.int64)
+    down = np.arange(FAN)
     stack = [(top, i, j, shared, acc)]
     while stack:
         level, i, j, seen, acc = stack.pop()
         on = acc <= distance
         i, j, seen, acc = i[on], j[on], seen[on], acc[on]
-        if not len(i):
-            continue
         if level == 0:
             label = _merge_labels(label, i[i != j], j[i != j])
             continue
-        for at in range(0, len(i), 8_192):
-            s = slice(at, at + 8_192)
-            down = np.arange(FAN)
-            ci = (i[s, None, None] * FAN + down[None, :, None] + 0 * down[None, None, :]).ravel()
-            cj = (j[s, None, None] * FAN + 0 * down[None, :, None] + down[None, None, :]).ravel()
-            size = len(values[level - 1])
-            real = (ci < size) & (cj < size) & (ci <= cj)
-            ci, cj = ci[real], cj[real]
-            before, so_far = np.repeat(seen[s], FAN * FAN)[real], np.repeat(acc[s], FAN * FAN)[real]
-            both = agree[level - 1][ci] & agree[level - 1][cj]
-            more = np.bitwise_count((values[level - 1][ci] ^ values[level - 1][cj]) & both & ~before)
-            stack.append((level - 1, ci, cj, both, so_far + more))
+        if len(i) > PAIRS:  # the rest waits: what is held stays small however many pairs are left
+            stack.append((level, i[PAIRS:], j[PAIRS:], seen[PAIRS:], acc[PAIRS:]))
+            i, j, seen, acc = i[:PAIRS], j[:PAIRS], seen[:PAIRS], acc[:PAIRS]
+        if not len(i):
+            continue
+        below = len(values[level - 1])
+        ci, cj = (np.repeat(i * FAN, FAN * FAN).reshape(-1, FAN, FAN) + down[:, None]).ravel(), (np.repeat(j * FAN, FAN * FAN).reshape(-1, FAN, FAN) + down).ravel()
+        real = np.flatnonzero((ci < below) & (cj < below) & (ci <= cj))
+        ci, cj, parent = ci[real], cj[real], real // (FAN * FAN)
+        both = agree[level - 1][ci] & agree[level - 1][cj]
+        acc = acc[parent] + np.bitwise_count((values[level - 1][ci] ^ values[level - 1][cj]) & both & ~seen[parent])
+        on = acc <= distance
+        stack.append((level - 1, ci[on], cj[on], both[on], acc[on]))
     first = np.full(n, n)
     np.minimum.at(first, label, order)
     out = np.empty(n, np.int64)
