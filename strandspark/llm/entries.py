@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, mixing, quality, simhash, tokens
+from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, mixing, quality, simhash, tokens, toxicity
 from strandspark.llm.common import fold, one_label, table
 
 QUALITY_KEEPS = 0.3
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = one_label(table(spark, sf_dir, "labels"), "toxic")
+    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), labels, lambda i: fold(i) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = one_label(table(spark, sf_dir, "labels"), "quality")
     scored = quality.quality_scores(table(spark, sf_dir, "documents"), labels, lambda i: fold(i) != 0)
