@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, mixing, quality, simhash, tokens, toxicity
+from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, mixing, quality, simhash, tokens, toxicity, warc
 from strandspark.llm.common import fold, one_label, table
 
 QUALITY_KEEPS = 0.3
@@ -49,6 +49,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = fold(F.col("doc_id"))
     tune = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 5) % 8 == 0
@@ -66,4 +70,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.equal_mix_sql()}
+    return {
+        "op3_mix_sources": mixing.equal_mix_sql(),
+        "op8_warc": """
+            WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL),
+            o AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS owner FROM p)
+            SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN owner <> page_id THEN owner END AS refers_to FROM o""",
+    }
