@@ -294,3 +294,11 @@ def brute(doc: str | None, items: dict[str, str | None], window: int = WINDOW) -
                     names.add(item)
     n = sum(hit)
     return len(ws), n, sorted(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n > 0 and 20 * n >= len(ws)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``docs`` without contaminated rows, all columns as they were."""
+    names = [free_name(docs, f"column_{k}") for k in range(len(docs.columns))]
+    text = names[docs.columns.index(options.pop("text_col", "text"))]
+    found = contaminated(docs.toDF(*names), items, names, text_col=text, **options)
+    return found.where("not contaminated").select(names).toDF(*docs.columns)
