@@ -1 +1 @@
-
+"""Column functions: activations, distributions, array operators, quality scores."""
