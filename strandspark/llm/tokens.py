@@ -50,7 +50,8 @@ def _ranges(kind: str) -> str:
 def pretoken_patterns() -> tuple[re.Pattern, re.Pattern]:
     """The pre-token rule of byte-level BPE for settled characters, and what finds any other character."""
     letters, numbers = _ranges("L"), _ranges("N")
-    rule = f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^\\s{letters}{numbers}]+|\\s+(?!\\S)|\\s+"
+    space = "\\t-\\r \\x85\\xa0"  # without the separators 1c to 1f, which are no white space in Unicode
+    rule = f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
     return re.compile(rule), re.compile(f"[^\\u0000-\\u{SETTLED - 1:04x}\\u2010-\\u2027\\u20ac]")
 
 
