@@ -39,7 +39,7 @@ from strandspark.session import materialise, ship
 DECAY, STRETCH, LETTERS = 0.8, 9, 64
 TRAIN_DOCS, TRAIN_UNITS, TRAIN_GRAMS = 3_000, 40_000, 5_000
 LANDMARKS, BACKGROUND, GRAMS = 48, 12, (4, 5, 6)
-WINDOW, HOP, CACHE = 24, 12, 400_000
+WINDOW, HOP, CACHE = 16, 8, 400_000
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 _codes: list[np.ndarray] = []
@@ -134,7 +134,7 @@ def marking_sequences(sample: DataFrame) -> pd.DataFrame:
                         seen.update(u[i : i + n] for i in range(min(len(u), 2 * WINDOW) - n + 1))
                 count[int(label)].update(g for g in seen if g.isalpha())
             both = list(count[0].keys() | count[1].keys())
-            yield pd.DataFrame({"gram": both, "pos": [count[1][g] for g in both], "neg": [count[0][g] for g in both]})
+            yield pd.DataFrame({"gram": pd.Series(both, dtype=object), "pos": np.array([count[1][g] for g in both], np.int64), "neg": np.array([count[0][g] for g in both], np.int64)})
 
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     share = F.lit(n.get(1, 0) / max(1, sum(n.values())))
@@ -239,7 +239,7 @@ def labelled_sentences(sample: DataFrame) -> DataFrame:
                 for s in _SENTENCE.split(text or ""):
                     count[int(label)].update(u.strip(".,;:!?\"'()|") for u in units(s))
             both = list(count[0].keys() | count[1].keys())
-            yield pd.DataFrame({"unit": both, "pos": [count[1][u] for u in both], "neg": [count[0][u] for u in both]})
+            yield pd.DataFrame({"unit": pd.Series(both, dtype=object), "pos": np.array([count[1][u] for u in both], np.int64), "neg": np.array([count[0][u] for u in both], np.int64)})
 
     return sample.select("label", "text").mapInPandas(run, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
