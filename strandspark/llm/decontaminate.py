@@ -28,7 +28,7 @@ from strandspark.session import ship
 
 WINDOW = 13
 #: Words and documents of a shard, words of one broadcast part of the phrases, rows between samples.
-SHARD_WORDS, SHARD_DOCS, PART_WORDS, SAMPLE = 1_000_000, 200_000, 300_000, 32
+SHARD_WORDS, SHARD_DOCS, PART_WORDS, SAMPLE = 250_000, 100_000, 300_000, 32
 END, OTHER, FIRST = 0, 1, 2
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
@@ -261,7 +261,7 @@ def mark(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
                 for k, values in enumerate(columns):
                     i = spans_at - 1 + k
                     rows = rows.set_column(i, rows.schema.field(i), pa.array(values, rows.schema.field(i).type))
-                yield from rows.to_batches(max_chunksize=2000)
+                yield from rows.to_batches(max_chunksize=512)
 
         out = out.mapInArrow(run, out.schema)
     return out.select(*keep, *[F.col(n).alias(new) for n, new in zip(names, ("n_words", "spans", "items"))])

@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_at, gone_at = joined.columns.index(text_col), len(joined.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             texts, numbers = b.column(text_at).to_pylist(), []
             for k, drop in enumerate(b.column(gone_at).to_pylist()):
                 numbers.append(len(drop or ()))

@@ -155,7 +155,7 @@ def filter_by(model: Discriminant | float, docs: DataFrame, threshold: float) ->
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             x = np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, D)
             kept = model.scores(x) >= threshold if isinstance(model, Discriminant) else np.full(len(x), model >= threshold)
             yield b.filter(pa.array(kept))
