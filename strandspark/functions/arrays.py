@@ -26,7 +26,8 @@ def replace_large(a: Column, limit: float, fill: float = 0.0) -> Column:
 def difference(a: Column, last: float = 0.0) -> Column:
     """Next element minus this one; the last element becomes ``last``."""
     ahead = F.concat(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.lit(None).cast("double")))
-    return F.zip_with(a, ahead, lambda x, y: F.coalesce(y - x, F.lit(last)))
+    moved = F.zip_with(a, ahead, lambda x, y: F.coalesce(y - x, F.lit(last)))
+    return F.when(F.size(a) > 0, moved).otherwise(a.cast("array<double>"))
 
 
 def arg_max(a: Column) -> Column:

@@ -172,12 +172,11 @@ def read_arrays(spark, d):
 # ---------------------------------------------------------------- blocks
 
 _B = block_sql()
-_W = F.col("w")
 
 
 @register(f"SELECT read_id, blk, (list_position(w, list_max(w)) - 1)::INT AS at_max, (list_position(w, list_min(w)) - 1)::INT AS at_min, {rs('list_max(w)')} AS largest, {rs('list_min(w)')} AS smallest FROM {_B}")
 def block_extrema(spark, d):
-    return v_block(spark, d).select("read_id", "blk", arrays.arg_max(_W).alias("at_max"), arrays.arg_min(_W).alias("at_min"), r(F.array_max("w")).alias("largest"), r(F.array_min("w")).alias("smallest"))
+    return v_block(spark, d).select("read_id", "blk", arrays.arg_max(F.col("w")).alias("at_max"), arrays.arg_min(F.col("w")).alias("at_min"), r(F.array_max("w")).alias("largest"), r(F.array_min("w")).alias("smallest"))
 
 
 @register(f"SELECT read_id, blk AS pos, CASE WHEN i = len(w) - 1 THEN -1 ELSE i END AS state, {rs('m')} AS score FROM (SELECT *, list_max(w) AS m, (list_position(w, list_max(w)) - 1)::INT AS i FROM {_B})")
@@ -201,12 +200,12 @@ _Z = "(list_max(w) + ln(list_sum(list_transform(w, lambda v: exp(v - list_max(w)
 
 @register(f"SELECT read_id, blk, {_FIRST} FROM (SELECT *, list_transform(w, lambda v: exp(v - {_Z})) AS x FROM {_B})")
 def softmax_block(spark, d):
-    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.softmax(_W)))
+    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.softmax(F.col("w"))))
 
 
 @register(f"SELECT read_id, blk, {_FIRST} FROM (SELECT *, list_transform(w, lambda v: v - {_Z}) AS x FROM {_B})")
 def log_row_normalise(spark, d):
-    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.log_normalise(_W)))
+    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.log_normalise(F.col("w"))))
 
 
 @register(f"SELECT read_id, blk, {_FIRST} FROM (SELECT *, list_transform(w, lambda v: abs(v) / list_sum(list_transform(w, lambda u: abs(u)))) AS x FROM {_B})")
@@ -216,12 +215,12 @@ def row_normalise(spark, d):
 
 @register(f"SELECT read_id, blk, {_FIRST} FROM (SELECT *, list_transform(list_zip(w, list_transform(w, lambda v: v * v)), lambda p: p[1] + p[2]) AS x FROM {_B})")
 def residual(spark, d):
-    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.add(_W, F.transform("w", lambda v: v * v))))
+    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.add(F.col("w"), F.transform("w", lambda v: v * v))))
 
 
 @register(f"SELECT read_id, blk, len(list_filter(w, lambda v: abs(v) > 0.5)) = 0 AS valid, len(list_filter(list_zip(w, list_transform(w, lambda v: v * 1.0001)), lambda p: abs(p[1] - p[2]) > 0.00003)) = 0 AS near FROM {_B}")
 def validate_blocks(spark, d):
-    return v_block(spark, d).select("read_id", "blk", arrays.is_valid(_W, -0.5, 0.5).alias("valid"), arrays.nearly_equal(_W, F.transform("w", lambda v: v * 1.0001), 0.00003).alias("near"))
+    return v_block(spark, d).select("read_id", "blk", arrays.is_valid(F.col("w"), -0.5, 0.5).alias("valid"), arrays.nearly_equal(F.col("w"), F.transform("w", lambda v: v * 1.0001), 0.00003).alias("near"))
 
 
 @register(f"SELECT read_id, blk, {rs('coalesce(lead(w[1]) OVER (PARTITION BY read_id ORDER BY blk) - w[1], 0.5)')} AS x0 FROM {_B}")
