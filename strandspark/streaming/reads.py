@@ -1,8 +1,8 @@
 """Streams of signal: whole reads through the same stages, and chunks put together by state.
 
 A read's recurrences need all of it, so a stream works at the grain of reads. Chunks (read_id, seq,
-last, values) arriving in any order are kept by read until those up to the last are there, or until no
-chunk has come for a time; state is dropped with the read.
+last, values) arriving in any order are kept by read until those up to the last are there, or, if a
+waiting time is given, until no chunk has come for that time; state is dropped with the read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 ASSEMBLED = "read_id string, signal array<double>, complete boolean"
 
 
-def assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, wait_ms: int | None) -> Iterator[pd.DataFrame]:
     """One read's chunks; a repeated chunk counts once."""
     held: dict[str, list[float]] = {}
     last = -1
@@ -36,9 +36,19 @@ def assemble(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> It
         yield pd.DataFrame({"read_id": [key[0]], "signal": [signal], "complete": [complete]})
     else:
         state.update((json.dumps(held), last))
-        state.setTimeoutDuration(10 * 60 * 1000)
+        if wait_ms is not None:
+            state.setTimeoutDuration(wait_ms)
 
 
-def assemble_reads(chunks: DataFrame) -> DataFrame:
-    """(read_id, signal, complete) of streamed chunks (read_id, seq, last, values)."""
-    return chunks.groupBy("read_id").applyInPandasWithState(assemble, ASSEMBLED, "held string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def assemble_reads(chunks: DataFrame, wait_ms: int | None = None) -> DataFrame:
+    """(read_id, signal, complete) of streamed chunks (read_id, seq, last, values).
+
+    With ``wait_ms`` a read that gets no chunk for so long goes out incomplete. Spark then starts batches
+    for as long as the query runs, so an ``availableNow`` trigger, which ends when nothing is left, needs None.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return assemble(key, parts, state, wait_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.groupBy("read_id").applyInPandasWithState(run, ASSEMBLED, "held string, last long", "append", timeout)
