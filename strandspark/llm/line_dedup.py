@@ -146,6 +146,8 @@ def deletions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     me = F.struct("id", "th")
     held = seqs.select(me.alias("doc"), F.explode(F.array_distinct("hashes")).alias("hash"))
     owners = held.groupBy("hash").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("hash", "owner")
+    # read from a table, owners come to the join by a shuffle of their own: Spark may then split a very common line's rows
+    owners = materialise(owners, "line-owners")
     pairs = held.join(owners, "hash").where("owner < doc").select("doc", "owner").distinct()
     earlier = seqs.select(me.alias("owner"), F.col("hashes").alias("earlier"))
     later = seqs.select(me.alias("doc"), "at", "hashes", "words")
