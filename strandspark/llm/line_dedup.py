@@ -1,19 +1,28 @@
 """Line dedup by pairwise alignment.
 
-Documents become sequences of line hashes. A hash that several documents hold pairs each of them with
-its owner, the first document that has it, so a line in thousands of documents makes thousands of
-pairs and not their square, and no pair that could delete a line is left out. A pair's sequences are
-aligned by patience diff: the rarest shared lines, above all those unique in both, are anchors, a
-longest increasing chain of anchors is kept and grown over equal neighbours. Aligned blocks of at least
-``min_words`` words go from the later document; what is left is aligned again, so that moved and
-repeated blocks go too. A line's owner never loses it, so one copy of everything stays.
-
-Only hashes and word counts are compared; text is shuffled once, to meet its deletions.
+Documents become sequences of line hashes. From each line on, and up to each line, the shortest run of
+lines with at least ``min_words`` words is a block; a block is rarer than its lines, and any passage of
+that length that two documents share is made of such blocks. A block's hash leads from every later
+document to its first holder: two documents overlap there. So a block in thousands of documents makes
+thousands of pairs and not their square, and no pair that could delete a line is missed, whatever
+documents its lines come from.
+
+Each pair's shared blocks, in the order of either document, are aligned by patience diff: the rarest
+ones, above all those unique in both, are anchors, a longest increasing chain of anchors is kept and
+grown over equal neighbours. The lines of aligned blocks go from the later document; what is left is
+aligned again, so that moved and repeated passages go too. After ROUNDS alignments blocks that are still
+shared are taken as they stand. In sum a line goes if it lies in a run of at least ``min_words`` words
+that an earlier document has as well; a block's first holder keeps it.
+
+Only hashes, positions and word counts are compared; text is shuffled once, to meet its deletions. A
+block with more than HOT rows is joined by broadcast (there are at most HOT_BLOCKS of those), so that no
+task meets a common block's documents together.
 
 Defined results: lines are compared without surrounding white space; blank lines neither match nor
 count and go only if nothing else is left; a document is an (id, text), so repeated rows are one
 document and keep the same lines; rows with a null id or text are left as they are; a smaller id is
-earlier.
+earlier, and of texts with the same id the one with the smaller hash; an empty table gives an empty
+table; added columns get underscores where their name is taken.
 """
 
 from __future__ import annotations
@@ -31,30 +40,54 @@ from strandspark.llm.common import free_name
 from strandspark.session import materialise, ship
 
 MIN_WORDS = 10
-
-
-def line_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, at, hashes, words): positions, hashes and word counts of lines that aren't blank; th hashes the text."""
+#: Alignments of a pair; rows from which a block is common, and how many common blocks there may be.
+ROUNDS, HOT, HOT_BLOCKS = 8, 5_000, 20_000
+
+
+def blocks(counts: list[int], min_words: int) -> set[tuple[int, int]]:
+    """(start, stop) of the shortest runs with ``min_words`` words that begin or end at each line."""
+    found, stop, start, ahead, behind = set(), 0, 0, 0, 0
+    for k, n in enumerate(counts):
+        while ahead < min_words and stop < len(counts):
+            ahead += counts[stop]
+            stop += 1
+        if ahead >= min_words:
+            found.add((k, stop))
+        ahead -= n
+        behind += n
+        while behind - counts[start] >= min_words:
+            behind -= counts[start]
+            start += 1
+        if behind >= min_words:
+            found.add((start, k + 1))
+    return found
+
+
+def line_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, th, hash, start, lines): each block of each document; start counts lines that aren't blank, th hashes the text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for b in batches:
-            at, hashes, words = [], [], []
-            for text in b.column(2).cast(pa.binary()):
-                lines = [(k, x) for k, line in enumerate(text.as_py().split(b"\n")) if (x := line.strip())]
-                at.append([k for k, _ in lines])
-                hashes.append(np.array([xxh64_intdigest(x) for _, x in lines], np.uint64).view(np.int64))
-                words.append([len(x.split()) for _, x in lines])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))],
-                names=["id", "th", "at", "hashes", "words"],
-            )
+        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+            row, hashes, starts, sizes = [], [], [], []
+            for n, text in enumerate(b.column(2).cast(pa.binary())):
+                lines = [x for line in text.as_py().split(b"\n") if (x := line.strip())]
+                own = np.array([xxh64_intdigest(x) for x in lines], np.uint64).tobytes()
+                counts = [len(x.split()) for x in lines]
+                for start, stop in sorted(blocks(counts, min_words)):
+                    row.append(n)
+                    hashes.append(xxh64_intdigest(own[8 * start : 8 * stop]))
+                    starts.append(start)
+                    sizes.append(stop - start)
+            at = pa.array(row, pa.int32())
+            columns = [b.column(0).take(at), b.column(1).take(at), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "hash", "start", "lines"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("id is not null and text is not null")
-    return rows.mapInArrow(run, f"id {kind}, th long, at array<int>, hashes array<long>, words array<int>")
+    return rows.mapInArrow(run, f"id {kind}, th long, hash long, start int, lines int")
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -113,74 +146,67 @@ def align(later: list[int], earlier: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def common_blocks(later: list[int], words: list[int], earlier: list[int], min_words: int) -> list[int]:
-    """Positions of the later sequence in aligned blocks of at least ``min_words`` words."""
-    gone: list[int] = []
-    places = list(range(len(later)))
-    while True:
-        matched = align([later[p] for p in places], earlier)
-        blocks: list[list[int]] = []
-        last = None
-        for i, j in matched:
-            if last == (i - 1, j - 1) and places[i] == places[i - 1] + 1:
-                blocks[-1].append(places[i])
-            else:
-                blocks.append([places[i]])
-            last = (i, j)
-        found = {p for b in blocks if sum(words[p] for p in b) >= min_words for p in b}
-        if not found:
-            if not matched:
-                return sorted(gone)
-            found_short = {places[i] for i, _ in matched}  # too short here: aligned no more
-            places = [p for p in places if p not in found_short]
-            continue
-        gone += found
-        places = [p for p in places if p not in found]
-
-
-def deletions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, th, gone): line positions to delete, for documents that have any."""
+def shared_lines(blocks: list[tuple[int, int, int]], earlier: list[int]) -> set[int]:
+    """Lines of the later document in blocks (hash, start, lines), in order, that are aligned with the earlier one's."""
+    gone: set[int] = set()
+    for turn in range(ROUNDS + 1):
+        later = [h for h, _, _ in blocks]
+        aligned = {later[i] for i, _ in align(later, earlier)} if turn < ROUNDS else set(later) & set(earlier)
+        if not aligned:
+            break
+        gone.update(x for h, start, n in blocks if h in aligned for x in range(start, start + n))
+        blocks = [x for x in blocks if x[0] not in aligned]
+    return gone
+
+
+def gone_lines(blocks: list[dict]) -> set[int]:
+    """Lines to delete from a document: its ``blocks`` that have an earlier holder, one alignment for each such document."""
+    pairs: dict[tuple, list[dict]] = {}
+    for x in blocks:
+        pairs.setdefault((x["owner"], x["owner_th"]), []).append(x)
+    gone: set[int] = set()
+    for mine in pairs.values():
+        mine.sort(key=lambda x: (x["start"], x["lines"]))
+        there = {x["hash"]: (x["owner_start"], x["lines"]) for x in mine}
+        gone |= shared_lines([(x["hash"], x["start"], x["lines"]) for x in mine], sorted(there, key=there.__getitem__))
+    return gone
+
+
+def shared_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, th, blocks): for documents that have any, their blocks with the earlier document that holds each first."""
     ship(docs.sparkSession)
-    seqs = materialise(line_sequences(docs, id_col, text_col).dropDuplicates(["id", "th"]), "line-sequences")
-    kind = seqs.schema["id"].dataType.simpleString()
-    me = F.struct("id", "th")
-    held = seqs.select(me.alias("doc"), F.explode(F.array_distinct("hashes")).alias("hash"))
-    owners = held.groupBy("hash").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("hash", "owner")
-    # read from a table, owners come to the join by a shuffle of their own: Spark may then split a very common line's rows
-    owners = materialise(owners, "line-owners")
-    pairs = held.join(owners, "hash").where("owner < doc").select("doc", "owner").distinct()
-    earlier = seqs.select(me.alias("owner"), F.col("hashes").alias("earlier"))
-    later = seqs.select(me.alias("doc"), "at", "hashes", "words")
-    both = pairs.join(earlier, "owner").join(later, "doc").select("doc.id", "doc.th", "at", "hashes", "words", "earlier")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gone = []
-            for at, hashes, words, before in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-                gone.append([at[p] for p in common_blocks(hashes, words, before, min_words)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["id", "th", "gone"])
-
-    found = both.mapInArrow(run, f"id {kind}, th long, gone array<int>").where("size(gone) > 0")
-    return found.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    held = materialise(line_blocks(docs, id_col, text_col, min_words), "line-blocks")
+    first = F.min(F.struct("id", "th", "start")).alias("first")
+    owners = held.groupBy("hash").agg(first, F.max(F.struct("id", "th")).alias("last"), F.count("*").alias("n")).where("struct(first.id, first.th) < last")
+    owners = materialise(owners.select("hash", F.col("first.id").alias("owner"), F.col("first.th").alias("owner_th"), F.col("first.start").alias("owner_start"), "n"), "block-owners")
+    total = owners.agg(F.sum("n")).first()[0] or 0
+    common = F.col("n") > max(HOT, total // HOT_BLOCKS)  # at most HOT_BLOCKS rows: they may be broadcast
+    hot, rest = owners.where(common).drop("n"), owners.where(~common).drop("n")
+    found = held.join(F.broadcast(hot), "hash").unionByName(held.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(rest, "hash"))
+    found = found.where("struct(owner, owner_th) < struct(id, th)").select("id", "th", F.struct("hash", "start", "lines", "owner", "owner_th", "owner_start").alias("block"))
+    return found.groupBy("id", "th").agg(F.collect_set("block").alias("blocks"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated blocks of lines deleted from later documents, and ``lines_removed``."""
+    """``docs`` with repeated passages of whole lines deleted from later documents, and ``lines_removed``."""
     gone, th, removed = (free_name(docs, x) for x in ("gone_lines", "text_hash", "lines_removed"))
-    found = deletions(docs, id_col, text_col, min_words).toDF("gone_id", th, gone)
+    found = shared_blocks(docs, id_col, text_col, min_words).toDF("gone_id", th, gone)
     keyed = docs.withColumn(th + "_own", F.xxhash64(F.col(text_col).cast("string")))
     joined = keyed.join(found, (F.col(id_col) == F.col("gone_id")) & (F.col(th + "_own") == F.col(th)), "left").select(*docs.columns, gone)
     text_at, gone_at = joined.columns.index(text_col), len(joined.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
-            texts, numbers = b.column(text_at).to_pylist(), []
-            for k, drop in enumerate(b.column(gone_at).to_pylist()):
-                numbers.append(len(drop or ()))
-                if drop:
-                    out = set(drop)
-                    left = [x for i, x in enumerate(texts[k].split("\n")) if i not in out]
-                    texts[k] = "\n".join(left) if any(x.strip() for x in left) else ""
+            texts, numbers, blocks = b.column(text_at).to_pylist(), [0] * b.num_rows, b.column(gone_at)
+            for k in np.flatnonzero(blocks.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                out = gone_lines(blocks[k].as_py())
+                numbers[k] = len(out)
+                kept, at = [], -1
+                for x in texts[k].split("\n"):
+                    at += (full := bool(x.encode("utf-8", "surrogatepass").strip()))
+                    if not full or at not in out:
+                        kept.append((x, full))
+                texts[k] = "\n".join(x for x, _ in kept) if any(full for _, full in kept) else ""
             columns = list(b.columns)
             columns[text_at], columns[gone_at] = pa.array(texts, b.schema.field(text_at).type), pa.array(numbers, pa.int32())
             yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-1], removed])

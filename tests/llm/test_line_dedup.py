@@ -6,38 +6,58 @@ from strandspark.llm import line_dedup as ld
 
 
 def plain(texts, min_words):
-    """Every document against all earlier ones: removes blocks aligned with a line's first owner."""
-    seqs = [[(k, x.strip()) for k, x in enumerate((t or "").split("\n")) if x.strip()] for t in texts]
-    owner = {}
-    for d, seq in enumerate(seqs):
-        for _, x in seq:
-            owner.setdefault(x, d)
+    """Every document against every earlier one, at every pair of positions: lines of equal runs with enough words go."""
+    seqs = [[x.strip() for x in (t or "").split("\n") if x.strip()] for t in texts]
     out = []
-    for d, (t, seq) in enumerate(zip(texts, seqs)):
+    for d, (t, mine) in enumerate(zip(texts, seqs)):
         gone = set()
-        for e in {owner[x] for _, x in seq if owner[x] < d}:
-            code = {x: n for n, x in enumerate({x for _, x in seq} | {x for _, x in seqs[e]})}
-            for p in ld.common_blocks([code[x] for _, x in seq], [len(x.split()) for _, x in seq], [code[x] for _, x in seqs[e]], min_words):
-                gone.add(seq[p][0])
-        left = [x for k, x in enumerate((t or "").split("\n")) if k not in gone]
+        for other in seqs[:d]:
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(other) and mine[i + n] == other[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in mine[i : i + n]) >= min_words:
+                        gone.update(range(i, i + n))
+        left, at = [], -1
+        for x in (t or "").split("\n"):
+            at += bool(x.strip())
+            if not x.strip() or at not in gone:
+                left.append(x)
         out.append((None if t is None else t if not gone else "\n".join(left) if any(x.strip() for x in left) else "", len(gone)))
     return out
 
 
-def test_equals_plain_version(spark):
+def check(spark, texts, min_words):
+    rows = {r["doc_id"]: r for r in ld.remove_repeats(docs_table(spark, texts), min_words=min_words).collect()}
+    for k, (t, n) in enumerate(plain(texts, min_words)):
+        assert (rows[k]["text"], rows[k]["lines_removed"]) == (t, n), (k, texts[k])
+
+
+def test_equals_all_pairs(spark, monkeypatch):
     rng = random.Random(5)
     lines = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 9))) for _ in range(25)]
-    texts = ["\n".join(rng.choice([*lines, "", f"own {rng.random()} words"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts = ["\n".join(rng.choice([*lines, "", f"own {rng.random()} words"]) for _ in range(rng.randint(0, 12))) for _ in range(120)]
     texts = list(dict.fromkeys(texts)) + [None]
-    rows = {r["doc_id"]: r for r in ld.remove_repeats(docs_table(spark, texts), min_words=6).collect()}
-    for k, (t, n) in enumerate(plain(texts, 6)):
-        assert (rows[k]["text"], rows[k]["lines_removed"]) == (t, n)
+    check(spark, texts, 6)
+    monkeypatch.setattr(ld, "HOT", 3)  # common blocks take the other join
+    monkeypatch.setattr(ld, "ROUNDS", 1)
+    check(spark, texts, 6)
+
+
+def test_copies_of_documents_put_together_from_others_go(spark):
+    one, two = "aa bb cc dd ee ff", "gg hh ii jj kk ll"
+    texts = [one, two, f"{one}\n{two}", f"{one}\n{two}", f"{two}\n{one}"]
+    check(spark, texts, 10)
+    rows = {r["doc_id"]: r for r in ld.remove_repeats(docs_table(spark, texts)).collect()}
+    assert [rows[k]["lines_removed"] for k in range(5)] == [0, 0, 0, 2, 0]
 
 
 def test_passages_go_from_later_documents_only(spark):
     passage = "\n".join(" ".join(f"p{k}x{j}" for j in range(20)) for k in range(4))
     moved = "\n".join(passage.split("\n")[::-1])
     texts = [f"begin\n{passage}\nend", f"other start\n{passage}\ntail of its own", f"again\n{moved}", "All rights reserved.\nnothing else", "All rights reserved.\nsomething new", f"x\n{passage}\n\n{passage}"]
+    check(spark, texts, ld.MIN_WORDS)
     rows = {r["doc_id"]: r["text"] for r in ld.remove_repeats(docs_table(spark, texts)).collect()}
     assert rows[0] == texts[0] and rows[3] == texts[3] and rows[4] == texts[4]
     assert rows[1] == "other start\ntail of its own"
@@ -67,3 +87,10 @@ def test_edges(spark):
     assert [r["text"] for r in rows if r["doc_id"] == 2] == [texts[2]] * 2
     assert by[4]["text"] is None and by[None]["text"] == " \n "
     assert ld.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_reversed_long_documents_end_soon(spark):
+    lines = [f"line {k} " + "word " * 12 for k in range(4000)]
+    texts = ["\n".join(lines), "\n".join(lines[::-1]), "\n".join(["same " * 12] * 4000), "\n".join(["same " * 12] * 4001)]
+    rows = {r["doc_id"]: r["lines_removed"] for r in ld.remove_repeats(docs_table(spark, texts)).collect()}
+    assert rows == {0: 0, 1: 4000, 2: 0, 3: 4001}
