@@ -70,9 +70,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     else:  # too many sources to broadcast: a source's rows are spread over SALT keys
         spread = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         joined = docs.withColumn(salt + "_own", F.pmod(F.xxhash64(id_col), F.lit(SALT)).cast("int")).join(spread, same & (F.col(salt + "_own") == F.col(salt)))
-    draw = lambda i: F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.concat(key, i.cast("string")))))
+
+    def draw(i: Column) -> Column:
+        # the number is an element of an array before the filter's function sees it: hashed once, not once a term
+        number = F.array(uniform(F.concat(key, i.cast("string"))))
+        return F.transform(number, lambda u: F.size(F.filter(F.col(cdf), lambda c: c <= u)))[0]
+
     times = F.when(F.col(draws) == 1, draw(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, i: a + draw(i)))
-    copies = joined.select(*docs.columns, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias(copy))
+    one = free_name(docs, "mix_one")
+    exploded = joined.select(*docs.columns, F.posexplode(F.array_repeat(F.lit(True), times)).alias(copy, one))
+    copies = exploded.select(*docs.columns, (F.col(copy) + 1).alias(copy))
     order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy))
     return copies.repartition(order).sortWithinPartitions(order)
 
