@@ -16,13 +16,13 @@ QUALITY_KEEPS = 0.3
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = one_label(table(spark, sf_dir, "labels"), "toxic")
     scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), labels, lambda i: fold(i) != 0)
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = one_label(table(spark, sf_dir, "labels"), "quality")
     scored = quality.quality_scores(table(spark, sf_dir, "documents"), labels, lambda i: fold(i) != 0)
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_KEEPS).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_KEEPS).cast("int").alias("predicted"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,31 +2,47 @@
 
 The kernel of two strings sums, over subsequences of three letters, the products of their weights; an
 occurrence weighs DECAY to the power of the stretch it covers, so letters put between those of an
-insult only dampen it. Strings are units of sentences: words (long ones in overlapping windows) and
-runs of single characters ("i d i o t"), scaled by the length-only norm of a string with all letters
-different. A sentence is as toxic as its worst unit and a text as its worst sentence.
-
-Sentences take their document's label. Landmarks are the letter sequences that best tell toxic
-documents from clean ones, none sharing four letters with a better one, and frequent clean units. Units' kernels with the landmarks, whitened by the landmarks' own kernel (Nystrom), are
-the features of a linear machine with squared hinge loss. A logistic curve, one half at the margin that
-makes least errors, turns a document's largest margin into a score. The machine is a sum over landmarks, so scoring folds them into one table
-of subsequence weights: the cost of a unit doesn't depend on their number.
-
-The fit uses a bounded sample, TRAIN_DOCS labelled documents of each class by hash order and
-TRAIN_UNITS of their units; every text is scored whole.
+insult only dampen it. Strings are units of sentences, scaled by the length-only norm of a string with
+all letters different: words without the signs between their letters ("i.d-iot"; long ones in
+overlapping windows), runs of single characters ("i d i o t"), and two words that meet like the halves
+of a mark ("mo ron"). A unit begins with a letter of its own for the word's beginning.
+
+Labels belong to documents, so sentences are labelled first. Marks are letter sequences, stems or whole
+words, that tell units of toxic documents from those of clean ones by the number of different words
+behind which they stand (so copies of a document count once); they are picked one after another by
+log-likelihood gain, each on the units that hold no better one, until it falls below LEAST_GAIN; their
+share of toxic contexts is LIFT times that of all units. In a
+toxic document's sentence the units that hold a mark are positive examples, and so are marks that clean
+documents lack with a letter put in at each place; every unit of a clean document's sentence is a
+negative one. Landmarks are the marks and frequent clean units. The POWER of a unit's kernels with the
+landmarks, whitened by the landmarks' own (Nystrom), are the features of a linear machine with squared
+hinge loss. A unit whose kernels with all marks together stay below GATE counts as far from all of them;
+that is read from one folded table, so most units never meet the landmarks.
+
+A text's score is a logistic curve over its TOP largest unit margins (of all its sentences): one plain
+insult is enough, of words that clean texts use as well it takes several. One half lies where errors on
+the sample are least.
+
+The fit uses a bounded sample: TRAIN_DOCS labelled documents of each class by hash order, of which copies
+count once, the TRAIN_GRAMS best letter sequences with the TRAIN_UNITS most frequent units that hold
+them, and TRAIN_UNITS clean units, half of them those nearest to the landmarks and half by hash order.
+Every text is scored whole.
 
 Defined results: null and empty texts have the score of a text without units; with no toxic or no clean
-label to learn from, every score is 0 or, with toxic labels only, 1. Labels, other columns and ids never
-enter a score. Repeated rows are scored each.
+label to learn from, or no mark among them, every score is 0 or, with toxic labels only, 1. Labels, other
+columns and ids never enter a score. Repeated rows are scored each, rows with a null id too; ties in gain
+go to the longer sequence, then to the first in the alphabet.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from heapq import nlargest
 
 import numpy as np
 import pandas as pd
@@ -36,18 +52,20 @@ from pyspark.sql import functions as F
 
 from strandspark.session import materialise, ship
 
-DECAY, STRETCH, LETTERS = 0.8, 9, 64
+DECAY, STRETCH, LETTERS, POWER, GATE = 0.8, 9, 64, 3, 0.3
 TRAIN_DOCS, TRAIN_UNITS, TRAIN_GRAMS = 3_000, 40_000, 5_000
-LANDMARKS, BACKGROUND, GRAMS = 48, 12, (4, 5, 6)
-WINDOW, HOP, CACHE = 16, 8, 400_000
+LANDMARKS, BACKGROUND, LEAST_GAIN, LIFT = 64, 16, 16.0, 3.0
+GRAMS, TOP, BEGIN = (4, 5, 6, 7, 8), 6, "^"
+RAMP, WINDOW, NARROW, HOP, CACHE = (0.4, 0.65), 16, 10, 4, 400_000
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\w)")
+_SIGNS = re.compile(r"[\W_]+")
 _codes: list[np.ndarray] = []
 _scores: dict = {}
 
 
 def _letters() -> np.ndarray:
-    """Code of each character below 0x3000: Latin letters 1 to 26, digits, then other letters by remainder; 0 is a gap."""
+    """Code of each character below 0x3000: Latin letters 1 to 26, digits, then other letters by remainder, BEGIN; 0 is a gap."""
     if not _codes:
         code = np.zeros(0x3000, np.int64)
         for c in range(0x3000):
@@ -58,19 +76,34 @@ def _letters() -> np.ndarray:
                 code[c] = 27 + c - 48
             elif x.isalpha():
                 code[c] = 37 + c % 26
+        code[ord(BEGIN)] = LETTERS - 1
         _codes.append(code)
     return _codes[0]
 
 
-def units(text: str) -> set[str]:
-    low = text.lower()
-    found = set(low.split())
-    found.update(_SPELLED.findall(low))
-    return found
+def units(text: str, halves: dict[str, int] | None = None) -> set[str]:
+    """Letters and digits of each word of at least three, of spelled words and, by ``halves``, of two words that may be one cut in two."""
+    words = text.lower().split()
+    found = set(words)
+    found.update(_SPELLED.findall(text.lower()))
+    if halves:
+        found.update(a + b for a, b in zip(words, words[1:]) if len(a) + len(b) <= halves.get(a[-2:] + b[:2], 0))
+    return {x for w in found if len(x := w if w.isalnum() else _SIGNS.sub("", w)) >= 3}
+
+
+def _halves(marks: list[str]) -> dict[str, int]:
+    """What stands on both sides of a cut in a mark, two letters each at most, and how long both words may be."""
+    out: dict[str, int] = {}
+    for m in marks:
+        for k in range(1, len(m)):
+            key = m[max(0, k - 2) : k] + m[k : k + 2]
+            out[key] = max(out.get(key, 0), len(m) + 2)
+    return out
 
 
 def _pieces(unit: str) -> list[str]:
-    return [unit] if len(unit) <= WINDOW else [unit[k : k + WINDOW] for k in range(0, len(unit) - HOP, HOP)]
+    unit = BEGIN + unit
+    return [unit] if len(unit) <= WINDOW else [unit[k : k + NARROW] for k in range(0, len(unit) - NARROW + HOP, HOP)]
 
 
 def _norms() -> np.ndarray:
@@ -121,47 +154,100 @@ def _table(strings: list[str]) -> np.ndarray:
     return out
 
 
-def marking_sequences(sample: DataFrame) -> pd.DataFrame:
-    """Letter sequences that mark toxic documents of ``sample``, best first: (gram, pos, neg), documents that hold it."""
+def _words(text: str) -> Iterator[tuple[str, str]]:
+    """Each piece of a text's words, and the word before it."""
+    before = ""
+    for w in text.lower().split():
+        w = w if w.isalnum() else _SIGNS.sub("", w)
+        if len(w) >= 3:
+            yield from ((q, before) for q in _pieces(w))
+        before = w
+
+
+def unit_contexts(sample: DataFrame) -> DataFrame:
+    """(unit, pos, neg): behind how many different words a unit stands in toxic and clean documents of ``sample`` (label, text).
+
+    Words of chance in a document that has many near copies stand in all of them, but behind the same word.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            count = {0: Counter(), 1: Counter()}
-            for label, text in zip(p["label"], p["text"]):
-                seen = set()
-                for u in units(text or ""):
-                    for n in GRAMS:
-                        seen.update(u[i : i + n] for i in range(min(len(u), 2 * WINDOW) - n + 1))
-                count[int(label)].update(g for g in seen if g.isalpha())
-            both = list(count[0].keys() | count[1].keys())
-            yield pd.DataFrame({"gram": pd.Series(both, dtype=object), "pos": np.array([count[1][g] for g in both], np.int64), "neg": np.array([count[0][g] for g in both], np.int64)})
+            found = {0: set(), 1: set()}
+            for y, t in zip(p["label"], p["text"]):
+                found[int(y)].update(_words(t or ""))
+            both = list(found[0] | found[1])
+            yield pd.DataFrame({"unit": pd.Series([u for u, _ in both], dtype=object), "before": pd.Series([w for _, w in both], dtype=object), "pos": [x in found[1] for x in both], "neg": [x in found[0] for x in both]})
+
+    pairs = sample.select("label", "text").mapInPandas(run, "unit string, before string, pos boolean, neg boolean").where(F.length("unit") >= 3)
+    pairs = pairs.groupBy("unit", "before").agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"))
+    return pairs.groupBy("unit").agg(F.count_if("pos").alias("pos"), F.count_if("neg").alias("neg"))
+
+
+def _grams(unit: str) -> set[str]:
+    """Letter sequences of a piece, and all of it."""
+    return {unit, *(unit[i : i + n] for n in GRAMS for i in range(len(unit) - n + 1))}
+
+
+def _gain(pos: np.ndarray, neg: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood won by an own share of toxic contexts that is LIFT times ``share`` at least; 0 for a smaller one."""
+    own = pos / np.maximum(pos + neg, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        won = np.where(pos > 0, pos * np.log(own / share), 0.0) + np.where(neg > 0, neg * np.log((1 - own) / (1 - share)), 0.0)
+    return np.where((own >= min(LIFT * share, 0.9)) & (pos > 0), won, 0.0).round(6)
+
+
+def choose_marks(contexts: DataFrame, most: int) -> pd.DataFrame:
+    """(gram, pos, neg) of at most ``most`` marks in the order in which they are picked."""
+    n = contexts.agg(F.sum("pos"), F.sum("neg")).first()
+    if not n[0] or not n[1]:
+        return pd.DataFrame({"gram": [], "pos": [], "neg": []})
+    share = n[0] / (n[0] + n[1])
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(g, a, b) for u, a, b in zip(p["unit"], p["pos"], p["neg"]) for g in _grams(u)]
+            yield pd.DataFrame(rows, columns=["gram", "pos", "neg"]).groupby("gram", as_index=False).sum() if rows else pd.DataFrame({"gram": [], "pos": [], "neg": []})
 
-    n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    share = F.lit(n.get(1, 0) / max(1, sum(n.values())))
-    rows = sample.select("label", "text").mapInPandas(run, "gram string, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    grams = contexts.mapInPandas(cut, "gram string, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     own = F.col("pos") / (F.col("pos") + F.col("neg"))
     gain = F.col("pos") * F.ln(own / share) + F.when(F.col("neg") > 0, F.col("neg") * F.ln((1 - own) / (1 - share))).otherwise(0)
-    marks = rows.where((F.col("pos") >= 3) & (own > share)).withColumn("gain", F.round(gain, 6)).where("gain >= 3")
-    return marks.orderBy(F.desc("gain"), F.desc(F.length("gram")), "gram").limit(TRAIN_GRAMS).toPandas()
+    likely = grams.where(own >= min(LIFT * share, 0.9)).withColumn("gain", F.round(gain, 6)).where(F.col("gain") >= LEAST_GAIN)
+    names = [r["gram"] for r in likely.orderBy(F.desc("gain"), F.desc(F.length("gram")), "gram").limit(TRAIN_GRAMS).collect()]
+    names.sort(key=lambda g: (-len(g), g))  # so that of equal gains the first is the longest
+    place = {g: k for k, g in enumerate(names)}
 
+    def hold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            held = [sorted({place[g] for g in _grams(u) if g in place}) for u in p["unit"]]
+            yield p.assign(held=pd.Series(held, index=p.index, dtype=object))[[bool(h) for h in held]]
+
+    units_ = contexts.mapInPandas(hold, "unit string, pos long, neg long, held array<int>").orderBy(F.desc("pos"), F.desc("neg"), "unit").limit(TRAIN_UNITS).toPandas()
+    row = np.repeat(np.arange(len(units_)), [len(h) for h in units_["held"]]).astype(np.int64)
+    gram = np.concatenate([*units_["held"], []]).astype(np.int64)
+    pos, neg, left, chosen = units_["pos"].to_numpy(float), units_["neg"].to_numpy(float), np.ones(len(units_), bool), []
+    while len(chosen) < most and len(gram):
+        on = left[row]
+        held = [np.bincount(gram[on], x[row[on]], minlength=len(names)) for x in (pos, neg)]
+        won = _gain(*held, share)
+        best = int(np.argmax(won))
+        if won[best] < LEAST_GAIN:
+            break
+        chosen.append((names[best], held[0][best], held[1][best]))
+        left[row[gram == best]] = False
+    return pd.DataFrame(chosen, columns=["gram", "pos", "neg"])
 
-def choose_landmarks(marks: pd.DataFrame, clean: list[str]) -> list[str]:
-    """The best marking sequences that share no four letters with a better one, then frequent clean units."""
-    chosen: list[str] = []
-    taken: set[str] = set()
-    for g in marks["gram"]:
-        fours = {g[i : i + 4] for i in range(len(g) - 3)}
-        if not fours & taken and len(chosen) < LANDMARKS - BACKGROUND:
-            chosen.append(g)
-            taken |= fours
-    return chosen + [u for u in clean if u not in chosen][: LANDMARKS - len(chosen)]
+
+def disguised(mark: str) -> list[str]:
+    """The mark with a letter that it doesn't hold put in, or a letter doubled, at each place within."""
+    other = next(c for c in "xqzjkw0" if c not in mark or c == "0")
+    return [mark[:k] + c + mark[k:] for k in range(2, len(mark)) for c in (other, mark[k])]
 
 
 def train_machine(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, cost: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Newton steps; each row counts as pos and as neg examples."""
+    """Linear machine with squared hinge loss by Newton steps; each row counts as pos and as three times neg examples."""
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.concatenate([np.ones(len(x)), -np.ones(len(x))])
-    c = cost * np.concatenate([pos / max(1.0, pos.sum()), 4 * neg / max(1.0, neg.sum())]) * len(x)
+    c = cost * np.concatenate([pos, neg])
     two = np.concatenate([x, x])
     ridge = np.eye(x.shape[1]) * 1.0
     ridge[-1, -1] = 1e-6
@@ -178,44 +264,69 @@ def train_machine(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, cost: float =
 
 @dataclass
 class Machine:
-    weights: np.ndarray  # subsequence table of the folded landmarks
+    gate: np.ndarray  # subsequence table of all marks together
+    table: np.ndarray  # of each landmark, a column each
+    beta: np.ndarray
     bias: float
-    slope: float = 1.0
+    slope: np.ndarray = field(default_factory=lambda: np.eye(TOP + 1)[0])
     shift: float = 0.0
     key: str = ""
+    halves: dict[str, int] | None = None
+
+    def unit_margins(self, pieces: list[str]) -> np.ndarray:
+        """A piece near to no mark has the bias; that is seen from one table, so most pieces never meet the landmarks."""
+        out = np.full(len(pieces), self.bias)
+        near = np.flatnonzero(_against(pieces, self.gate) >= GATE) if pieces else []
+        for at in range(0, len(near), 2_000):
+            some = near[at : at + 2_000]
+            out[some] += _against([pieces[k] for k in some], self.table) ** POWER @ self.beta
+        return out
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        """Each text's largest unit margin; the bias alone for a text without units."""
+        """Each text's TOP largest unit margins; the bias alone where it has no more units."""
         if _scores.get("key") != self.key or len(_scores["known"]) > CACHE:
             _scores.update(key=self.key, known={})
         known = _scores["known"]
-        found = [units(t) if t else set() for t in texts]
+        found = [units(t, self.halves) if t else set() for t in texts]
         missing = list(set().union(*found).difference(known)) if found else []
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
             cut = [_pieces(u) for u in some]
-            values = _against([p for c in cut for p in c], self.weights)
+            values = self.unit_margins([p for c in cut for p in c])
             starts = np.cumsum([0, *map(len, cut)])[:-1]
             known.update(zip(some, np.maximum.reduceat(values, starts).tolist()))
-        return np.array([max(map(known.__getitem__, f), default=0.0) for f in found]) + self.bias
+        none = [self.bias] * TOP
+        return np.array([nlargest(TOP, [*map(known.__getitem__, f), *none]) for f in found]).reshape(-1, TOP)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -500, 500)))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and shift of a weighted, slightly regularised logistic curve."""
-    a = np.stack([x, np.ones_like(x)], 1)
-    t = np.zeros(2)
-    target = np.where(y == 1, 1 - 1 / (2 + (y == 1).sum()), 1 / (2 + (y == 0).sum()))
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ t, -500, 500)))
-        h = (a * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ a + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (w * (target - p)) - 1e-6 * t)
-        t = t + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(t[0]), float(t[1])
+        return 1 / (1 + np.exp(-np.clip(evidence(self.margins(texts), self.bias) @ self.slope + self.shift, -500, 500)))
+
+
+def evidence(margins: np.ndarray, bias: float) -> np.ndarray:
+    """Columns from 0 for a logistic curve: the largest margin beyond the machine's boundary, and how far each one is from the bias to it."""
+    way = 1 + margins / max(-bias, 0.1)
+    return np.hstack([np.clip(margins[:, :1], 0, 2), np.clip((way - RAMP[0]) / (RAMP[1] - RAMP[0]), 0, 1)])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Slopes of a weighted, slightly regularised logistic curve; none is negative, the first is one at least."""
+    on = np.ones(x.shape[1] + 1, bool)
+    a = np.hstack([x, np.ones((len(x), 1))])
+    while True:
+        t = np.zeros(len(on))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a @ t, -500, 500)))
+            b = a[:, on]
+            h = (b * (w * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ b + 1e-3 * np.eye(on.sum())
+            step = np.linalg.solve(h, b.T @ (w * (y - p)) - 1e-3 * t[on])
+            t[on] += np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        low = np.flatnonzero(t[:-1] < 0)
+        if not len(low):
+            t[0] = max(1.0, t[0])
+            return t[:-1]
+        on[low] = False
 
 
 def boundary(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -229,59 +340,86 @@ def boundary(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float(low + 0.3 * (high - low))
 
 
-def labelled_sentences(sample: DataFrame) -> DataFrame:
-    """(unit, pos, neg): in how many toxic and clean sentences of ``sample`` (label, text) a unit stands."""
+def labelled_sentences(sample: DataFrame, marks: list[str]) -> DataFrame:
+    """(unit, pos, neg): in how many sentences a unit decides on the label.
+
+    Units that hold a mark do in each sentence of a toxic document, every unit does in each sentence of a clean one.
+    """
+    marked = re.compile("|".join(map(re.escape, marks)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             count = {0: Counter(), 1: Counter()}
-            for label, text in zip(p["label"], p["text"]):
-                for s in _SENTENCE.split(text or ""):
-                    count[int(label)].update(u.strip(".,;:!?\"'()|") for u in units(s))
+            for y, t in zip(p["label"], p["text"]):
+                for x in _SENTENCE.split(t or ""):
+                    found = {q for u in units(x) for q in _pieces(u)}
+                    count[int(y)].update((u for u in found if marked.search(u)) if y else found)
             both = list(count[0].keys() | count[1].keys())
             yield pd.DataFrame({"unit": pd.Series(both, dtype=object), "pos": np.array([count[1][u] for u in both], np.int64), "neg": np.array([count[0][u] for u in both], np.int64)})
 
     return sample.select("label", "text").mapInPandas(run, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def clean_units(counts: DataFrame, table: np.ndarray) -> pd.DataFrame:
+    """TRAIN_UNITS units of clean sentences: half those nearest to a landmark, half by hash order."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            near = np.concatenate([_against(part, table).max(1) for part in _chunks(p["unit"].tolist(), 2_000)]) if len(p) else np.zeros(0)
+            yield p.assign(near=near.round(6).astype(float))
+
+    rows = counts.where("neg > 0").select("unit", "neg").mapInPandas(run, "unit string, neg long, near double")
+    half = [rows.orderBy(F.desc("near"), "unit").limit(TRAIN_UNITS // 2), rows.orderBy(F.xxhash64("unit"), "unit").limit(TRAIN_UNITS // 2)]
+    return pd.concat([h.toPandas() for h in half], ignore_index=True).drop_duplicates("unit")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Machine | float:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label)."""
-    ship(docs.sparkSession)
-    counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    if not counts.get(1) or not counts.get(0):
-        return 1.0 if counts.get(1) else 0.0
+    spark = docs.sparkSession
+    ship(spark)
+    total = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    if not total.get(1) or not total.get(0):
+        return 1.0 if total.get(1) else 0.0
     first = [labels.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for c in (0, 1)]
     chosen = first[0].unionByName(first[1])
     # at most 2 * TRAIN_DOCS ids: bounded, so they may be broadcast
-    sample = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text"), "toxicity-sample")
-    marks = marking_sequences(sample)
-    counts_of = materialise(labelled_sentences(sample), "toxicity-units")
-    clean = [r["unit"] for r in counts_of.where(F.length("unit").between(3, WINDOW)).orderBy(F.desc("neg"), "unit").limit(2 * LANDMARKS).collect()]
-    landmarks = choose_landmarks(marks, clean)
-    if not landmarks:
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = materialise(text.join(F.broadcast(chosen), "doc_id").select("label", "text").distinct(), "toxicity-sample")
+    marks = choose_marks(materialise(unit_contexts(sample), "toxicity-contexts"), LANDMARKS - BACKGROUND)
+    if not len(marks):
         return 0.0
-    marked = F.lit(False)
-    for g in landmarks[: max(0, len(landmarks) - BACKGROUND)]:
-        marked = marked | F.col("unit").contains(g)
-    found = pd.concat([counts_of.where(c).orderBy(F.xxhash64("unit"), "unit").limit(TRAIN_UNITS // 2).toPandas() for c in (marked, ~marked)], ignore_index=True)
+    counts = materialise(labelled_sentences(sample, marks["gram"].tolist()), "toxicity-sentences")
+    clean = [r["unit"] for r in counts.where("pos = 0 and length(unit) > 3").orderBy(F.desc("neg"), "unit").limit(BACKGROUND).collect()]
+    landmarks = marks["gram"].tolist() + clean
     table = _table(landmarks)
-    of = np.concatenate([_against(part, table) for part in _chunks([u[:WINDOW] for u in found["unit"]], 2_000)])
-    value, vector = np.linalg.eigh(_against(landmarks, table).astype(float))
+    found = [counts.where("pos > 0").orderBy(F.desc("pos"), "unit").limit(TRAIN_UNITS).toPandas(), clean_units(counts, table)]
+    # clean documents hold next to none of these: one is enough for a toxic text, disguised or not
+    plain = [g for g, a, b in zip(marks["gram"], marks["pos"], marks["neg"]) if b <= 0.02 * a]
+    forms = [x for g in plain for x in disguised(g)]
+    each = dict(zip(marks["gram"], marks["pos"] / (1 + 2 * marks["gram"].str.len())))
+    extra = pd.DataFrame({"unit": forms, "pos": [each[g] for g in plain for _ in disguised(g)], "neg": 0.0})
+    examples = pd.concat([*found, extra], ignore_index=True).fillna(0)
+    kernel = np.concatenate([_against(part, table) for part in _chunks(examples["unit"].tolist(), 2_000)])
+    kernel = np.where(kernel[:, : len(marks)].sum(1, keepdims=True) >= GATE, kernel, 0.0) ** POWER
+    value, vector = np.linalg.eigh(_against(landmarks, table).astype(float) ** POWER)
     white = vector / np.sqrt(np.maximum(value, 1e-3))  # Nystrom: the landmarks' kernel to the power -1/2
-    w, bias = train_machine(of @ white, np.minimum(found["pos"].to_numpy(float), 50), np.minimum(found["neg"].to_numpy(float), 50))
-    machine = Machine((table @ (white @ w)).astype(np.float32), bias, key=str(hash(tuple(landmarks)) ^ hash(w.tobytes())))
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    w, bias = train_machine(kernel @ white, examples["pos"].to_numpy(float), examples["neg"].to_numpy(float))
+    beta = white @ w
+    key = hashlib.sha256("\n".join(landmarks).encode() + beta.tobytes()).hexdigest()
+    machine = Machine(table[:, : len(marks)].sum(1), table, beta, bias, key=key, halves=_halves([g.removeprefix(BEGIN) for g in plain]))
+    shared = spark.sparkContext.broadcast(machine)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"label": p["label"], "margin": shared.value.margins(p["text"].tolist())})
-
-    rows = sample.mapInPandas(run, "label int, margin double").toPandas()  # at most 2 * TRAIN_DOCS rows, repeats of an id aside
-    y = rows["label"].to_numpy()
-    weight = np.where(y == 1, counts[1] / max(1, (y == 1).sum()), counts[0] / max(1, (y == 0).sum()))
-    margin = rows["margin"].to_numpy()
-    machine.slope = max(1.0, logistic(margin, y, weight / weight.mean())[0])
-    machine.shift = -machine.slope * boundary(margin, y, weight)
+            yield pd.DataFrame({"label": p["label"], "margins": list(shared.value.margins(p["text"].tolist()))})
+
+    rows = sample.mapInPandas(run, "label int, margins array<double>").toPandas()  # at most 2 * TRAIN_DOCS rows, texts of a repeated id aside
+    alone = machine.margins([x.removeprefix(BEGIN) for x in plain + forms])
+    y = np.concatenate([rows["label"].to_numpy(), np.ones(len(alone), int)])
+    x = evidence(np.concatenate([np.stack(rows["margins"].to_numpy()), alone]), bias)
+    weight = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
+    machine.slope = logistic(x, y, weight / weight.mean())
+    machine.shift = -boundary(x @ machine.slope, y, weight)
     return machine
 
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -13,18 +14,18 @@ def plain_kernel(a, b):
     def weights(s):
         out = {}
         for i, j, k in itertools.combinations(range(len(s)), 3):
-            if k - i < t.STRETCH and s[i].isalnum() and s[j].isalnum() and s[k].isalnum():
+            if k - i < t.STRETCH and not set(s[i] + s[j] + s[k]) & set(".- "):
                 key = (s[i], s[j], s[k])
                 out[key] = out.get(key, 0.0) + t.DECAY ** (k - i + 1)
         return out
 
     x, y = weights(a), weights(b)
-    norm = lambda s: t._norms()[sum(c.isalnum() for c in s)]
+    norm = lambda s: t._norms()[sum(c not in ".- " for c in s)]
     return sum(v * y.get(k, 0.0) for k, v in x.items()) / norm(a) / norm(b)
 
 
 def test_kernel_equals_enumeration():
-    words = ["idiot", "i.d.i.o.t", "xx", "abcabc", "stupidity", "", "id-iot"]
+    words = ["idiot", "i.d.i.o.t", "xx", "abcabc", "stupidity", "", "id-iot", "^idiot"]
     marks = ["idiot", "abc", "upid"]
     got = t._against(words, t._table(marks))
     for i, w in enumerate(words):
@@ -63,11 +64,55 @@ def test_held_out_documents_and_gapped_insults(spark):
     assert score[n + 3] == score[n + 4] < 0.5 and clean < 0.5
 
 
+def machine(mark):
+    table = t._table([t.BEGIN + mark])
+    return t.Machine(table[:, 0], table, np.array([3.0]), -1.0, key=mark, halves=t._halves([mark]))
+
+
 def test_long_units_are_scored_whole():
-    weights = t._table(["idiot"])[:, 0]
-    machine = t.Machine(weights, 0.0, key="k1")
-    far = "q" * 400 + "idiot" + "q" * 400
-    assert machine.margins([far])[0] > 0.5 * machine.margins(["qqidiotqq"])[0] > 0
+    m = machine("clown")
+    assert m.margins(["q" * 400 + "clown" + "q" * 400])[0, 0] > -1 + 1e-3
+    assert (m.margins(["q" * 900])[0] == -1).all() and m.margins(["clown"])[0, 0] == pytest.approx(2, abs=0.01)
+
+
+def test_signs_and_cuts_change_nothing():
+    m = machine("clown")
+    for text in ("clown", "cl-own", "c.l.o.w.n", "c l o w n", "cl own", "CLOW n", "an c l o w n!"):
+        assert m.margins([text])[0, 0] == pytest.approx(2, abs=0.01), text
+    assert (m.margins(["cl", "the pit", "", None]) == -1).all()
+
+
+def test_marks_are_stems_and_words_of_different_places(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for k in range(120):
+        ws = [word() for _ in range(30)]
+        if k % 3 == 0:
+            ws[rng.randrange(30)] = "vermin"
+            ws[rng.randrange(30)] = "zzurk" + word()
+        rows.append((int(k % 3 == 0), " ".join(ws)))
+    rows += [(1, "copied words of no harm " + rows[0][1] + f" {k}") for k in range(40)]
+    marks = t.choose_marks(t.unit_contexts(spark.createDataFrame(rows, "label int, text string")), 20)
+    assert set(marks["gram"]) == {"^vermin", "^zzurk"} and (marks["neg"] == 0).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_held_out_rows_of_the_test_tables(spark):
+    from pyspark.sql import functions as F
+
+    from strandspark.llm.common import fold, one_label, table
+
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), one_label(table(spark, "/root/testdata/sf0.1", "labels"), "toxic")
+    m = t.fit(docs, labels.where(fold(F.col("doc_id")) != 0))
+    rows = docs.join(labels.where(fold(F.col("doc_id")) == 0), "doc_id").select("text", "label").collect()
+    p, y = m.scores([r["text"] for r in rows]) >= 0.5, np.array([r["label"] for r in rows])
+    marks = "trash pathetic worthless moron idiot clown loser scum stupid disgusting".split()
+    marked = np.array([any(w in (r["text"] or "").lower() for w in marks) for r in rows])
+    assert p[(y == 1) & marked].mean() >= 0.95 and p[y == 1].mean() >= 0.75 and p[y == 0].mean() <= 0.02
+    for w in marks:
+        forms = [w, w.upper() + "!", f"{w[:2]}-{w[2:]}", "-".join(w), " ".join(w), f"{w[:2]} {w[2:]}", f"you {w[:3]}.{w[3:]}"]
+        assert (m.scores(forms) >= 0.5).all(), w
 
 
 def test_edges(spark):
