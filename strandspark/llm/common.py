@@ -31,3 +31,17 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+#: Rows of a key from which it is hot, and how many hot keys there may be.
+HOT_ROWS, HOT_KEYS = 5_000, 20_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """Inner join with ``right``, one row a key, whose ``n`` says how many of ``left``'s ``total`` rows have it.
+
+    Hot keys are broadcast, HOT_KEYS of them at most, so their rows stay where they are; others are shuffled.
+    """
+    hot = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    few, rest = right.where(hot).drop(n), right.where(~hot).drop(n)
+    return left.join(F.broadcast(few), on).unionByName(left.join(F.broadcast(few.select(on)), on, "left_anti").join(rest, on))

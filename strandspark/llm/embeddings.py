@@ -10,14 +10,23 @@ precision. A tile returns a row for each linked vector: its number of links and
 following links, never the pairs.
 
 The tree's splits come from a sample of at most SAMPLE rows (they only route rows; boxes, moments and
-comparisons cover every row), and it has at most LEAVES leaves, so what is broadcast is bounded.
-
-Defined results: vectors that are null, zero, of another length than most, or that hold null or
-non-finite components link with nothing, nor do rows with a null id; repeated rows are vectors each.
+comparisons cover every row). It has at most LEAVES leaves, so what is broadcast is bounded; a leaf
+beyond ``leaf_rows`` is cut into chunks by hash, so a tile job's memory is bounded whatever the number of
+rows. Vectors of each length have axes and a tree of their own. What boxes can't part is compared whole:
+for vectors without structure the work grows with the square of their number.
+
+A node is a distinct vector, named by its smallest id and a 128-bit digest of its components, so rows
+that repeat an id with other vectors stay apart.
+
+Defined results: vectors that are null, zero, or that hold null or non-finite components link with
+nothing, nor do rows with a null id or vectors of different lengths; repeated rows are vectors each;
+very long vectors make leaves of fewer rows; an empty table gives an empty table; only the two columns
+named are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +35,49 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandspark.llm.common import join_counted
 from strandspark.llm.components import connected_components
 from strandspark.llm.simhash import _merge_labels
 from strandspark.session import materialise, ship
 
 THRESHOLD = 0.95
-LEAF, LEAVES, SAMPLE, LEADING, TILE, STEP = 8_192, 1_024, 20_000, 16, 2_048, 16
+#: Components of a leaf's vectors, leaves, sampled rows, coordinates of the tree, rows of a tile, coordinates of a step.
+LEAF, LEAVES, SAMPLE, LEADING, TILE, STEP = 2_097_152, 4_096, 20_000, 16, 2_048, 16
 SLACK = 1e-9
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+def _matrix(column: pa.Array, d: int, wire: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), wire).astype(np.float64).reshape(-1, d)
+
+
+def keyed(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str]:
+    """(id, d, key, x) and the components' type in x: length, digest and components of a vector that can link, else nulls."""
+    wire = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if wire == "<f4" else "array<double>").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, 4_096) for whole in batches for k in range(0, whole.num_rows, 4_096)):
+            ids, column = b.column(0), b.column(1)
+            values = column.flatten()
+            x = np.nan_to_num(values.to_numpy(zero_copy_only=False).astype(wire), nan=np.inf, posinf=np.inf, neginf=np.inf) + 0.0  # no negative zeros
+            sizes = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            stops = np.cumsum(sizes)
+            known = ids.is_valid().to_numpy(zero_copy_only=False) & column.is_valid().to_numpy(zero_copy_only=False)
+            d, keys, data = [], [], []
+            for ok, stop, size in zip(known.tolist(), stops.tolist(), sizes.tolist()):
+                own = x[stop - size : stop]
+                if ok and size and np.isfinite(own).all() and own.any():
+                    raw = own.tobytes()
+                    d.append(size)
+                    keys.append(hashlib.blake2b(raw, digest_size=16).digest())
+                    data.append(raw)
+                else:
+                    for c in (d, keys, data):
+                        c.append(None)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(d, pa.int32()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["id", "d", "key", "x"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, d int, key binary, x binary"), wire
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -45,17 +85,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def principal_axes(vectors: DataFrame, d: int) -> np.ndarray:
+def principal_axes(vectors: DataFrame, d: int, wire: str) -> np.ndarray:
     """Columns are eigenvectors of the unit vectors' second moments, largest first; d * d sums reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for b in batches:
-            x = _unit(_matrix(b.column(0), d))
+            x = _unit(_matrix(b.column(0), d, wire))
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(total.ravel())], names=["at", "value"])
 
-    sums = vectors.select("embedding").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+    sums = vectors.select("x").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
     moments = np.zeros(d * d)
     moments[sums["at"]] = sums["value"]
     return np.linalg.eigh(moments.reshape(d, d))[1][:, ::-1]
@@ -83,6 +123,29 @@ class Tree:
         return node - (1 << self.depth)
 
 
+class Boxes:
+    """Bounds of every node's rows, from those of the leaves."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        leaves = len(low)
+        self.first = leaves
+        self.low, self.high = (np.concatenate([np.full_like(x, f), x]) for x, f in ((low, np.inf), (high, -np.inf)))
+        for node in range(leaves - 1, 0, -1):
+            self.low[node] = np.minimum(self.low[2 * node], self.low[2 * node + 1])
+            self.high[node] = np.maximum(self.high[2 * node], self.high[2 * node + 1])
+
+    def reached(self, y: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for all leaves whose box is within the square root of ``reach``: down the tree, all rows together."""
+        row, node = np.arange(len(y)), np.ones(len(y), np.int64)
+        while True:
+            gap = np.maximum(np.maximum(self.low[node] - y[row], y[row] - self.high[node]), 0)
+            on = (gap**2).sum(1) <= reach
+            row, node = row[on], node[on]
+            if not len(node) or node[0] >= self.first:
+                return row, node - self.first
+            row, node = np.repeat(row, 2), np.stack([2 * node, 2 * node + 1], 1).ravel()
+
+
 def _extended(y: np.ndarray, upto: int) -> np.ndarray:
     rest = np.sqrt(np.maximum((y[:, upto:] ** 2).sum(1), 0))
     return np.hstack([y[:, :upto], rest[:, None]])
@@ -113,94 +176,118 @@ def tile_pairs(ya: np.ndarray, yb: np.ndarray, xa: np.ndarray, xb: np.ndarray, s
                     yield a[on], b[on]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, leaf_rows: int = LEAF) -> DataFrame:
-    """(id, n_links, component_id, kept) for each row of ``vectors``."""
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    valid = rows.where(F.col("id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-    lengths = valid.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    kind = vectors.schema[id_col].dataType.simpleString()
-    if not lengths:
-        none = rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-        return none.withColumn("kept", F.col(id_col).isNotNull())
-    d = lengths[0]["d"]
-    distinct = materialise(valid.where(F.size("embedding") == d).groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
-    n = distinct.count()
-    axes = principal_axes(distinct, d)
+def linked_vectors(nodes: DataFrame, d: int, n: int, wire: str, threshold: float, leaf_rows: int | None) -> DataFrame:
+    """(node, links, partner) for the linked ones of ``nodes`` (node, copies, x), vectors of one length."""
+    spark = nodes.sparkSession
+    most = leaf_rows or max(256, LEAF // d)
+    axes = principal_axes(nodes, d, wire)
     k = min(LEADING, d)
-
-    leaves = min(LEAVES, 1 << max(0, (-(-n // leaf_rows) - 1)).bit_length())
-    sample = distinct.select("embedding").orderBy(F.xxhash64("rep")).limit(SAMPLE).toPandas()["embedding"]
-    tree = Tree(_unit(np.stack(sample.to_numpy()).astype(np.float64)) @ axes[:, :k], leaves.bit_length() - 1)
+    leaves = min(LEAVES, 1 << max(0, -(-n // most) - 1).bit_length())
+    sample = nodes.select("x").orderBy(F.xxhash64("node")).limit(SAMPLE).toArrow()
+    tree = Tree(_unit(_matrix(sample.column("x"), d, wire)) @ axes[:, :k], leaves.bit_length() - 1)
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high = np.full((leaves, k), np.inf), np.full((leaves, k), -np.inf)
+        low, high, rows = np.full((leaves, k), np.inf), np.full((leaves, k), -np.inf), np.zeros(leaves, np.int64)
         for b in batches:
-            y = _unit(_matrix(b.column(0), d)) @ axes[:, :k]
+            y = _unit(_matrix(b.column(0), d, wire)) @ axes[:, :k]
             leaf = tree.leaf(y)
             np.minimum.at(low, leaf, y)
             np.maximum.at(high, leaf, y)
-        at = np.repeat(np.arange(leaves), k)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(np.arange(k), leaves)), pa.array(low.ravel()), pa.array(high.ravel())], names=["leaf", "axis", "low", "high"])
-
-    box = distinct.select("embedding").mapInArrow(boxes, "leaf long, axis long, low double, high double").groupBy("leaf", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
-    low, high = np.full((leaves, k), np.inf), np.full((leaves, k), -np.inf)
-    low[box["leaf"], box["axis"]], high[box["leaf"], box["axis"]] = box["low"], box["high"]
-    shared = spark.sparkContext.broadcast((axes, tree, low, high))
+            rows += np.bincount(leaf, minlength=leaves)
+        on = np.flatnonzero(rows)
+        columns = [on.tolist(), rows[on].tolist(), low[on].tolist(), high[on].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], names=["leaf", "n", "low", "high"])
+
+    each = [F.struct(F.min(F.col("low")[i]).alias("low"), F.max(F.col("high")[i]).alias("high")) for i in range(k)]
+    found = nodes.select("x").mapInArrow(boxes, "leaf long, n long, low array<double>, high array<double>").groupBy("leaf").agg(F.sum("n").alias("n"), F.array(*each).alias("box")).collect()
+    low, high, chunks = np.full((leaves, k), np.inf), np.full((leaves, k), -np.inf), np.ones(leaves, np.int64)
+    for r in found:
+        low[r["leaf"]], high[r["leaf"]], chunks[r["leaf"]] = [x["low"] for x in r["box"]], [x["high"] for x in r["box"]], -(-r["n"] // most)
+    first = np.cumsum(chunks) - chunks  # number of each leaf's first chunk
+    shared = spark.sparkContext.broadcast((axes, tree, Boxes(low, high), chunks, first))
     reach = 2 - 2 * threshold + SLACK
+    rows_at_once = max(16, 400_000 // int(chunks.sum()))
+    node_type = nodes.select("node").limit(0).toArrow().schema.field("node").type
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(node_type), pa.list_(pa.int64()), pa.binary()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axes, tree, low, high = shared.value
-        for b in batches:
-            x = _matrix(b.column(0), d)
-            y = _unit(x) @ axes[:, :k]
+        axes, tree, boxes, chunks, first = shared.value
+        for b in (whole.slice(at, rows_at_once) for whole in batches for at in range(0, whole.num_rows, rows_at_once)):
+            raw = b.column(2).to_pylist()
+            y = _unit(_matrix(b.column(2), d, wire)) @ axes[:, :k]
             home = tree.leaf(y)
+            salt = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") for x in raw], np.int64)
+            mine = first[home] + salt % chunks[home]
+            row, leaf = boxes.reached(y, reach)
+            row, leaf = np.repeat(row, chunks[leaf]), np.repeat(leaf, chunks[leaf])
+            if not len(row):
+                continue
+            run = np.concatenate([[True], (row[1:] != row[:-1]) | (leaf[1:] != leaf[:-1])])
+            other = first[leaf] + np.arange(len(row)) - np.maximum.accumulate(np.where(run, np.arange(len(row)), 0))
+            order = np.lexsort((row, other, mine[row]))
+            row, other = row[order], other[order]
+            edge = np.flatnonzero(np.concatenate([[True], (other[1:] != other[:-1]) | (mine[row][1:] != mine[row][:-1]), [True]]))
             out = []
-            for other in range(leaves):
-                gap = np.maximum(np.maximum(low[other] - y, y - high[other]), 0)
-                near = (home == other) | ((gap**2).sum(1) <= reach)
-                for mine in np.unique(home[near]):
-                    pick = np.flatnonzero(near & (home == mine))
-                    out.append((int(min(mine, other)), int(max(mine, other)), int(mine), b.column(1).take(pa.array(pick)).to_pylist(), b.column(2).to_numpy()[pick].tolist(), x[pick].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types], names=["a", "b", "mine", "reps", "copies", "vectors"])
-
-    rep_type = distinct.limit(0).toArrow().schema.field("rep").type
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.list_(rep_type), pa.list_(pa.int64()), pa.binary()]
+            for s, e in zip(edge, edge[1:]):
+                pick, m, o = row[s:e], int(mine[row[s]]), int(other[s])
+                at = pa.array(pick)
+                out.append((min(m, o), max(m, o), m, b.column(0).take(at).to_pylist(), b.column(1).take(at).to_pylist(), b"".join(raw[i] for i in pick)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["a", "b", "mine", "nodes", "copies", "x"])
 
     def compare(key, table):
         a, b = (v.as_py() for v in key)
         side = {}
         for leaf in {a, b}:
             part = table.filter(pa.compute.equal(table.column("mine"), leaf))
-            reps = [r for col in part.column("reps").to_pylist() for r in col]
+            names = [r for col in part.column("nodes").to_pylist() for r in col]
             copies = np.array([c for col in part.column("copies").to_pylist() for c in col], np.int64)
-            x = np.frombuffer(b"".join(part.column("vectors").to_pylist()), np.float64).reshape(-1, d)
-            side[leaf] = (reps, copies, _unit(x) if len(x) else x)
+            x = _matrix(part.column("x"), d, wire)
+            side[leaf] = (names, copies, _unit(x) if len(x) else x)
         axes = shared.value[0]
         (ra, ca, xa), (rb, cb, xb) = side[a], side[b]
         shift = 0 if a == b else len(ra)
-        reps, copies = (ra, ca) if a == b else (ra + rb, np.concatenate([ca, cb]))
-        number, label = np.zeros(len(reps), np.int64), np.arange(len(reps))
+        names, copies = (ra, ca) if a == b else (ra + rb, np.concatenate([ca, cb]))
+        number, label = np.zeros(len(names), np.int64), np.arange(len(names))
         if len(xa) and len(xb):
             for i, j in tile_pairs(xa @ axes, xb @ axes, xa, xb, a == b, threshold):
                 np.add.at(number, i, copies[j + shift])
                 np.add.at(number, j + shift, copies[i])
                 label = _merge_labels(label, i, j + shift)
         on = np.flatnonzero(number)
-        return pa.table([pa.array([reps[i] for i in on], rep_type), pa.array(number[on]), pa.array([reps[i] for i in label[on]], rep_type)], names=["rep", "links", "partner"])
-
-    dealt = distinct.select("embedding", "rep", "copies").mapInArrow(deal, f"a int, b int, mine int, reps array<{kind}>, copies array<long>, vectors binary")
-    found = materialise(dealt.groupBy("a", "b").applyInArrow(compare, f"rep {kind}, links long, partner {kind}"), "linked-vectors")
-    nodes = connected_components(found.select(F.col("rep").alias("a"), F.col("partner").alias("b")))
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links")).join(nodes, F.col("rep") == F.col("node"), "left").select("rep", "links", "component")
-    known = distinct.join(linked, "rep", "left").select(
-        "embedding",
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
-    )
-    out = rows.join(known, (rows["embedding"] == known["embedding"]) & rows["id"].isNotNull(), "left")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+        return pa.table([pa.array([names[i] for i in on], node_type), pa.array(number[on]), pa.array([names[i] for i in label[on]], node_type)], names=["node", "links", "partner"])
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    dealt = nodes.select("node", "copies", "x").mapInArrow(deal, f"a long, b long, mine long, nodes array<{kind}>, copies array<long>, x binary")
+    return dealt.groupBy("a", "b").applyInArrow(compare, f"node {kind}, links long, partner {kind}")
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, leaf_rows: int | None = None) -> DataFrame:
+    """(id, n_links, component_id, kept) for each row of ``vectors``."""
+    spark = vectors.sparkSession
+    ship(spark)
+    rows, wire = keyed(vectors, id_col, vector_col)
+    keys = materialise(rows.select("id", "key"), "vector-keys")
+    nodes = rows.where("key is not null").groupBy("d", "key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("x").alias("x"))
+    nodes = materialise(nodes.select("d", F.struct("rep", "key").alias("node"), "copies", "x"), "distinct-vectors")
+    found = None
+    for r in nodes.groupBy("d").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).collect():
+        some = linked_vectors(nodes.where(F.col("d") == r["d"]), r["d"], r["n"], wire, threshold, leaf_rows)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        none = keys.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        return none.withColumn("kept", F.col(id_col).isNotNull())
+    found = materialise(found, "linked-vectors")
+    components = connected_components(found.select(F.col("node").alias("a"), F.col("partner").alias("b")))
+    linked = found.groupBy("node").agg(F.sum("links").alias("links")).join(components, "node", "left")
+    known = materialise(
+        nodes.select("node", "copies").join(linked, "node", "left").select(
+            F.col("node.key").alias("key"), "copies",
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+            F.coalesce("component.rep", "node.rep").alias("component_id"),
+        ),
+        "known-vectors",
+    )
+    total = known.agg(F.sum("copies")).first()[0]
+    out = join_counted(keys.where("key is not null"), known, "key", "copies", total).select("id", "n_links", "component_id")
+    out = out.unionByName(keys.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id").withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

@@ -15,8 +15,8 @@ shared are taken as they stand. In sum a line goes if it lies in a run of at lea
 that an earlier document has as well; a block's first holder keeps it.
 
 Only hashes, positions and word counts are compared; text is shuffled once, to meet its deletions. A
-block with more than HOT rows is joined by broadcast (there are at most HOT_BLOCKS of those), so that no
-task meets a common block's documents together.
+very common block is joined by broadcast (``join_counted`` bounds how many there are), so that no task
+meets all its documents.
 
 Defined results: lines are compared without surrounding white space; blank lines neither match nor
 count and go only if nothing else is left; a document is an (id, text), so repeated rows are one
@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import free_name
+from strandspark.llm.common import free_name, join_counted
 from strandspark.session import materialise, ship
 
 MIN_WORDS = 10
-#: Alignments of a pair; rows from which a block is common, and how many common blocks there may be.
-ROUNDS, HOT, HOT_BLOCKS = 8, 5_000, 20_000
+#: Alignments of a pair.
+ROUNDS = 8
 
 
 def blocks(counts: list[int], min_words: int) -> set[tuple[int, int]]:
@@ -180,9 +180,7 @@ def shared_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) -
     owners = held.groupBy("hash").agg(first, F.max(F.struct("id", "th")).alias("last"), F.count("*").alias("n")).where("struct(first.id, first.th) < last")
     owners = materialise(owners.select("hash", F.col("first.id").alias("owner"), F.col("first.th").alias("owner_th"), F.col("first.start").alias("owner_start"), "n"), "block-owners")
     total = owners.agg(F.sum("n")).first()[0] or 0
-    common = F.col("n") > max(HOT, total // HOT_BLOCKS)  # at most HOT_BLOCKS rows: they may be broadcast
-    hot, rest = owners.where(common).drop("n"), owners.where(~common).drop("n")
-    found = held.join(F.broadcast(hot), "hash").unionByName(held.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(rest, "hash"))
+    found = join_counted(held, owners, "hash", "n", total)
     found = found.where("struct(owner, owner_th) < struct(id, th)").select("id", "th", F.struct("hash", "start", "lines", "owner", "owner_th", "owner_start").alias("block"))
     return found.groupBy("id", "th").agg(F.collect_set("block").alias("blocks"))
 

@@ -2,6 +2,7 @@ import random
 
 from helpers import docs_table
 
+from strandspark.llm import common
 from strandspark.llm import line_dedup as ld
 
 
@@ -40,7 +41,7 @@ def test_equals_all_pairs(spark, monkeypatch):
     texts = ["\n".join(rng.choice([*lines, "", f"own {rng.random()} words"]) for _ in range(rng.randint(0, 12))) for _ in range(120)]
     texts = list(dict.fromkeys(texts)) + [None]
     check(spark, texts, 6)
-    monkeypatch.setattr(ld, "HOT", 3)  # common blocks take the other join
+    monkeypatch.setattr(common, "HOT_ROWS", 3)  # common blocks take the other join
     monkeypatch.setattr(ld, "ROUNDS", 1)
     check(spark, texts, 6)
 
