@@ -1,22 +1,30 @@
 """Language-model scores by deleted interpolation.
 
-Maximum-likelihood estimates of orders 1 to n and an add-half unigram base are mixed with weights that
-depend on the bucket of the context's frequency. The weights come from expectation-maximisation over
-held-out counts: a part of the training documents is deleted from the counts, and each of its tokens
-falls into a cell (context bucket, rounded estimate of every order); cells are few whatever the corpus.
+Maximum-likelihood estimates of orders 1 to n (trigrams by default) and an add-half unigram base are mixed
+with weights that depend on the longest context seen and the bucket of its frequency. The weights come
+from expectation-maximisation over held-out counts: a part of the training documents is deleted from the
+counts, and each of its tokens falls into a cell (context bucket, rounded estimate of every order); cells
+are few whatever the corpus.
 
 Counting and scoring move n-grams, not tokens. A task encodes its documents into blocks (written once
-to the shared folder). A block sends each distinct n-gram once, as a sorted 56-bit hash with its counts,
+to the shared folder). A block sends each distinct n-gram once, as a sorted hash with its counts,
 cut by hash range into buckets whose number follows the corpus; a bucket adds up and answers in the
 order asked, so a block gets the counts of its own n-grams back. No key can be hot: within a block it
-occurs once.
+occurs once. Words have 60-bit hashes; longer n-grams SPARE bits more than the number of tokens, so at
+any size one in 2 ** SPARE meets another's count, which touches the mixture only.
+
+A row carries an n-gram block's share of a bucket: some hundred n-grams at tens of gigabytes, fewer the
+larger the corpus is.
 
 Defined results: a null text is empty and has one token, the end; rows with a null id are scored, not
-learned and not held out; with nothing to learn from, the base gives every token probability one.
+learned and not held out; rows that repeat an id are documents each; a very long text makes a block of
+its own; other columns are not read, whatever their names; with nothing to learn from, the base gives
+every token probability one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +34,8 @@ from pyspark.sql import functions as F
 
 from strandspark.session import drop, ship, write_scratch
 
-#: Tokens of a block, n-grams of an exchange bucket, bits of an n-gram's hash.
-BLOCK, BUCKET, BITS = 1_500_000, 3_000_000, 56
+#: Tokens of a block, n-grams of an exchange bucket, bits of a word's hash and those of a longer n-gram's beyond the corpus's.
+BLOCK, BUCKET, BITS, SPARE = 1_500_000, 3_000_000, 60, 14
 END, START = 0, 1
 TRAIN, TUNE = 1, 2
 
@@ -42,6 +50,18 @@ def pack(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-wide // 8)].T).tobytes()
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """``pack`` with a Huffman code for what lies above the two lowest planes: it takes few values."""
+    low, high = values & np.uint64(0xFFFF), pack(values >> np.uint64(16))
+    c = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return low.astype("<u2").tobytes() + c.compress(high) + c.flush()
+
+
+def unsqueeze(data: bytes, n: int) -> np.ndarray:
+    low = np.frombuffer(data[: 2 * n], "<u2").astype(np.uint64)
+    return low | unpack(zlib.decompress(data[2 * n :], -15), n) << np.uint64(16)
+
+
 def unpack(data: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     if n and data:
@@ -66,7 +86,7 @@ def encode(docs: DataFrame, id_col: str, text_col: str, part: Column) -> DataFra
             hashes = np.array([xxh64_intdigest(b"", 1), xxh64_intdigest(b"", 2), *[xxh64_intdigest(w) for w in known]], np.uint64)
             number = (TaskContext.get().partitionId() << 32) + made
             made += 1
-            columns = [[number], [len(ids)], [ids.tobytes()], [hashes.tobytes()], [doc_ids], [lengths], [parts]]
+            columns = [[number], [len(ids)], [pack(ids)], [hashes.tobytes()], [doc_ids], [lengths], [parts]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
         names = ["block", "n_tokens", "ids", "hashes", "doc_ids", "lengths", "parts"]
@@ -100,13 +120,13 @@ class Block:
     """One encoded block's n-grams: for each order, their distinct sorted hashes and each position's place among them."""
 
     def __init__(self, ids: bytes, hashes: bytes, lengths: list[int], parts: list[int]):
-        self.ids = np.frombuffer(ids, np.uint32)
         self.word = np.frombuffer(hashes, np.uint64)
         self.lengths = np.array(lengths, np.int64)
+        self.ids = unpack(ids, int(self.lengths.sum())).astype(np.uint32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.part = np.repeat(np.array(parts, np.int64), self.lengths)
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         h = self.word[self.ids].copy()
         before = self.ids
         for _ in range(order - 1):
@@ -114,7 +134,7 @@ class Block:
             before[self.starts] = START
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + self.word[before]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        h = (h ^ (h >> np.uint64(29))) >> np.uint64(64 - BITS)
+        h = (h ^ (h >> np.uint64(29))) >> np.uint64(64 - bits)
         return np.unique(h, return_inverse=True)
 
     def counts(self, place: np.ndarray, n: int, part: int) -> np.ndarray:
@@ -126,38 +146,43 @@ def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
         yield {name: table.column(i)[k].as_py() for i, name in enumerate(table.schema.names)}
 
 
-def ask(blocks: DataFrame, orders: list[int], buckets: int) -> DataFrame:
+def widths(order: int, n_tokens: int) -> dict[int, int]:
+    """Bits of the hashes of each order."""
+    return {k: BITS if k == 1 else min(BITS, n_tokens.bit_length() + SPARE) for k in range(1, order + 1)}
+
+
+def ask(blocks: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
     """A row for each block, order and bucket: the n-grams' hashes and their counts in the block."""
     schema = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("tune", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([(k << BITS) // buckets for k in range(buckets)] + [1 << BITS], np.uint64)
+        edges = {n: np.array([(k << n) // buckets for k in range(buckets)] + [1 << n], np.uint64) for n in set(bits.values())}
         for batch in batches:
             for r in _rows(batch):
                 block = Block(r["ids"], r["hashes"], r["lengths"], r["parts"])
-                for order in orders:
-                    keys, place = block.grams(order)
+                for order, width in bits.items():
+                    keys, place = block.grams(order, width)
                     train, tune = (block.counts(place, len(keys), p) for p in (TRAIN, TUNE))
-                    cut = np.searchsorted(keys, edges)
+                    cut = np.searchsorted(keys, edges[width])
                     out = []
                     for k in np.flatnonzero(np.diff(cut)):
                         s = slice(cut[k], cut[k + 1])
-                        gaps = np.diff(keys[s], prepend=edges[k])
-                        out.append((order, int(k), r["block"], len(gaps), pack(gaps), pack(train[s]), pack(tune[s])))
+                        gaps = np.diff(keys[s], prepend=edges[width][k])
+                        out.append((order, int(k), r["block"], len(gaps), squeeze(gaps), pack(train[s]), pack(tune[s])))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return blocks.select("block", "ids", "hashes", "lengths", "parts").mapInArrow(run, "order int, bucket long, block long, n long, keys binary, train binary, tune binary")
 
 
-def answer(asked: DataFrame, buckets: int) -> DataFrame:
+def answer(asked: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
     """For each row asked, the corpus counts in the same order; one more row a bucket (block null) has its totals."""
     schema = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("train", pa.binary()), ("tune", pa.binary()), ("totals", pa.list_(pa.int64()))])
 
     def run(key, table):
         order, bucket = (k.as_py() for k in key)
-        low = np.uint64((bucket << BITS) // buckets)
+        low = np.uint64((bucket << bits[order]) // buckets)
         rows = list(_rows(table.select(["block", "n", "keys", "train", "tune"])))
-        keys = np.concatenate([np.cumsum(unpack(r["keys"], r["n"])) + low for r in rows])
+        keys = np.concatenate([np.cumsum(unsqueeze(r["keys"], r["n"])) + low for r in rows])
         _, place = np.unique(keys, return_inverse=True)
         train, tune = (np.bincount(place, np.concatenate([unpack(r[c], r["n"]) for r in rows])).astype(np.int64) for c in ("train", "tune"))
         out, at = [], 0
@@ -172,9 +197,12 @@ def answer(asked: DataFrame, buckets: int) -> DataFrame:
     return asked.groupBy("order", "bucket").applyInArrow(run, "order int, bucket long, block long, n long, train binary, tune binary, totals array<long>")
 
 
-def context_bucket(count: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else 1 + floor(log2(count))."""
-    return np.where(count > 0, 1 + np.log2(np.maximum(count, 1)).astype(np.int64), 0)
+def context_bucket(counts: list[np.ndarray]) -> np.ndarray:
+    """64 for each longer context seen, and 1 + floor(log2(count)) of the longest; 0 if none is. ``counts``: of the contexts of orders 2 and up."""
+    out = np.zeros(len(counts[0]) if counts else 0, np.int64)
+    for level, count in enumerate(counts):
+        out = np.where(count > 0, 64 * level + 1 + np.log2(np.maximum(count, 1)).astype(np.int64), out)
+    return out
 
 
 def _level(p: np.ndarray) -> np.ndarray:
@@ -183,15 +211,18 @@ def _level(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.minimum(-2 * np.log2(np.maximum(p, 1e-38)), 254), 255).astype(np.int64)
 
 
-def estimates(counts: list[np.ndarray], starts: np.ndarray, n_docs: float, total: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Counts of the n-gram ending at each position, by order: the highest context's count, and the estimates of every order."""
-    out = [counts[0] / total if total else np.zeros(len(counts[0]))]
-    context = np.full(len(counts[0]), total)
+def estimates(counts: list[np.ndarray], starts: np.ndarray, n_docs: float, total: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Counts of the n-gram ending at each position, by order: the counts of its contexts of orders 2 and up, and the estimates of every order.
+
+    A context that reaches before the text's beginning is counted by documents.
+    """
+    out, contexts = [counts[0] / total if total else np.zeros(len(counts[0]))], []
     for lower, here in zip(counts, counts[1:]):
         context = np.concatenate([[0], lower[:-1]]).astype(np.float64)
         context[starts] = n_docs
+        contexts.append(context)
         out.append(np.divide(here, context, out=np.zeros(len(here)), where=context > 0))
-    return context, out
+    return contexts, out
 
 
 class Mixture:
@@ -204,44 +235,47 @@ class Mixture:
         levels = [(keys >> (8 * k)) & 255 for k in range(order)]
         p = [np.where(v == 255, 0, 2.0 ** (-(v + 0.5) / 2)) for v in levels]
         p = np.stack([(p[0] * kept_tokens + 0.5) / (kept_tokens + 0.5 * (kept_types + 1)), *p])
-        self.weights = np.full((64, order + 1), 1 / (order + 1))
-        overall = self.weights[0]
-        for b in (None, *range(64)):
-            on = slice(None) if b is None else bucket == b
-            w, q = weight[on], p[:, on]
-            mix = overall.copy()
-            for _ in range(rounds if w.sum() else 0):
-                share = mix[:, None] * q
-                mix = np.maximum((share / np.maximum(share.sum(0), 1e-300) * w).sum(1) / w.sum(), least)
-                mix /= mix.sum()
-            if b is None:
-                overall = mix
-            else:
-                if b == 0 and order > 1:  # an unseen context has no estimate of the highest order
-                    mix[-1] = 0
-                self.weights[b] = mix / mix.sum()
-
-    def __call__(self, base: np.ndarray, context: np.ndarray, parts: list[np.ndarray]) -> np.ndarray:
-        w = self.weights[context_bucket(context)]
+        overall = self._learn(np.full(order + 1, 1 / (order + 1)), weight, p, rounds, least)
+        self.weights = np.tile(overall, (64 * max(1, order - 1), 1))
+        for b in range(len(self.weights)):
+            on = bucket == b
+            mix = self._learn(overall, weight[on], p[:, on], rounds, least)
+            seen = 0 if b == 0 else 1 + b // 64  # contexts beyond those seen have no estimate
+            mix[2 + seen :] = 0
+            self.weights[b] = mix / mix.sum()
+
+    @staticmethod
+    def _learn(mix: np.ndarray, weight: np.ndarray, p: np.ndarray, rounds: int, least: float) -> np.ndarray:
+        """Expectation-maximisation from ``mix`` on: each component's share of the tokens."""
+        for _ in range(rounds if weight.sum() else 0):
+            share = mix[:, None] * p
+            mix = np.maximum((share / np.maximum(share.sum(0), 1e-300) * weight).sum(1) / weight.sum(), least)
+            mix /= mix.sum()
+        return mix.copy()
+
+    def __call__(self, base: np.ndarray, contexts: list[np.ndarray], parts: list[np.ndarray]) -> np.ndarray:
+        w = self.weights[context_bucket(contexts) if contexts else np.zeros(len(base), np.int64)]
         return sum((w[:, k + 1] * p for k, p in enumerate(parts)), w[:, 0] * base)
 
 
-def _annotate(blocks: DataFrame, answers: DataFrame, order: int, n_train: int, n_kept: int, kept: tuple[int, int], kind: str) -> DataFrame:
+def _annotate(blocks: DataFrame, answers: DataFrame, bits: dict[int, int], n_kept: int, kept: tuple[int, int], kind: str) -> DataFrame:
     """Each block's counts by position, and the cells of its held-out tokens."""
+    order = len(bits)
+
     def run(left, right):
         r = next(_rows(left))
         block = Block(r["ids"], r["hashes"], r["lengths"], r["parts"])
         replies = sorted(_rows(right.select(["order", "bucket", "n", "train", "tune"])), key=lambda x: (x["order"], x["bucket"]))
         train, rest = [], []
         for k in range(1, order + 1):
-            _, place = block.grams(k)
+            _, place = block.grams(k, bits[k])
             mine = [x for x in replies if x["order"] == k]
             c, t = (np.concatenate([unpack(x[name], x["n"]) for x in mine]).astype(np.int64)[place] for name in ("train", "tune"))
             train.append(c)
             rest.append(c - t)
         tuned = (block.part & TUNE) > 0
-        context, parts = estimates(rest, block.starts, n_kept, kept[0])
-        cell = context_bucket(context[tuned]) if order > 1 else np.zeros(int(tuned.sum()), np.int64)
+        contexts, parts = estimates(rest, block.starts, n_kept, kept[0])
+        cell = context_bucket([c[tuned] for c in contexts]) if order > 1 else np.zeros(int(tuned.sum()), np.int64)
         for p in reversed(parts):
             cell = (cell << 8) | _level(p[tuned])
         cells, times = np.unique(cell, return_counts=True)
@@ -251,7 +285,7 @@ def _annotate(blocks: DataFrame, answers: DataFrame, order: int, n_train: int, n
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_ids array<{kind}>, lengths array<int>, parts array<int>, counts array<binary>, cells array<long>, times array<long>")
 
 
-def score(docs: DataFrame, learn: Column, held_out: Column, tune: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+def score(docs: DataFrame, learn: Column, held_out: Column, tune: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
     """Per document: ``held_out``, token figures, ``base_score`` and the mixture's ``score``, both log10.
 
     ``learn`` and ``tune`` (a part of the former that estimates the weights) are conditions on ``docs``.
@@ -270,11 +304,12 @@ def score(docs: DataFrame, learn: Column, held_out: Column, tune: Column, id_col
     ).first()
     n_tokens, n_train, n_tune = (x or 0 for x in size)
     buckets = max(1, -(-n_tokens // BUCKET))
-    answered = write_scratch(answer(ask(blocks, list(range(1, order + 1)), buckets), buckets), "lm-counts")
+    bits = widths(order, n_tokens)
+    answered = write_scratch(answer(ask(blocks, bits, buckets), bits, buckets), "lm-counts")
     answers = spark.read.parquet(answered)
     totals = answers.where("block is null and order = 1").select(*[F.sum(F.col("totals")[k]) for k in range(4)]).first()
     n, v, kept_n, kept_v = (int(x or 0) for x in totals)
-    annotated = write_scratch(_annotate(blocks, answers.where("block is not null"), order, n_train, n_train - n_tune, (kept_n, kept_v), kind), "lm-annotated")
+    annotated = write_scratch(_annotate(blocks, answers.where("block is not null"), bits, n_train - n_tune, (kept_n, kept_v), kind), "lm-annotated")
     drop(spark, encoded)
     drop(spark, answered)
     found = spark.read.schema(f"doc_ids array<{kind}>, lengths array<int>, parts array<int>, counts array<binary>, cells array<long>, times array<long>").parquet(annotated)

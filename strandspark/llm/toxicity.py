@@ -164,6 +164,11 @@ def _words(text: str) -> Iterator[tuple[str, str]]:
         before = w
 
 
+def _few(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents a hundred at a time, so that what is counted of them stays small."""
+    return (p.iloc[k : k + 100] for p in parts for k in range(0, len(p), 100))
+
+
 def unit_contexts(sample: DataFrame) -> DataFrame:
     """(unit, pos, neg): behind how many different words a unit stands in toxic and clean documents of ``sample`` (label, text).
 
@@ -171,7 +176,7 @@ def unit_contexts(sample: DataFrame) -> DataFrame:
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in _few(parts):
             found = {0: set(), 1: set()}
             for y, t in zip(p["label"], p["text"]):
                 found[int(y)].update(_words(t or ""))
@@ -204,7 +209,7 @@ def choose_marks(contexts: DataFrame, most: int) -> pd.DataFrame:
     share = n[0] / (n[0] + n[1])
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in (x for whole in parts for x in _chunks(whole, 2_000)):
             rows = [(g, a, b) for u, a, b in zip(p["unit"], p["pos"], p["neg"]) for g in _grams(u)]
             yield pd.DataFrame(rows, columns=["gram", "pos", "neg"]).groupby("gram", as_index=False).sum() if rows else pd.DataFrame({"gram": [], "pos": [], "neg": []})
 
@@ -348,7 +353,7 @@ def labelled_sentences(sample: DataFrame, marks: list[str]) -> DataFrame:
     marked = re.compile("|".join(map(re.escape, marks)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in _few(parts):
             count = {0: Counter(), 1: Counter()}
             for y, t in zip(p["label"], p["text"]):
                 for x in _SENTENCE.split(t or ""):
@@ -410,7 +415,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | float:
     shared = spark.sparkContext.broadcast(machine)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in _few(parts):
             yield pd.DataFrame({"label": p["label"], "margins": list(shared.value.margins(p["text"].tolist()))})
 
     rows = sample.mapInPandas(run, "label int, margins array<double>").toPandas()  # at most 2 * TRAIN_DOCS rows, texts of a repeated id aside
@@ -423,7 +428,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | float:
     return machine
 
 
-def _chunks(items: list, n: int) -> Iterator[list]:
+def _chunks(items, n: int) -> Iterator:
     return (items[k : k + n] for k in range(0, len(items), n))
 
 

@@ -28,23 +28,26 @@ def plain(texts, learned, tuned, order):
         total = sum(c[0].values())
         padded = [None] * (order - 1) + s
         out = [c[0][(s[i],)] / total if total else 0.0]
-        context = total
+        contexts = []
         for n in range(1, order):
             gram = tuple(padded[order - 1 + i - n : order + i])
             history = gram[:-1]
-            context = docs if all(x is None for x in history) else c[n - 1][history]
-            out.append(c[n][gram] / context if context else 0.0)
-        return context, out
+            contexts.append(docs if all(x is None for x in history) else c[n - 1][history])
+            out.append(c[n][gram] / contexts[-1] if contexts[-1] else 0.0)
+        return contexts, out
 
     c, docs = counts(learned)
     kept, kept_docs = counts([a and not b for a, b in zip(learned, tuned)])
     cells = collections.Counter()
     for s, t in zip(seqs, tuned):
         for i in range(len(s) if t else 0):
-            context, p = parts(s, i, kept, kept_docs)
-            cell = int(lm.context_bucket(np.array([context]))[0]) if order > 1 else 0
+            contexts, p = parts(s, i, kept, kept_docs)
+            cell = 0  # the longest context seen, and the octave of its count
+            for level, n in enumerate(contexts):
+                if n > 0:
+                    cell = 64 * level + 1 + int(math.log2(n))
             for x in reversed(p):
-                cell = cell << 8 | int(lm._level(np.array([x]))[0])
+                cell = cell << 8 | (min(int(-2 * math.log2(x)), 254) if x > 0 else 255)
             cells[cell] += 1
     n, v = sum(c[0].values()), len(c[0])
     mixture = lm.Mixture(order, dict(cells), sum(kept[0].values()), len(+kept[0]))
@@ -53,9 +56,9 @@ def plain(texts, learned, tuned, order):
         base = score = 0.0
         for i, w in enumerate(s):
             b = (c[0][(w,)] + 0.5) / (n + 0.5 * (v + 1))
-            context, p = parts(s, i, c, docs)
+            contexts, p = parts(s, i, c, docs)
             base += math.log10(b)
-            score += math.log10(mixture(np.array([b]), np.array([context]), [np.array([x]) for x in p])[0])
+            score += math.log10(mixture(np.array([b]), [np.array([x]) for x in contexts], [np.array([x]) for x in p])[0])
         rows.append((len(s), sum(c[0][(w,)] > 0 for w in s), n, base, score))
     return rows
 
@@ -76,15 +79,49 @@ def test_equals_plain_version(spark, monkeypatch, order):
         assert r["base_score"] == pytest.approx(want[3], abs=1e-8) and r["score"] == pytest.approx(want[4], abs=1e-8)
 
 
+def test_weights_are_those_of_a_plain_expectation_maximisation():
+    rng = random.Random(9)
+    order, kept, types = 3, 1000.0, 50.0
+    cells = {}
+    for _ in range(300):
+        level = rng.choice([0, 0, 1])
+        bucket = rng.choice([0, 64 * level + rng.randint(1, 3)])
+        seen = 0 if bucket == 0 else 1 + bucket // 64
+        v = [rng.randint(4, 30), *(rng.randint(0, 12) if k < seen else 255 for k in range(2))]
+        cells[bucket << 24 | v[2] << 16 | v[1] << 8 | v[0]] = rng.randint(1, 9)
+    mixture = lm.Mixture(order, cells, kept, types, rounds=400, least=0)
+
+    def probabilities(key):
+        values = [(key >> 8 * k) & 255 for k in range(order)]
+        p = [0.0 if v == 255 else 2 ** (-(v + 0.5) / 2) for v in values]
+        return [(p[0] * kept + 0.5) / (kept + 0.5 * (types + 1)), *p]
+
+    for bucket in {k >> 24 for k in cells}:
+        own = [(probabilities(k), n) for k, n in cells.items() if k >> 24 == bucket]
+        best = [0.25] * 4
+        for _ in range(1500):
+            total = [0.0] * 4
+            for p, n in own:
+                mix = sum(a * b for a, b in zip(best, p))
+                for k in range(4):
+                    total[k] += n * best[k] * p[k] / mix
+            best = [x / sum(total) for x in total]
+        value = lambda w: sum(n * math.log(sum(a * b for a, b in zip(w, p))) for p, n in own)  # noqa: E731, B023
+        assert value(mixture.weights[bucket]) == pytest.approx(value(best), rel=1e-4)
+
+
 def test_probabilities_sum_to_one_for_a_seen_context():
     mixture = lm.Mixture(2, {(1 << 16) | (4 << 8) | 10: 5, (2 << 16) | (255 << 8) | 9: 7}, 100, 10)
     assert np.allclose(mixture.weights.sum(1), 1) and mixture.weights[0, -1] == 0
+    deep = lm.Mixture(3, {(65 << 24) | (4 << 16) | (4 << 8) | 10: 5}, 100, 10)
+    assert np.allclose(deep.weights.sum(1), 1) and (deep.weights[:64, 3] == 0).all() and deep.weights[65, 3] > 0
 
 
 def test_packing():
     for values in ([], [0, 0], [1, 255, 256, 2**56 - 1]):
         a = np.array(values, np.uint64)
         assert lm.unpack(lm.pack(a), len(a)).tolist() == values
+        assert lm.unsqueeze(lm.squeeze(a), len(a)).tolist() == values
 
 
 def test_edges(spark):
@@ -95,3 +132,6 @@ def test_edges(spark):
     rows = lm.score(docs, F.col("doc_id") > 0, F.col("doc_id") < 0, none).collect()
     assert all(math.isfinite(r["score"]) for r in rows) and {r["held_out"] for r in rows} == {False}
     assert lm.score(docs.limit(0), none, none, none).count() == 0
+    long = docs_table(spark, ["x" * 200_000, "a b " * 60_000, "a b"])
+    rows = {r["doc_id"]: r for r in lm.score(long, F.col("doc_id") >= 0, F.col("doc_id") < 0, F.col("doc_id") == 2).collect()}
+    assert rows[0]["n_tokens"] == 2 and rows[1]["n_tokens"] == 120_001 and all(math.isfinite(r["score"]) for r in rows.values())
