@@ -1,34 +1,39 @@
 """Benchmark decontamination through an FM-index of each training shard.
 
-A task cuts its documents into shards of bounded size. A shard's words become symbols (the phrases'
-vocabulary, one symbol for every other word, one for a document's end), and the shard gets a suffix
-array, its Burrows-Wheeler transform, a wavelet matrix for ranks and every 32nd suffix position. All
-test phrases (windows of ``window`` words, or a shorter item whole) are searched backward together;
+A task cuts its documents into shards of bounded size. A shard's words become symbols (its own words
+that the benchmark has, one symbol for every other word, one for a document's end), and the shard gets a
+suffix array, its Burrows-Wheeler transform, a wavelet matrix for ranks and every 32nd suffix position.
+Test phrases (windows of ``window`` words, or a shorter item whole) are searched backward together;
 surviving rows are located by walking to a sampled position, and their spans are merged by document.
 
-Phrases are broadcast in parts of a bounded number of words; more parts mean more passes over the
-documents, chained without a shuffle.
+Spark cuts test items to pieces of PIECE_WORDS words, overlapping by a window, and writes them to the
+shared folder. Tasks read them there in parts of PART_WORDS words, one after another against a shard's
+one index, so neither the driver nor a task holds the benchmark; up to KEPT_BYTES of it a worker keeps
+what it has read, and indexes only its words. Documents pass once and aren't shuffled.
 
 Defined results: null and empty texts have no words, no hits and no items; items with a null id or
-without words are ignored; rows of one item id count as one item; every document row gets a row.
+without words are ignored; rows of one item id count as one item; every document row gets a row,
+repeated ids included; a very long document is a shard of its own; columns whose names the result adds
+can't be kept (``drop_contaminated`` keeps columns of any name).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.llm.common import free_name
-from strandspark.session import ship
+from strandspark.session import ship, write_scratch
 
 WINDOW = 13
-#: Words and documents of a shard, words of one broadcast part of the phrases, rows between samples.
-SHARD_WORDS, SHARD_DOCS, PART_WORDS, SAMPLE = 250_000, 100_000, 300_000, 32
+#: Words and documents of a shard, words of a part and of a piece of the test items, bytes of items that a worker keeps, rows between samples.
+SHARD_WORDS, SHARD_DOCS, PART_WORDS, PIECE_WORDS, KEPT_BYTES, SAMPLE = 250_000, 100_000, 300_000, 20_000, 16_000_000, 32
 END, OTHER, FIRST = 0, 1, 2
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
@@ -79,15 +84,19 @@ class WaveletMatrix:
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Prefix doubling from three symbols on; every document end is smaller than what follows it and than later ends."""
+    """Prefix doubling from as many symbols on as 63 bits hold; every document end is smaller than what follows it and than later ends."""
     n = len(symbols)
     ends = np.flatnonzero(symbols == END)
     first = symbols.astype(np.int64) + len(ends)
     first[ends] = np.arange(len(ends))
-    padded = np.concatenate([first + 1, [0, 0]])
-    key = (padded[:n] << 42) | (padded[1 : n + 1] << 21) | padded[2 : n + 2]
+    width = int(first.max(initial=0) + 1).bit_length()
+    h = min(3, 63 // width)
+    padded = np.concatenate([first + 1, np.zeros(h, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(h):
+        key = key << width | padded[k : n + k]
     sa = np.argsort(key, kind="stable")
-    rank, slots, h = np.empty(n, np.int64), np.arange(n), 3
+    rank, slots = np.empty(n, np.int64), np.arange(n)
     key = key[sa]
     while True:
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
@@ -144,61 +153,65 @@ class FMIndex:
 
 
 class Phrases:
-    """Distinct windows of test items as symbols, and the items of each."""
+    """Distinct windows of test items over a part's own vocabulary, and the items of each."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         found: dict[tuple[bytes, ...], set[str]] = {}
         for item, ws in items:
             for k in range(max(1, len(ws) - window + 1)):
                 found.setdefault(tuple(ws[k : k + window]), set()).add(item)
-        self.symbol = {w: FIRST + i for i, w in enumerate(sorted({w for p in found for w in p}))}
+        self.words = sorted({w for p in found for w in p})
+        place = {w: i for i, w in enumerate(self.words)}
         self.lengths = np.array([len(p) for p in found], np.int64)
-        self.rows = np.array([[OTHER] * (window - len(p)) + [self.symbol[w] for w in p] for p in found], np.int64).reshape(-1, window)
+        self.rows = np.array([[-1] * (window - len(p)) + [place[w] for w in p] for p in found], np.int64).reshape(-1, window)
         self.items = [sorted(s) for s in found.values()]
-        self.sigma = FIRST + len(self.symbol)
 
 
 Hits = tuple[int, list[tuple[int, int]], set[str]]
 
 
-def scan_shard(docs: list[list[bytes]], phrases: Phrases) -> list[Hits]:
-    """Per document of the shard: its number of words, the merged spans of hit words, the items found."""
+def scan_shard(docs: list[list[bytes]], parts: Iterable[Phrases], known: set[bytes] | None = None) -> list[Hits]:
+    """Per document of the shard: its number of words, the merged spans of hit words, the items found.
+
+    ``known``: the words of all parts, if they are at hand; others needn't be told apart then.
+    """
     out: list[Hits] = [(len(ws), [], set()) for ws in docs]
-    symbol = phrases.symbol.get
+    own = set().union(*docs)
+    symbol = {w: FIRST + i for i, w in enumerate(sorted(own if known is None else own & known))}
+    if not symbol:
+        return out
     flat: list[int] = []
     for ws in docs:
-        flat += [symbol(w, OTHER) for w in ws]
+        flat += [symbol.get(w, OTHER) for w in ws]
         flat.append(END)
     text = np.array(flat, np.int64)
     del flat
-    if not len(phrases.rows) or len(text) == len(docs):
-        return out
-    index = FMIndex(text, phrases.sigma)
-    found, lo, hi = index.search(phrases.rows, phrases.lengths)
-    if not len(found):
-        return out
-    times = hi - lo
-    number = np.repeat(found, times)
-    rows = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-    at = index.locate(rows)
     starts = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in docs])])
-    cover = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + phrases.lengths[number], minlength=len(text) + 1)
+    index, cover = None, np.zeros(len(text) + 1, np.int64)
+    for part in parts:
+        here = np.array([*(symbol.get(w, -1) for w in part.words), OTHER], np.int64)[part.rows]
+        on = np.flatnonzero((here >= 0).all(1))  # a phrase with a word that the shard lacks can't occur
+        if not len(on):
+            continue
+        index = index or FMIndex(text, FIRST + len(symbol))
+        found, lo, hi = index.search(here[on], part.lengths[on])
+        if not len(found):
+            continue
+        found, times = on[found], hi - lo
+        ends = np.cumsum(times)
+        for first in range(0, len(found), 4_096):  # a phrase of few words may stand in very many places
+            some = slice(first, first + 4_096)
+            t = times[some]
+            number = np.repeat(found[some], t)
+            rows = np.repeat(lo[some] - (ends[some] - t - (ends[first] - times[first])), t) + np.arange(t.sum())
+            at = index.locate(rows)
+            cover += np.bincount(at, minlength=len(text) + 1) - np.bincount(at + part.lengths[number], minlength=len(text) + 1)
+            for pair in np.unique((np.searchsorted(starts, at, "right") - 1) * len(part.rows) + number):
+                out[pair // len(part.rows)][2].update(part.items[pair % len(part.rows)])
     edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8), [0]]))
     for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
         d = int(np.searchsorted(starts, a, "right")) - 1
         out[d][1].append((int(a - starts[d]), int(b - starts[d])))
-    for pair in np.unique((np.searchsorted(starts, at, "right") - 1) * len(phrases.rows) + number):
-        out[pair // len(phrases.rows)][2].update(phrases.items[pair % len(phrases.rows)])
-    return out
-
-
-def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted([*a, *b]):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
     return out
 
 
@@ -221,20 +234,51 @@ def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.T
         yield pa.Table.from_batches(held), docs
 
 
-def phrase_parts(items: DataFrame, id_col: str, text_col: str, window: int) -> list[Phrases]:
-    """Test items in parts of at most PART_WORDS words, taken by the driver one row at a time."""
-    parts: list[Phrases] = []
+def write_items(items: DataFrame, id_col: str, text_col: str, window: int) -> str:
+    """Test items in pieces (item, words), as a table in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = words(text)
+                cut = [b" ".join(ws[k : k + PIECE_WORDS + window - 1]) for k in range(0, max(1, len(ws) - window + 1), PIECE_WORDS)] if ws else []
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(cut), pa.string()), pa.array(cut, pa.binary())], names=["item", "words"])
+
+    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text")).where("item is not null and text is not null")
+    return write_scratch(rows.mapInArrow(run, "item string, words binary"), "benchmark-items")
+
+
+_kept: dict[str, tuple[list[Phrases], set[bytes]]] = {}
+
+
+def _stream(place: str, window: int) -> Iterator[Phrases]:
     held: list[tuple[str, list[bytes]]] = []
     size = 0
-    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    for r in rows.where("item is not null and text is not null").toLocalIterator():
-        if ws := words(bytes(r["text"])):
-            held.append((r["item"], ws))
-            size += len(ws)
-        if size >= PART_WORDS:
-            parts.append(Phrases(held, window))
-            held, size = [], 0
-    return [*parts, Phrases(held, window)] if held or not parts else parts
+    for b in parquet_dataset(place).to_batches(batch_size=64, columns=["item", "words"]):
+        for item, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held.append((item, ws.split()))
+            size += len(held[-1][1])
+            if size >= PART_WORDS:
+                yield Phrases(held, window)
+                held, size = [], 0
+    if held:
+        yield Phrases(held, window)
+
+
+def parquet_dataset(place: str) -> dataset.Dataset:
+    where, path = fs.FileSystem.from_uri(place)
+    return dataset.dataset(path, filesystem=where, format="parquet", exclude_invalid_files=True)
+
+
+def _parts(place: str, n_bytes: int, window: int) -> tuple[Iterable[Phrases], set[bytes] | None]:
+    """Parts of the written items and, if they are few enough to be kept by this worker, all their words."""
+    if n_bytes > KEPT_BYTES:
+        return _stream(place, window), None
+    if place not in _kept:
+        _kept.clear()
+        parts = list(_stream(place, window))
+        _kept[place] = (parts, {w for p in parts for w in p.words})
+    return _kept[place]
 
 
 def mark(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "text", id_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -242,29 +286,26 @@ def mark(docs: DataFrame, items: DataFrame, keep: list[str], text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(*keep)
-    names = [free_name(base, n) for n in ("hit_n", "hit_spans", "hit_items")]
     text = text_col if text_col in keep else free_name(base, "hit_text")
+    rows = base if text in keep else docs.select(*keep, F.col(text_col).cast("string").alias(text))
+    at, kept = rows.columns.index(text), len(keep)
+    names = [free_name(base, n) for n in ("hit_n", "hit_spans", "hit_items")]
     kinds = ["long", "array<struct<start:int,stop:int>>", "array<string>"]
-    extra = [] if text in keep else [F.col(text_col).cast("string").alias(text)]
-    empty = [F.lit(0), F.array(), F.array()]
-    out = docs.select(*keep, *extra, *[e.cast(k).alias(n) for e, k, n in zip(empty, kinds, names)])
-    at, spans_at, items_at = (out.columns.index(n) for n in (text, *names[1:]))
-    for phrases in phrase_parts(items, id_col, item_text, window):
-        shared = spark.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for rows, texts in _shards(batches, at):
-                found = scan_shard(texts, shared.value)
-                spans = [_merge([(s["start"], s["stop"]) for s in old], h[1]) for old, h in zip(rows.column(spans_at).to_pylist(), found)]
-                seen = [sorted(h[2].union(old)) for old, h in zip(rows.column(items_at).to_pylist(), found)]
-                columns = [[h[0] for h in found], [[{"start": a, "stop": b} for a, b in s] for s in spans], seen]
-                for k, values in enumerate(columns):
-                    i = spans_at - 1 + k
-                    rows = rows.set_column(i, rows.schema.field(i), pa.array(values, rows.schema.field(i).type))
-                yield from rows.to_batches(max_chunksize=512)
-
-        out = out.mapInArrow(run, out.schema)
-    return out.select(*keep, *[F.col(n).alias(new) for n, new in zip(names, ("n_words", "spans", "items"))])
+    out = base.select("*", *[F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds)])
+    place = write_items(items, id_col, item_text, window)
+    n_bytes = spark.read.schema("item string, words binary").parquet(place).agg(F.sum(F.length("words"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())]
+        for table, texts in _shards(batches, at):
+            found = scan_shard(texts, *_parts(place, n_bytes, window))
+            columns = [[h[0] for h in found], [[{"start": a, "stop": b} for a, b in h[1]] for h in found], [sorted(h[2]) for h in found]]
+            table = table.select(table.column_names[:kept])
+            for name, values, kind in zip(names, columns, types):
+                table = table.append_column(name, pa.array(values, kind))
+            yield from table.to_batches(max_chunksize=512)
+
+    return rows.mapInArrow(run, out.schema).select(*keep, *[F.col(n).alias(new) for n, new in zip(names, ("n_words", "spans", "items"))])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, keep: list[str], **options) -> DataFrame:

@@ -13,8 +13,7 @@ def made(rng, n):
 
 
 @pytest.mark.parametrize("part_words", [300_000, 5])
-def test_equals_brute_force(spark, monkeypatch, part_words):
-    monkeypatch.setattr(d, "PART_WORDS", part_words)
+def test_equals_brute_force(spark, part_words):
     rng = random.Random(part_words)
     items = {str(k): made(rng, rng.randint(0, 9)) for k in range(7)} | {"10": None, "11": "..!"}
     texts = [made(rng, rng.randint(0, 60)) for _ in range(40)] + [None, "", "--", made(rng, 5000)]
@@ -33,10 +32,42 @@ def test_equals_brute_force(spark, monkeypatch, part_words):
 def test_shards_of_any_size_agree(monkeypatch):
     rng = random.Random(3)
     texts = [made(rng, rng.randint(0, 30)) for _ in range(30)]
-    phrases = d.Phrases([(str(k), d.words(made(rng, 6).encode())) for k in range(5)], 3)
+    items = [(str(k), d.words(made(rng, 6).encode())) for k in range(5)]
+    phrases = d.Phrases(items, 3)
     docs = [d.words(t.encode()) for t in texts]
-    alone = [d.scan_shard([x], phrases)[0] for x in docs]
-    assert d.scan_shard(docs, phrases) == alone
+    alone = [d.scan_shard([x], [phrases])[0] for x in docs]
+    assert d.scan_shard(docs, [phrases]) == alone
+    assert d.scan_shard(docs, [phrases], set(phrases.words)) == alone
+    assert d.scan_shard(docs, (d.Phrases([x], 3) for x in items)) == alone
+
+
+def test_long_items_are_cut_and_streamed(spark, monkeypatch):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(300)}" for _ in range(900))
+    items = {"1": long, "2": "w1 w2"}
+    texts = [" ".join(long.split()[k : k + 20]) for k in range(0, 880, 40)] + [long, "w1 w2 " * 5000]
+    place = d.write_items(spark.createDataFrame(list(items.items()), "item_id string, text string"), "item_id", "text", 6)
+    assert spark.read.parquet(place).count() == 2
+    monkeypatch.setattr(d, "PART_WORDS", 400)
+    monkeypatch.setattr(d, "KEPT_BYTES", 0)
+    monkeypatch.setattr(d, "PIECE_WORDS", 100)
+    ws = long.split()
+    pieces = [("1", [w.encode() for w in ws[k : k + 105]]) for k in range(0, 895, 100)] + [("2", [b"w1", b"w2"])]
+    found = d.scan_shard([d.words(t.encode()) for t in texts], (d.Phrases(pieces[k : k + 3], 6) for k in range(0, len(pieces), 3)))
+    for t, (n, spans, names) in zip(texts, found):
+        want = d.brute(t, items, 6) if len(t) < 20_000 else (10_000, 10_000, ["2"])
+        assert (n, sum(b - a for a, b in spans), sorted(names)) == want[:3]
+    streamed = list(d._stream(place, 6))
+    assert sum(len(p.rows) for p in streamed) >= len({tuple(ws[k : k + 6]) for k in range(895)})
+
+
+def test_many_symbols_sort_right():
+    import numpy as np
+
+    symbols = np.concatenate([np.arange(2, 40)[::-1] + (1 << 22), [d.END], np.arange(2, 40) + (1 << 30), [d.END]])
+    ends = iter(range(-2, 0))
+    plain = [next(ends) if x == d.END else int(x) for x in symbols]
+    assert d.suffix_array(symbols).tolist() == sorted(range(len(symbols)), key=lambda k: plain[k:])
 
 
 def test_suffix_array_is_sorted():
