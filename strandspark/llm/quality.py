@@ -8,7 +8,8 @@ plus the log prior ratio, computed with Cholesky factors that are taken once per
 Defined results: null and empty texts have all-zero statistics and are scored like any other; rows
 with repeated ids are each scored; documents without a label, and labels without a document, are not
 used in the fit; with fewer than two classes to learn from, every score is the share of class 1 (one
-half with no label at all). Only ``text`` enters a score; other columns are carried or ignored.
+half with no label at all); a very long text is read whole; columns of any name are carried or ignored,
+and only ``text`` enters a score; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -59,15 +60,15 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass
 class Discriminant:
-    """Means, Cholesky factors of the shrunk covariances, their log-determinants and the log prior ratio."""
+    """Means, inverted Cholesky factors of the shrunk covariances, their log-determinants and the log prior ratio."""
 
     mean: np.ndarray
-    factor: np.ndarray
+    inverse: np.ndarray
     logdet: np.ndarray
     prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        log_density = [-0.5 * (np.linalg.solve(self.factor[c], (x - self.mean[c]).T) ** 2).sum(0) - 0.5 * self.logdet[c] for c in (0, 1)]
+        log_density = [-0.5 * (((x - self.mean[c]) @ self.inverse[c].T) ** 2).sum(1) - 0.5 * self.logdet[c] for c in (0, 1)]
         z = np.clip(log_density[1] - log_density[0] + self.prior, -700, 700)
         return 1 / (1 + np.exp(-z))
 
@@ -84,7 +85,7 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], to_pooled: float
     scale = np.diag(np.diag(pooled) + 1e-4)  # the identity, in each statistic's own unit
     cov = (1 - to_pooled - to_identity) * own + to_pooled * pooled + to_identity * scale
     factor = np.linalg.cholesky(cov)
-    return Discriminant(mean, factor, 2 * np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(1), math.log(weight[1] / weight[0]))
+    return Discriminant(mean, np.linalg.inv(factor), 2 * np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(1), math.log(weight[1] / weight[0]))
 
 
 def document_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -9,7 +9,8 @@ the bits that its nodes newly agree on, and a pair of whole groups is left once
 A bucket returns a spanning forest of its links, never the pairs.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; rows with
-repeated ids are fingerprinted each; a component is named by its smallest id.
+repeated ids are fingerprinted each; a component is named by its smallest id, nulls aside; a very long
+text is fingerprinted whole; other columns may have any name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandspark.llm.common import join_counted
 from strandspark.llm.components import connected_components
 from strandspark.session import materialise, ship
 
@@ -188,12 +190,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, g
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, component_id) for each row of ``docs``."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     nodes = connected_components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    rooted = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    by_print = materialise(rooted.join(named, "root").select("fp", "component_id", "n"), "components-of-fingerprints")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    return join_counted(prints, by_print, "fp", "n", total).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

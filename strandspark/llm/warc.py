@@ -6,14 +6,16 @@ names only archives of tasks that finished, so a retried task leaves nothing wro
 
 Index: captures are range-partitioned by (reversed-host URL key, id), sorted, and written as compressed
 blocks of BLOCK_LINES lines; the end of an index file is a sparse directory with each block's first key.
-One row a file, its first key and where its directory lies, is the upper level; files are as many as
-partitions, so it is small and may be broadcast.
+One row a file, its first key and where its directory lies, is the upper level; there are FILES files at
+most, so it is small and may be broadcast.
 
 Lookup: keys sorted in a task bisect the files, then a file's directory, then read one block's range;
 found captures are sorted by archive and offset before their records are read by range.
 
 Defined results: a null payload is empty, a null URL has an empty key; rows that repeat an id are all
-responses if the id is the smallest of its payload; ids may not be null (such rows are left out).
+responses if the id is the smallest of its payload; ids may not be null (such rows are left out); a very
+long payload is one record; columns other than the three named are not read, whatever their names; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -150,7 +152,10 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             row = [[directory[0][0]], [json.dumps(directory[0][:2])], [name], [at], [len(tail)]]
             yield pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1]), pa.array(row[2]), pa.array(row[3], pa.int64()), pa.array(row[4], pa.int64())], names=["first", "first_entry", "file", "offset", "length"])
 
-    dealt = captures.select("key", "id", "archive", "offset", "length").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    rows = captures.select("key", "id", "archive", "offset", "length")
+    # Spark's own number of partitions up to FILES, so that the upper level stays small on any cluster; the files grow instead
+    few = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= FILES
+    dealt = (rows.repartitionByRange("key", "id") if few else rows.repartitionByRange(FILES, "key", "id")).sortWithinPartitions("key", "id")
     return materialise(dealt.mapInArrow(run, "first string, first_entry string, file string, offset long, length long"), "index-files")
 
 
@@ -205,9 +210,7 @@ def look_up(wanted: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     """(id, archive, offset, length) of the captures of each distinct (key, id) of ``wanted``."""
     spark = wanted.sparkSession
     kind = wanted.schema["id"].dataType.simpleString()
-    upper = files.select("first_entry", "file", "offset", "length").limit(FILES + 1).collect()
-    if len(upper) > FILES:
-        raise ValueError(f"more than {FILES} index files: write the index with fewer partitions")
+    upper = files.select("first_entry", "file", "offset", "length").collect()  # FILES rows at most, by write_index
     shared = spark.sparkContext.broadcast([tuple(r) for r in upper])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
