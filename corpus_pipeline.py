@@ -3,6 +3,11 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; whoever runs the pipeline writes each
 result as Parquet and reads it back as the next stage's ``docs``. All stages but the last return the
 columns of documents; the last adds the copy's number.
+
+Defined results: null and empty texts are documents like any other and near-duplicates of one another;
+rows that repeat an id are judged each, but of those that name a group one stays; ties go to the smaller
+id; a very long text is read whole; further columns are kept, whatever their names; an empty table gives
+an empty table, and without labels to learn from no document is rejected.
 """
 
 from __future__ import annotations
@@ -53,7 +58,7 @@ STAGES = [
     ("mix_sources", mixing_stage),
 ]
 
-#: Fitted, hashed and aligned stages are beyond SQL; the tests hold each against a brute-force version.
+#: Fitted, hashed and aligned stages are beyond SQL; tests/llm/test_pipeline.py holds them against a plain version.
 ORACLE_SQL = None
 
 
