@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,12 +42,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """This application's folder below ``spark.checkpoint.dir``.
+
+    Where that is unset it is a temporary one if Spark runs in this process alone, else one in the warehouse.
+    """
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="strandspark-checkpoint-")
+            local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+            base = "file://" + tempfile.mkdtemp(prefix="strandspark-checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
             spark.sparkContext.setCheckpointDir(base)
         _scratch[app] = f"{base.rstrip('/')}/strandspark-{app}"
         atexit.register(drop, spark, _scratch[app])
