@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from strandspark.session import drop, ship, write_scratch
 
 #: Tokens of a block, n-grams of an exchange bucket, bits of a word's hash and those of a longer n-gram's beyond the corpus's.
-BLOCK, BUCKET, BITS, SPARE = 1_500_000, 3_000_000, 60, 14
+BLOCK, BUCKET, BITS, SPARE = 1_200_000, 3_000_000, 60, 12
 END, START = 0, 1
 TRAIN, TUNE = 1, 2
 
@@ -285,6 +285,18 @@ def _annotate(blocks: DataFrame, answers: DataFrame, bits: dict[int, int], n_kep
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_ids array<{kind}>, lengths array<int>, parts array<int>, counts array<binary>, cells array<long>, times array<long>")
 
 
+def _slices(lengths: np.ndarray, size: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Runs of documents (first, last + 1) of some ``size`` tokens, one document at least."""
+    first = total = 0
+    for k, n in enumerate(lengths.tolist()):
+        if total and total + n > size:
+            yield first, k
+            first, total = k, 0
+        total += n
+    if len(lengths):
+        yield first, len(lengths)
+
+
 def score(docs: DataFrame, learn: Column, held_out: Column, tune: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
     """Per document: ``held_out``, token figures, ``base_score`` and the mixture's ``score``, both log10.
 
@@ -322,12 +334,17 @@ def score(docs: DataFrame, learn: Column, held_out: Column, tune: Column, id_col
             for r in _rows(batch):
                 lengths = np.array(r["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
-                counts = [unpack(c, int(lengths.sum())).astype(np.float64) for c in r["counts"]]
-                base = (counts[0] + 0.5) / (n + 0.5 * (v + 1))
-                p = mixture(base, *estimates(counts, starts, n_train, n))
-                sums = [np.add.reduceat(x, starts) for x in ((counts[0] > 0).astype(np.int64), np.log10(base), np.log10(p))]
+                counts = [unpack(c, int(lengths.sum())) for c in r["counts"]]
+                sums = []
+                for first, last in _slices(lengths):  # a block's estimates take much more room than its counts
+                    at, here = slice(starts[first], starts[last - 1] + lengths[last - 1]), starts[first:last] - starts[first]
+                    c = [x[at].astype(np.float64) for x in counts]
+                    base = (c[0] + 0.5) / (n + 0.5 * (v + 1))
+                    p = mixture(base, *estimates(c, here, n_train, n))
+                    sums.append([np.add.reduceat(x, here) for x in ((c[0] > 0).astype(np.int64), np.log10(base), np.log10(p))])
                 out = np.array(r["parts"]) & 4 > 0
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], batch.schema.field(0).type.value_type), pa.array(out), pa.array(lengths), *map(pa.array, sums)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                columns = [np.concatenate(x) for x in zip(*sums)]
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], batch.schema.field(0).type.value_type), pa.array(out), pa.array(lengths), *map(pa.array, columns)], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     rows = found.select("doc_ids", "lengths", "parts", "counts").mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
