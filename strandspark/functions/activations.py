@@ -26,6 +26,10 @@ def softplus(x: Column) -> Column:
     return F.log1p(F.exp(-F.abs(x))) + F.greatest(x, F.lit(0.0))
 
 
+def log(x: Column) -> Column:
+    return F.ln(x)
+
+
 def robust_log(x: Column, p: float) -> Column:
     """log of ``x`` mixed with ``p``, so that zero stays finite."""
     return F.ln(F.lit(p) + (1 - p) * x)
@@ -35,4 +39,4 @@ def log_sum_exp(x: Column, y: Column) -> Column:
     return F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))
 
 
-ACTIVATIONS = {"tanh": F.tanh, "exp": F.exp, "log": F.ln, "logistic": logistic, "swish": swish, "elu": elu, "relu": relu, "softplus": softplus}
+ACTIVATIONS = {"tanh": F.tanh, "exp": F.exp, "log": log, "logistic": logistic, "swish": swish, "elu": elu, "relu": relu, "softplus": softplus}

@@ -61,26 +61,27 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _bound(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once, though ``then`` uses it for every element of an array."""
+    return F.transform(F.array(value), then)[0]
+
+
 def normalise(a: Column) -> Column:
     """Each element over the array's sum."""
-    s = total(a)
-    return F.transform(a, lambda x: x / s)
+    return _bound(total(a), lambda s: F.transform(a, lambda x: x / s))
 
 
 def log_total(a: Column) -> Column:
     """log of the sum of exponentials, shifted by the largest element."""
-    m = F.array_max(a)
-    return m + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - m)))
+    return _bound(F.array_max(a), lambda m: m + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - m))))
 
 
 def log_normalise(a: Column) -> Column:
-    z = log_total(a)
-    return F.transform(a, lambda x: x - z)
+    return _bound(log_total(a), lambda z: F.transform(a, lambda x: x - z))
 
 
 def softmax(a: Column) -> Column:
-    z = log_total(a)
-    return F.transform(a, lambda x: F.exp(x - z))
+    return _bound(log_total(a), lambda z: F.transform(a, lambda x: F.exp(x - z)))
 
 
 def live_slice(signal: Column, start: Column, end: Column) -> Column:

@@ -245,3 +245,8 @@ def moves_v1(decoded: DataFrame) -> DataFrame:
 
     before = F.lag("state").over(Window.partitionBy("read_id").orderBy("pos"))
     return decoded.withColumn("before", before).where("pos > 0").select("read_id", (F.col("pos") - 1).alias("pos"), F.when(F.col("state") == F.col("before"), -1).otherwise(F.col("state")).alias("state"), "score")
+
+
+def combine_stays(decoded: DataFrame, n_base: int) -> DataFrame:
+    """Every flop becomes -1, so that flips are what is left of a path."""
+    return decoded.withColumn("state", F.when(F.col("state") < n_base, F.col("state")).otherwise(F.lit(-1)))

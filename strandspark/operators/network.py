@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.operators import chain
@@ -200,6 +200,15 @@ def affine_long(x: DataFrame, w: DataFrame, bias: DataFrame | None = None, activ
     return out.withColumn("value", activation(F.col("value"))) if activation else out
 
 
+def softmax_long(x: DataFrame, w: DataFrame, bias: DataFrame, temp_weight: float = 1.0, temp_bias: float = 1.0) -> DataFrame:
+    """(read_id, blk, unit, value): shares of a block's units; the temperatures divide weights and biases."""
+    scaled = x.withColumn("value", F.col("value") * (temp_bias / temp_weight))
+    block = Window.partitionBy("read_id", "blk")
+    z = affine_long(scaled, w, bias).withColumn("value", F.col("value") / temp_bias)
+    e = z.withColumn("value", F.exp(F.col("value") - F.max("value").over(block)))
+    return e.withColumn("value", F.col("value") / F.sum("value").over(block))
+
+
 def gather_columns(index: DataFrame, table: DataFrame) -> DataFrame:
     """Rows (..., key) with the table's vector for ``key``: an embedding."""
     return index.join(table, "key")

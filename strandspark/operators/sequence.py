@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,8 +102,19 @@ def move_counts(path: DataFrame) -> DataFrame:
 
 def compress(sequence: Column) -> tuple[Column, Column]:
     """Letters and lengths of a text's runs of equal characters."""
-    runs = F.regexp_extract_all(sequence, F.lit(r"((?s)(.)\2*)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.substring(r, F.lit(1), F.lit(1))), ""), F.transform(runs, F.length)
+    both = _compressed(sequence)
+    return both["letters"], both["lengths"]
+
+
+@F.pandas_udf("letters string, lengths array<int>")
+def _compressed(texts: pd.Series) -> pd.DataFrame:
+    letters, lengths = [], []
+    for t in texts:
+        code = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        letters.append(None if t is None else code[first].tobytes().decode("utf-32-le", "surrogatepass"))
+        lengths.append(None if t is None else np.diff(np.concatenate([first, [len(code)]])).astype(np.int32))
+    return pd.DataFrame({"letters": pd.Series(letters, dtype=object), "lengths": pd.Series(lengths, dtype=object)})
 
 
 def argmax_path(blocks: DataFrame) -> DataFrame:
@@ -109,3 +122,27 @@ def argmax_path(blocks: DataFrame) -> DataFrame:
     best = F.array_max("w")
     at = (F.array_position("w", best) - 1).cast("int")
     return blocks.select("read_id", F.col("blk").alias("pos"), F.when(at == F.size("w") - 1, -1).otherwise(at).alias("state"), best.alias("score"))
+
+
+def _cells(blocks: DataFrame) -> DataFrame:
+    return blocks.select("read_id", "blk", F.posexplode("w").alias("row", "x"))
+
+
+def column_extrema(blocks: DataFrame) -> DataFrame:
+    """(read_id, row, blk, x): each feature's largest value over a read's blocks and the first block that has it."""
+    best = F.max(F.struct("x", (-F.col("blk")).alias("back")))
+    return _cells(blocks).groupBy("read_id", "row").agg(best.alias("best")).select("read_id", "row", (-F.col("best.back")).alias("blk"), "best.x")
+
+
+def matrix_extrema(blocks: DataFrame) -> DataFrame:
+    """(read_id, largest, smallest, at_max, at_min): of all a read's values, by place in block order; the first of equal ones."""
+    width = F.size("w")
+    cells = blocks.select("read_id", "blk", width.alias("n"), F.posexplode("w").alias("row", "x")).withColumn("at", F.col("blk") * F.col("n") + F.col("row"))
+    found = cells.groupBy("read_id").agg(F.max(F.struct("x", (-F.col("at")).alias("back"))).alias("high"), F.min(F.struct("x", "at")).alias("low"))
+    return found.select("read_id", F.col("high.x").alias("largest"), F.col("low.x").alias("smallest"), (-F.col("high.back")).alias("at_max"), F.col("low.at").alias("at_min"))
+
+
+def path_basecall(path: DataFrame, n_base: int) -> DataFrame:
+    """(read_id, sequence) of (read_id, pos, state, length): a moved-into base as often as its length says, stays (below 0) not at all."""
+    text = F.when(F.col("state") >= 0, F.repeat(base(F.col("state"), n_base), F.greatest(F.lit(1), F.col("length").cast("int")))).otherwise("")
+    return path.groupBy("read_id").agg(in_sequence(F.col("pos"), text).alias("sequence"))

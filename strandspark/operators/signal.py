@@ -79,6 +79,13 @@ def difference(signal: DataFrame, last: float = 0.0) -> DataFrame:
     return signal.withColumn("value", F.coalesce(F.lead("value").over(in_order()) - F.col("value"), F.lit(last)))
 
 
+def difference_blocks(blocks: DataFrame, last: float = 0.0) -> DataFrame:
+    """Next block's features minus this one's, ``last`` for each in the last block: (read_id, blk, w)."""
+    ahead = F.lead("w").over(Window.partitionBy("read_id").orderBy("blk"))
+    moved = F.zip_with("w", ahead, lambda x, y: y - x)
+    return blocks.select("read_id", "blk", F.coalesce(moved, F.transform("w", lambda x: F.lit(last))).alias("w"))
+
+
 def studentise(signal: DataFrame) -> DataFrame:
     """(value - mean) / population standard deviation of its read."""
     g = Window.partitionBy("read_id")

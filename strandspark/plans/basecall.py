@@ -54,3 +54,11 @@ def basecall_runs(samples: DataFrame, weights: list[dict[str, np.ndarray]], mode
 
 def decode_runs(runs: DataFrame, **options) -> DataFrame:
     return sequence.decode_runs(runs, **options)
+
+
+def limit_reads(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of the first ``limit`` reads by name, whole; 0 or less: of all."""
+    if limit <= 0:
+        return rows
+    # at most ``limit`` names: a caller's number, not the data's
+    return rows.join(F.broadcast(rows.select("read_id").distinct().orderBy("read_id").limit(limit)), "read_id", "left_semi")

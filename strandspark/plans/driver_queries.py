@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandspark import session
 from strandspark.functions import activations as act
 from strandspark.functions import arrays, quality
 from strandspark.functions import distributions as dist
@@ -87,19 +88,19 @@ def _trim_sql(chunk: int, percent: float, head: int, tail: int) -> str:
 
 
 @register(
-    f"""WITH {_trim_sql(100, 0.1, 200, 10)} SELECT read_id, n, start, "end",
-    CASE WHEN n < 100 THEN 'too_short' WHEN start >= "end" THEN 'trimmed_away' END AS error FROM bounds"""
+    f"""WITH {_trim_sql(8, 0.25, 2, 1)} SELECT read_id, n, start, "end",
+    CASE WHEN n < 8 THEN 'too_short' WHEN start >= "end" THEN 'trimmed_away' END AS error FROM bounds"""
 )
 def chunk_mad_trim(spark, d):
-    return signal.trim_bounds(v_signal(spark, d), 100, 0.1, 200, 10)
+    return signal.trim_bounds(v_signal(spark, d), 8, 0.25, 2, 1)
 
 
-_TRIMMED = f"""WITH {_trim_sql(20, 0.0, 20, 10)}, s AS (SELECT s0.* FROM s0 JOIN bounds USING (read_id) WHERE idx >= start AND idx < "end"), {_MAD}"""
+_TRIMMED = f"""WITH {_trim_sql(8, 0.0, 2, 1)}, s AS (SELECT s0.* FROM s0 JOIN bounds USING (read_id) WHERE idx >= start AND idx < "end"), {_MAD}"""
 
 
 @register(f"{_TRIMMED} SELECT read_id, idx, {rs('(value - median) / mad')} AS value FROM s JOIN mad USING (read_id)")
 def trim_segment(spark, d):
-    return basecall.prepare(v_signal(spark, d), (20, 10), (20, 0.0)).select("read_id", "idx", r(F.col("value")).alias("value"))
+    return basecall.prepare(v_signal(spark, d), (2, 1), (8, 0.0)).select("read_id", "idx", r(F.col("value")).alias("value"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -190,32 +191,37 @@ def column_argmax(spark, d):
     return rows.groupBy("read_id", "row").agg(F.max_by("blk", "x").alias("blk"))
 
 
-def _first(digits: int = 6) -> Callable[[Column], list[Column]]:
-    return lambda a: [r(a[k], digits).alias(f"x{k}") for k in (0, 7, 39)]
+def _each(df: DataFrame, x: Column, digits: int = 6) -> DataFrame:
+    """Every element of an array, by its place."""
+    return df.select("read_id", "blk", F.posexplode(x).alias("row", "x")).select("read_id", "blk", "row", r(F.col("x"), digits).alias("x"))
 
 
-_FIRST = ", ".join(f"{rs(f'x[{k + 1}]')} AS x{k}" for k in (0, 7, 39))
+def _each_sql(x: str, source: str, digits: int = 6) -> str:
+    return f"SELECT read_id, blk, (row - 1)::INT AS row, {rs('x', digits)} AS x FROM (SELECT read_id, blk, unnest(x) AS x, generate_subscripts(x, 1) AS row FROM (SELECT *, {x} AS x FROM {source}))"
+
+
+_W = block_sql(64)
 _Z = "(list_max(w) + ln(list_sum(list_transform(w, lambda v: exp(v - list_max(w))))))"
 
 
-@register(f"SELECT read_id, blk, {_FIRST} FROM (SELECT *, list_transform(w, lambda v: exp(v - {_Z})) AS x FROM {_B})")
+@register(_each_sql(f"list_transform(w, lambda v: exp(v - {_Z}))", _W))
 def softmax_block(spark, d):
-    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.softmax(F.col("w"))))
+    return _each(v_block(spark, d, 64), arrays.softmax(F.col("w")))
 
 
-@register(f"SELECT read_id, blk, {_FIRST} FROM (SELECT *, list_transform(w, lambda v: v - {_Z}) AS x FROM {_B})")
+@register(_each_sql(f"list_transform(w, lambda v: v - {_Z})", _W))
 def log_row_normalise(spark, d):
-    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.log_normalise(F.col("w"))))
+    return _each(v_block(spark, d, 64), arrays.log_normalise(F.col("w")))
 
 
-@register(f"SELECT read_id, blk, {_FIRST} FROM (SELECT *, list_transform(w, lambda v: abs(v) / list_sum(list_transform(w, lambda u: abs(u)))) AS x FROM {_B})")
+@register(_each_sql(f"list_transform(w, lambda v: abs(v) / list_sum(list_transform(w, lambda u: abs(u))))", _W))
 def row_normalise(spark, d):
-    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.normalise(F.transform("w", F.abs))))
+    return _each(v_block(spark, d, 64), arrays.normalise(F.transform("w", F.abs)))
 
 
-@register(f"SELECT read_id, blk, {_FIRST} FROM (SELECT *, list_transform(list_zip(w, list_transform(w, lambda v: v * v)), lambda p: p[1] + p[2]) AS x FROM {_B})")
+@register(_each_sql(f"list_transform(list_zip(w, list_transform(w, lambda v: v * v)), lambda p: p[1] + p[2])", _W))
 def residual(spark, d):
-    return v_block(spark, d).select("read_id", "blk", *_first()(arrays.add(F.col("w"), F.transform("w", lambda v: v * v))))
+    return _each(v_block(spark, d, 64), arrays.add(F.col("w"), F.transform("w", lambda v: v * v)))
 
 
 @register(f"SELECT read_id, blk, len(list_filter(w, lambda v: abs(v) > 0.5)) = 0 AS valid, len(list_filter(list_zip(w, list_transform(w, lambda v: v * 1.0001)), lambda p: abs(p[1] - p[2]) > 0.00003)) = 0 AS near FROM {_B}")
@@ -223,19 +229,19 @@ def validate_blocks(spark, d):
     return v_block(spark, d).select("read_id", "blk", arrays.is_valid(F.col("w"), -0.5, 0.5).alias("valid"), arrays.nearly_equal(F.col("w"), F.transform("w", lambda v: v * 1.0001), 0.00003).alias("near"))
 
 
-@register(f"SELECT read_id, blk, {rs('coalesce(lead(w[1]) OVER (PARTITION BY read_id ORDER BY blk) - w[1], 0.5)')} AS x0 FROM {_B}")
+@register(_each_sql("list_transform(list_zip(w, coalesce(v, list_transform(w, lambda y: y + 0.5))), lambda p: p[2] - p[1])", f"(SELECT *, lead(w) OVER (PARTITION BY read_id ORDER BY blk) AS v FROM {_W})"))
 def difference_blocks(spark, d):
-    ahead = F.lead(F.col("w")[0]).over(Window.partitionBy("read_id").orderBy("blk"))
-    return v_block(spark, d).select("read_id", "blk", r(F.coalesce(ahead - F.col("w")[0], F.lit(0.5))).alias("x0"))
+    return _each(signal.difference_blocks(v_block(spark, d, 64), 0.5), F.col("w"))
 
 
-_AFFINE = f"""WITH x AS (SELECT read_id, blk, unnest(w[1:8]) AS value, unnest(range(8)) AS feature FROM {_B}),
-    m AS (SELECT f.range AS feature, u.range AS unit, ((f.range * 3 + u.range * 5) % 7 - 3) / 4.0 AS weight FROM range(8) f, range(4) u)"""
+# features times a fixed matrix of 64 x 4; the second one has other weights
+_AFFINE = f"""WITH x AS (SELECT read_id, blk, unnest(w) AS value, unnest(range(64)) AS feature FROM {_W}),
+    m AS (SELECT f.range AS feature, u.range AS unit, ((f.range * 3 + u.range * 5) % 7 - 3) / 4.0 AS weight FROM range(64) f, range(4) u)"""
 
 
 def _affine_tables(spark, d):
-    x = v_block(spark, d, 8).select("read_id", "blk", F.posexplode("w").alias("feature", "value"))
-    m = spark.range(32).select((F.col("id") / 4).cast("int").alias("feature"), (F.col("id") % 4).cast("int").alias("unit"))
+    x = v_block(spark, d, 64).select("read_id", "blk", F.posexplode("w").alias("feature", "value"))
+    m = spark.range(256).select((F.col("id") / 4).cast("int").alias("feature"), (F.col("id") % 4).cast("int").alias("unit"))
     m = m.withColumn("weight", ((F.col("feature") * 3 + F.col("unit") * 5) % 7 - 3) / 4.0)
     bias = spark.range(4).select(F.col("id").cast("int").alias("unit"), (F.col("id") / 8).alias("bias"))
     return x, m, bias
@@ -246,13 +252,33 @@ def affine(spark, d):
     return network.affine_long(*_affine_tables(spark, d)).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
 
 
-@register(f"{_AFFINE} SELECT read_id, blk, unit::INT AS unit, {rs('tanh(2 * sum(value * weight) + unit / 8.0)')} AS value FROM x JOIN m USING (feature) GROUP BY read_id, blk, unit")
+@register(
+    f"""{_AFFINE}, y AS (SELECT x.read_id, x.blk, u.range AS unit, sum(value * value * ((feature + u.range) % 5 - 2) / 8.0) AS value FROM x, range(4) u GROUP BY ALL)
+    SELECT read_id, blk, unit::INT AS unit, {rs('tanh(a.value + y.value + unit / 8.0)')} AS value
+    FROM (SELECT read_id, blk, unit, sum(value * weight) AS value FROM x JOIN m USING (feature) GROUP BY ALL) a JOIN y USING (read_id, blk, unit)"""
+)
 def feedforward2_tanh(spark, d):
     x, m, bias = _affine_tables(spark, d)
-    both = network.add_long(network.affine_long(x, m, bias), network.affine_long(x, m))
+    squares = x.withColumn("value", F.col("value") * F.col("value"))
+    other = m.withColumn("weight", ((F.col("feature") + F.col("unit")) % 5 - 2) / 8.0)
+    both = network.add_long(network.affine_long(x, m, bias), network.affine_long(squares, other))
     return both.select("read_id", "blk", "unit", r(F.tanh("value")).alias("value"))
 
 
+@register(f"{_AFFINE} SELECT read_id, blk, unit::INT AS unit, {rs('tanh(sum(value * weight) + unit / 8.0)')} AS value FROM x JOIN m USING (feature) GROUP BY read_id, blk, unit")
+def feedforward_tanh(spark, d):
+    return network.affine_long(*_affine_tables(spark, d), F.tanh).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
+
+
+_SOFT = f"""{_AFFINE}, z AS (SELECT read_id, blk, unit, (sum(value / 1.5 * 2 * weight) + unit / 8.0) / 2 AS value FROM x JOIN m USING (feature) GROUP BY read_id, blk, unit)
+    SELECT read_id, blk, unit::INT AS unit, {rs('exp(value) / sum(exp(value)) OVER (PARTITION BY read_id, blk)')} AS value FROM z"""
+
+
+@register(_SOFT)
+def softmax_with_temperature(spark, d):
+    return network.softmax_long(*_affine_tables(spark, d), 1.5, 2.0).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
+
+
 @register(f"{_AFFINE} SELECT read_id, blk, unit::INT AS unit, {rs('exp(sum(value * weight) + unit / 8.0)')} AS value FROM x JOIN m USING (feature) GROUP BY read_id, blk, unit")
 def feedforward_exp(spark, d):
     return network.affine_long(*_affine_tables(spark, d), F.exp).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
@@ -265,6 +291,48 @@ def embedding_gather(spark, d):
     return found.select("read_id", "pos", r(F.col("w")[0]).alias("x0"), r(F.col("w")[1]).alias("x1"))
 
 
+@register(f"SELECT read_id, {rs('max(x)')} AS largest, {rs('min(x)')} AS smallest, arg_max(blk * 64 + row - 1, (x, -blk, -row)) AS at_max, arg_min(blk * 64 + row - 1, (x, blk, row)) AS at_min FROM (SELECT read_id, blk, unnest(w) AS x, generate_subscripts(w, 1) AS row FROM {_W}) GROUP BY read_id")
+def matrix_extrema(spark, d):
+    found = sequence.matrix_extrema(v_block(spark, d, 64))
+    return found.select("read_id", r(F.col("largest")).alias("largest"), r(F.col("smallest")).alias("smallest"), "at_max", "at_min")
+
+
+@register(f"SELECT read_id, (row - 1)::INT AS row, arg_max(blk, (x, -blk)) AS blk, {rs('max(x)')} AS x FROM (SELECT read_id, blk, unnest(w) AS x, generate_subscripts(w, 1) AS row FROM {_W}) GROUP BY ALL")
+def column_extrema(spark, d):
+    return sequence.column_extrema(v_block(spark, d, 64)).select("read_id", "row", "blk", r(F.col("x")).alias("x"))
+
+
+_ARRAYS = {
+    "shifted": (lambda w: arrays.shift_scale(w, F.lit(0.1), F.lit(0.5)), "list_transform(w, lambda v: (v - 0.1) / 0.5)"),
+    "clipped": (lambda w: arrays.clip(w, 0.2), "list_transform(w, lambda v: greatest(-0.2, least(0.2, v)))"),
+    "filtered": (lambda w: arrays.replace_large(w, 0.3, 9.0), "list_transform(w, lambda v: CASE WHEN abs(v) > 0.3 THEN 9.0 ELSE v END)"),
+    "differences": (lambda w: arrays.difference(w, 0.25), "list_transform(list_zip(w, list_append(w[2:], NULL)), lambda p: coalesce(p[2] - p[1], 0.25))"),
+    "live": (lambda w: arrays.live_slice(w, F.lit(3), F.lit(60)), "w[4:60]"),
+    "remainders": (lambda w: arrays.modulo(F.transform(w, lambda x: F.floor(F.abs(x) * 1000).cast("long")), 7), "list_transform(w, lambda v: floor(abs(v) * 1000)::BIGINT % 7)"),
+    "logs": (lambda w: F.transform(w, lambda x: act.log(F.abs(x) + 0.01)), "list_transform(w, lambda v: ln(abs(v) + 0.01))"),
+    "scores": (lambda w: F.transform(w, lambda x: quality.q_score(F.abs(x))), "list_transform(w, lambda v: -10 * log10(1 - least(abs(v), 0.99999)))"),
+}
+
+
+def _register_array(name: str, f, sql: str) -> None:
+    _queries[f"array_{name}"] = lambda spark, d: _each(v_block(spark, d, 64), f(F.col("w")))
+    _sql[f"array_{name}"] = _each_sql(sql, _W)
+
+
+for _name, (_f, _s) in _ARRAYS.items():
+    _register_array(_name, _f, _s)
+
+
+@register(f"SELECT read_id, blk, array_to_string(list_transform(w, lambda v: chr(least(round(33 - 10 * log10(1 - least(abs(v), 0.99999))), 126)::INT)), '') AS phreds FROM {_W}")
+def phred_strings(spark, d):
+    return v_block(spark, d, 64).select("read_id", "blk", quality.phred_string(F.transform("w", F.abs)).alias("phreds"))
+
+
+@register(f"SELECT read_id, blk, round(64 / 7)::INT AS factor FROM {_W}")
+def down_sample_factors(spark, d):
+    return v_block(spark, d, 64).select("read_id", "blk", arrays.down_sample_factor(F.col("w"), F.slice("w", 1, 7)).alias("factor"))
+
+
 # ---------------------------------------------------------------- functions
 
 _X = f"(SELECT read_id, idx, (value - 30) / 20.0 AS x, (value + 1) / 200.0 AS p FROM {SIGNAL})"
@@ -444,16 +512,22 @@ def reverse_sequence(spark, d):
 
 # ---------------------------------------------------------------- chains
 
-_NB = 2
+_NB = 4
 _CHAINS = {"flip_flop": chain.flip_flop(_NB), "run_length": chain.run_length(_NB), "run_length_v1": chain.run_length_v1(_NB), "flip_flop_states": chain.flip_flop_states(_NB)}
 
 
+def _log_sum_sql(terms: list[str]) -> str:
+    if len(terms) == 1:
+        return terms[0]
+    top = f"greatest({', '.join(terms)})"
+    return f"({top} + ln({' + '.join(f'exp({x} - {top})' for x in terms)}))"
+
+
 def _fold_sql(t: chain.Topology, log_sum: bool) -> str:
     """Common tables f (states after each block) and z (last block) by recursion over blocks."""
     def step(choices) -> str:
         terms = [f"f.s[{a + 1}] + b.w[{b + 1}]" for a, b in choices]
-        top = f"greatest({', '.join(terms)})" if len(terms) > 1 else terms[0]
-        return f"({top} + ln({' + '.join(f'exp({x} - {top})' for x in terms)}))" if log_sum else top
+        return _log_sum_sql(terms) if log_sum else f"greatest({', '.join(terms)})"
 
     return f"""b AS MATERIALIZED {block_sql(t.n_weight, 2.0)},
     f AS (SELECT DISTINCT read_id, 0::BIGINT AS k, [{', '.join(['0.0::DOUBLE'] * t.n_state)}] AS s FROM b
@@ -475,6 +549,39 @@ def _path_sql(t: chain.Topology) -> str:
     SELECT a.read_id, a.pos, a.state, {rs('b.next_q', 5)} AS q, {rs('a.score', 4)} AS score FROM p a LEFT JOIN p b ON b.read_id = a.read_id AND b.pos = a.pos - 1"""
 
 
+def _both_sql(t: chain.Topology) -> str:
+    """Common tables f and g: log sums over all paths up to each block's beginning and from there on."""
+    out = {}
+    for to, choices in enumerate(t.steps):
+        for a, b in choices:
+            out.setdefault(a, []).append(f"b.w[{b + 1}] + g.s[{to + 1}]")
+    return f"""{_fold_sql(t, True)},
+    g AS (SELECT read_id, n AS k, [{', '.join(['0.0::DOUBLE'] * t.n_state)}] AS s FROM z
+        UNION ALL SELECT g.read_id, g.k - 1, [{', '.join(_log_sum_sql(out[k]) for k in range(t.n_state))}] FROM g JOIN b ON b.read_id = g.read_id AND b.blk = g.k - 1)"""
+
+
+def _posterior_sql(t: chain.Topology) -> str:
+    """Common table p: every block's weights with those of steps replaced by log posteriors."""
+    steps = {}
+    for to, choices in enumerate(t.steps):
+        for a, b in choices:
+            steps.setdefault(b, []).append(f"f.s[{a + 1}] + b.w[{b + 1}] + g.s[{to + 1}]")
+    used = [_log_sum_sql(steps[k]) if k in steps else "NULL" for k in range(t.n_weight)]
+    return f"""{_both_sql(t)},
+    u AS (SELECT b.read_id, b.blk, b.w, [{', '.join(used)}] AS x FROM b JOIN f ON f.read_id = b.read_id AND f.k = b.blk JOIN g ON g.read_id = b.read_id AND g.k = b.blk + 1),
+    h AS (SELECT *, list_max(x) + ln(list_sum(list_transform(list_filter(x, lambda v: v IS NOT NULL), lambda v: exp(v - list_max(x))))) AS total FROM u),
+    p AS (SELECT read_id, blk, list_transform(list_zip(w, x), lambda v: coalesce(v[2] - total, v[1])) AS w FROM h)"""
+
+
+def _trace_sql(t: chain.Topology) -> str:
+    """Shares of states that the first block's steps come from, then of those that each block's go to."""
+    share = lambda terms: f"least(floor(255 * ({' + '.join(f'exp(least(w[{k + 1}], 0.0))' for k in terms)}) + 0.5), 255)"
+    came = [share([b for choices in t.steps for a, b in choices if a == k]) for k in range(t.n_state)]
+    gone = [share([b for _, b in choices]) for choices in t.steps]
+    return f"""WITH RECURSIVE {_posterior_sql(t)}, s AS (SELECT read_id, 0 AS pos, [{', '.join(came)}] AS x FROM p WHERE blk = 0 UNION ALL SELECT read_id, blk + 1, [{', '.join(gone)}] FROM p)
+    SELECT read_id, pos::BIGINT AS pos, (state - 1)::INT AS state, x::BIGINT AS share FROM (SELECT read_id, pos, unnest(x) AS x, generate_subscripts(x, 1) AS state FROM s)"""
+
+
 def _register_chain(name: str, t: chain.Topology) -> None:
     blocks = lambda spark, d: v_block(spark, d, t.n_weight, 2.0)
 
@@ -488,42 +595,62 @@ def _register_chain(name: str, t: chain.Topology) -> None:
         return chain.decode(blocks(spark, d), t).select("read_id", "pos", "state", r(F.col("q"), 5).alias("q"), r(F.col("score"), 4).alias("score"))
 
     def posterior(spark, d):
-        return chain.posteriors(blocks(spark, d), t).select("read_id", "blk", F.transform("w", lambda x: F.round(x, 4)).alias("w"))
+        return _each(chain.posteriors(blocks(spark, d), t), F.col("w"), 4)
 
     def state(spark, d):
-        return chain.states(blocks(spark, d), t, False).select("read_id", "pos", F.transform("p", lambda x: F.round(x, 4)).alias("p"))
+        return _each(chain.states(blocks(spark, d), t, False).withColumnRenamed("pos", "blk"), F.col("p"), 4)
 
     _queries.update({f"{name}_{f.__name__}": f for f in (score, partition, path, posterior, state)})
     z = " + ".join(f"exp(s[{k + 1}] - list_max(s))" for k in range(t.n_state))
     _sql[f"{name}_score"] = f"WITH RECURSIVE {_fold_sql(t, False)} SELECT read_id, {rs('list_max(s)', 4)} AS score FROM z"
     _sql[f"{name}_partition"] = f"WITH RECURSIVE {_fold_sql(t, True)} SELECT read_id, {rs(f'list_max(s) + ln({z})', 4)} AS log_z FROM z"
     _sql[f"{name}_path"] = _path_sql(t)
+    _sql[f"{name}_posterior"] = f"WITH RECURSIVE {_posterior_sql(t)} {_each_sql('w', 'p', 4)}"
+    joint = "list_transform(list_zip(f.s, g.s), lambda v: v[1] + v[2])"
+    _sql[f"{name}_state"] = f"""WITH RECURSIVE {_both_sql(t)}, j AS (SELECT f.read_id, f.k AS blk, {joint} AS s FROM f JOIN g ON g.read_id = f.read_id AND g.k = f.k)
+        {_each_sql('list_transform(s, lambda v: exp(v - list_max(s)) / list_sum(list_transform(s, lambda u: exp(u - list_max(s)))))', 'j', 4)}"""
 
 
 for _name, _t in _CHAINS.items():
     _register_chain(_name, _t)
 
 
-@register()
+@register(_trace_sql(_CHAINS["flip_flop"]))
 def flip_flop_trace(spark, d):
     t = _CHAINS["flip_flop"]
-    return chain.traces(v_block(spark, d, t.n_weight, 2.0), t)
+    found = chain.traces(v_block(spark, d, t.n_weight, 2.0), t)
+    return found.select("read_id", "pos", F.posexplode("trace").alias("state", "share"))
 
 
-@register()
+@register(
+    f"""SELECT read_id, pos - 1 AS pos, CASE WHEN state = before THEN -1 ELSE state END AS state, score FROM (
+    SELECT *, lag(state) OVER (PARTITION BY read_id ORDER BY pos) AS before FROM ({_path_sql(_CHAINS["run_length_v1"])})) WHERE pos > 0"""
+)
 def run_length_v1_moves(spark, d):
     t = _CHAINS["run_length_v1"]
     return chain.moves_v1(chain.decode(v_block(spark, d, t.n_weight, 2.0), t)).select("read_id", "pos", "state", r(F.col("score"), 4).alias("score"))
 
 
+@register(f"SELECT read_id, pos, CASE WHEN state < 4 THEN state ELSE -1 END AS state FROM ({_path_sql(_CHAINS['flip_flop'])})")
+def flip_flop_combined_stays(spark, d):
+    t = _CHAINS["flip_flop"]
+    return chain.combine_stays(chain.decode(v_block(spark, d, t.n_weight, 2.0), t), _NB).select("read_id", "pos", "state")
+
+
 # ---------------------------------------------------------------- records
 
 _CALLS = f"""(SELECT e.read_id, 'events' AS filename, basecall, quality, length(basecall) AS sequence_length, n AS nblock, n AS nsample, -n / 4.0 AS score FROM ({_EMIT}) e
     JOIN (SELECT read_id, count(*) AS n FROM {PATH} GROUP BY read_id) USING (read_id))"""
-_HEAD = """printf('%s  { "filename" : "%s", "uuid" : "%s", "normalised_score" : %.6f, "nblock" : %d, "sequence_length" : %d, "blocks_per_base" : %.6f, "nsample" : %d, "trim" : [ %d, %d ] }',
+_HEAD = """printf('%s  { "filename" : "%s", "uuid" : "%s", "normalised_score" : %.6f,  "nblock" : %d,  "sequence_length" : %d,  "blocks_per_base" : %.6f, "nsample" : %d, "trim" : [ %d, %d ] }',
     read_id, filename, read_id, -score / nblock, nblock, sequence_length, nblock / sequence_length, nsample, 0, nsample)"""
 
 
+@register("SELECT * FROM (VALUES ('fasta', true), ('FASTA', false), ('fastq', true), ('sam', true), ('bam', false)) t(name, known)")
+def output_formats(spark, d):
+    names = spark.createDataFrame([(n,) for n in ("fasta", "FASTA", "fastq", "sam", "bam")], "name string")
+    return names.withColumn("known", F.col("name").isin(*text_format.OUTPUT_FORMATS))
+
+
 def _calls(spark, d):
     path = v_path(spark, d)
     sizes = path.groupBy("read_id").agg(F.count("*").alias("n"))
@@ -552,6 +679,32 @@ def run_records(spark, d):
     return text_format.run_records(v_run(spark, d))
 
 
+@register(f"SELECT read_id, (run_idx)::INT AS run_idx, base, {rs('shape')} AS shape, {rs('scale')} AS scale, 1::INT AS dwell FROM {RUN}")
+def run_file(spark, d):
+    """Run records written as text and read back."""
+    place = session.scratch_path(spark, "run-file")
+    text_format.write_records(text_format.run_records(v_run(spark, d)), place)
+    return text_format.read_runs(spark, place).select("read_id", "run_idx", "base", r(F.col("shape")).alias("shape"), r(F.col("scale")).alias("scale"), "dwell")
+
+
+@register(f"SELECT read_id, run_idx::INT AS run_idx, base, {rs('shape')} AS shape, {rs('scale')} AS scale, 1::INT AS dwell FROM {RUN} WHERE read_id IN (SELECT read_id FROM {RUN} GROUP BY read_id ORDER BY read_id LIMIT 3)")
+def run_file_limit(spark, d):
+    """The first three records only: the limit is on records, not on lines."""
+    return basecall.limit_reads(v_run(spark, d), 3).select("read_id", F.col("run_idx").cast("int").alias("run_idx"), "base", r(F.col("shape")).alias("shape"), r(F.col("scale")).alias("scale"), "dwell")
+
+
+@register(f"SELECT 64 AS nr, count(*)::INT AS nc, {rs('sum(list_sum(w))')} AS total FROM {_W} GROUP BY read_id")
+def matrix_file(spark, d):
+    """Matrices written in hex floats, a file each, and read back."""
+    columns = F.transform(F.array_sort(F.collect_list(F.struct("blk", "w"))), lambda p: p["w"])
+    found = v_block(spark, d, 64).groupBy("read_id").agg(columns.alias("data"))
+    matrices = found.select(F.concat(F.lit("m"), F.col("read_id").cast("string")).alias("name"), F.lit(64).alias("nr"), F.size("data").alias("nc"), "data")
+    place = session.scratch_path(spark, "matrix-file")
+    text_format.matrix_records(matrices).write.partitionBy("name").text(place)
+    read = text_format.read_matrices(spark, f"{place}/*/*")
+    return read.select("nr", "nc", r(arrays.total(F.transform("data", arrays.total))).alias("total"))
+
+
 @register(f"SELECT read_id, '>' || read_id || chr(10) || rtrim(regexp_replace(string_agg(base, '' ORDER BY run_idx), '(.{{60}})', '\\1' || chr(10), 'g'), chr(10)) AS record FROM {RUN} GROUP BY read_id")
 def wrapped_fasta(spark, d):
     return text_format.wrapped_fasta(basecall.decode_runs(v_run(spark, d), expand=False))
@@ -563,7 +716,7 @@ def wrapped_fasta(spark, d):
 def _register_network(name: str) -> None:
     def run(spark, d):
         n_base = 5 if name == "flip_flop" else 4
-        reads = signal.to_reads(signal.normalise(v_signal(spark, d, "user_id")))
+        reads = signal.to_reads(signal.normalise(v_signal(spark, d)))
         found = network.transitions(reads, name, network.synthetic_weights(name, n_base), n_base)
         return found.select("read_id", "blk", F.transform("w", lambda x: F.round(x, 4)).alias("w"))
 
@@ -576,13 +729,13 @@ for _name in network.NETWORKS:
 
 @register()
 def basecall_reads(spark, d):
-    calls = basecall.basecall(v_signal(spark, d, "user_id"), network.synthetic_weights("flip_flop5", 4), trim=(2, 1), segmentation=(8, 0.0))
+    calls = basecall.basecall(v_signal(spark, d), network.synthetic_weights("flip_flop5", 4), trim=(2, 1), segmentation=(8, 0.0))
     return calls.withColumn("score", F.round("score", 3))
 
 
 @register()
 def basecall_run_reads(spark, d):
-    runs = basecall.basecall_runs(v_signal(spark, d, "user_id"), network.synthetic_weights("run_length5", 4), trim=(2, 1), segmentation=(8, 0.0))
+    runs = basecall.basecall_runs(v_signal(spark, d), network.synthetic_weights("run_length5", 4), trim=(2, 1), segmentation=(8, 0.0))
     return runs.select("read_id", "run_idx", "base", F.round("shape", 4).alias("shape"), F.round("scale", 4).alias("scale"), "dwell")
 
 

@@ -57,36 +57,42 @@ def matrix_records(matrices: DataFrame) -> DataFrame:
     return matrices.select("name", F.concat(F.format_string("%d\t%d\n", "nr", "nc"), text("data"), F.lit("\n")).alias("record"))
 
 
-def _header(prefix: str) -> Column:
-    """Identifier and a JSON-like description, shared by FASTA and FASTQ."""
+def _name(prefix: str, by_uuid: bool) -> Column:
+    """What a record is called: its file, or its uuid; rows without a file name have the uuid alone."""
+    name = F.col("read_id") if by_uuid else F.coalesce("filename", "read_id")
+    return F.concat(F.lit(prefix), name)
+
+
+def _header(prefix: str, by_uuid: bool) -> Column:
+    """Name and a JSON-like description, shared by FASTA and FASTQ."""
     per_base = F.when(F.col("sequence_length") > 0, F.format_string("%.6f", F.col("nblock") / F.col("sequence_length"))).otherwise("null")
     return F.concat(
-        F.lit(prefix),
-        F.col("read_id"),
-        F.format_string('  { "filename" : "%s", "uuid" : "%s", "normalised_score" : %.6f, "nblock" : %d, "sequence_length" : %d, "blocks_per_base" : ', "filename", "read_id", F.when(F.col("nblock") > 0, -F.col("score") / F.col("nblock")).otherwise(F.lit(0.0)), "nblock", "sequence_length"),
+        _name(prefix, by_uuid),
+        F.format_string('  { "filename" : "%s", "uuid" : "%s", "normalised_score" : %.6f,  "nblock" : %d,  "sequence_length" : %d,  "blocks_per_base" : ', "filename", "read_id", F.when(F.col("nblock") > 0, -F.col("score") / F.col("nblock")).otherwise(F.lit(0.0)), "nblock", "sequence_length"),
         per_base,
         F.format_string(', "nsample" : %d, "trim" : [ %d, %d ] }', "nsample", "trim_start", "trim_end"),
     )
 
 
-def fasta(calls: DataFrame, prefix: str = "") -> DataFrame:
-    return calls.select("read_id", F.concat(F.lit(">"), _header(prefix), F.lit("\n"), "basecall").alias("record"))
+def fasta(calls: DataFrame, prefix: str = "", by_uuid: bool = True) -> DataFrame:
+    return calls.select("read_id", F.concat(F.lit(">"), _header(prefix, by_uuid), F.lit("\n"), "basecall").alias("record"))
 
 
-def fastq(calls: DataFrame, prefix: str = "") -> DataFrame:
-    return calls.select("read_id", F.concat(F.lit("@"), _header(prefix), F.lit("\n"), "basecall", F.lit("\n+\n"), F.coalesce("quality", F.lit(""))).alias("record"))
+def fastq(calls: DataFrame, prefix: str = "", by_uuid: bool = True) -> DataFrame:
+    return calls.select("read_id", F.concat(F.lit("@"), _header(prefix, by_uuid), F.lit("\n"), "basecall", F.lit("\n+\n"), F.coalesce("quality", F.lit(""))).alias("record"))
 
 
-def sam(calls: DataFrame, prefix: str = "") -> DataFrame:
+def sam(calls: DataFrame, prefix: str = "", by_uuid: bool = True) -> DataFrame:
     """One unaligned record a read; an empty sequence is a star."""
     text = lambda c: F.when(F.length(c) > 0, F.col(c)).otherwise("*")
-    return calls.select("read_id", F.concat_ws("\t", F.concat(F.lit(prefix), "read_id"), F.lit("4\t*\t0\t0\t*\t*\t0\t0"), text("basecall"), text("quality")).alias("record"))
+    return calls.select("read_id", F.concat_ws("\t", _name(prefix, by_uuid), F.lit("4\t*\t0\t0\t*\t*\t0\t0"), text("basecall"), text("quality")).alias("record"))
 
 
-def format_calls(calls: DataFrame, kind: str, prefix: str = "") -> DataFrame:
+def format_calls(calls: DataFrame, kind: str, prefix: str = "", by_uuid: bool = True) -> DataFrame:
+    """(read_id, record); records are named by uuid (``read_id``) or, without ``by_uuid``, by ``filename``."""
     if kind not in OUTPUT_FORMATS:
         raise ValueError(f"format is one of {', '.join(OUTPUT_FORMATS)}, in lower case, not {kind!r}")
-    return {"fasta": fasta, "fastq": fastq, "sam": sam}[kind](calls, prefix)
+    return {"fasta": fasta, "fastq": fastq, "sam": sam}[kind](calls, prefix, by_uuid)
 
 
 def wrapped_fasta(sequences: DataFrame, width: int = 60) -> DataFrame:
