@@ -110,23 +110,81 @@ def log_partitions(blocks: DataFrame, t: Topology) -> DataFrame:
     return states.select("read_id", _log_sum([F.col("s")[k] for k in range(t.n_state)]).alias("log_z"))
 
 
-# kernels on one read's (blocks, weights) array
+# kernels on a batch of reads: weights (reads, blocks, weights), longest read first, and each one's blocks
+
+
+def _active(lengths: np.ndarray, k: int) -> int:
+    """How many of the reads, longest first, have a block ``k``."""
+    return int(np.searchsorted(-lengths, -k, "left"))
+
+
+def viterbi_batch(w: np.ndarray, lengths: np.ndarray, t: Topology) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best scores, states (one more than blocks) and the weights of steps, zero beyond a read's end."""
+    src, row, real = t.tables()
+    n, blocks = w.shape[:2]
+    score, back = np.zeros((n, t.n_state)), np.zeros((blocks, n, t.n_state), np.int8)
+    for k in range(blocks):
+        m = _active(lengths, k)
+        choices = np.where(real, score[:m][:, src] + w[:m, k][:, row], -np.inf)
+        back[k, :m] = choices.argmax(2)
+        score[:m] = choices.max(2)
+    path, step, each = np.zeros((n, blocks + 1), np.int64), np.zeros((n, blocks)), np.arange(n)
+    path[each, lengths] = score.argmax(1)
+    for k in range(blocks - 1, -1, -1):
+        m = _active(lengths, k)
+        to = path[:m, k + 1]
+        c = back[k, each[:m], to]
+        path[:m, k], step[:m, k] = src[to, c], w[each[:m], k, row[to, c]]
+    return score.max(1), path, step
+
+
+def forward_backward_batch(w: np.ndarray, lengths: np.ndarray, t: Topology, backward: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log sums, one row more than blocks; a read's last forward row is repeated beyond its end."""
+    src, row, real = t.tables()
+    n, blocks = w.shape[:2]
+    f, b = np.zeros((n, blocks + 1, t.n_state)), np.zeros((n, blocks + 1, t.n_state))
+    for k in range(blocks):
+        m = _active(lengths, k)
+        f[:m, k + 1] = _lse(np.where(real, f[:m, k][:, src] + w[:m, k][:, row], -np.inf), 2)
+        f[m:, k + 1] = f[m:, k]
+    if backward:
+        to = np.broadcast_to(np.arange(t.n_state)[:, None], src.shape)
+        for k in range(blocks - 1, -1, -1):
+            m = _active(lengths, k)
+            dense = np.full((m, t.n_state, t.n_state), -np.inf)
+            dense[:, src[real], to[real]] = w[:m, k][:, row[real]] + b[:m, k + 1][:, to[real]]
+            b[:m, k] = _lse(dense, 2)
+    return f, b
+
+
+def step_posteriors_batch(w: np.ndarray, lengths: np.ndarray, t: Topology, normalised: bool = True) -> np.ndarray:
+    """Log posterior of every weight's steps at each block; weights that belong to no step stay as they are."""
+    src, row, real = t.tables()
+    f, b = forward_backward_batch(w, lengths, t)
+    to = np.broadcast_to(np.arange(t.n_state)[:, None], src.shape)
+    steps = f[:, :-1][:, :, src[real]] + w[:, :, row[real]] + b[:, 1:][:, :, to[real]]
+    used, place = np.unique(row[real], return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    first = np.flatnonzero(np.diff(place[order], prepend=-1))
+    top = np.maximum.reduceat(steps[:, :, order], first, axis=2)
+    sums = np.add.reduceat(np.exp(steps[:, :, order] - top[:, :, place[order]]), first, axis=2)
+    rows = top + np.log(sums)
+    out = w.astype(float).copy()
+    out[:, :, used] = rows - (_lse(rows, 2)[:, :, None] if normalised else 0.0)
+    return out
+
+
+# the same for one read's (blocks, weights) array
+
+
+def _one(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(w, float)[None], np.array([len(w)])
 
 
 def viterbi(w: np.ndarray, t: Topology) -> tuple[float, np.ndarray, np.ndarray]:
     """Best score, its states (one more than blocks) and the weight of each step."""
-    src, row, real = t.tables()
-    score, back = np.zeros(t.n_state), np.zeros((len(w), t.n_state), np.int64)
-    for k, x in enumerate(w):
-        choices = np.where(real, score[src] + x[row], -np.inf)
-        back[k] = choices.argmax(1)
-        score = choices.max(1)
-    path, step = np.zeros(len(w) + 1, np.int64), np.zeros(len(w))
-    path[-1] = score.argmax()
-    for k in range(len(w) - 1, -1, -1):
-        c = back[k, path[k + 1]]
-        path[k], step[k] = src[path[k + 1], c], w[k, row[path[k + 1], c]]
-    return float(score.max()), path, step
+    score, path, step = viterbi_batch(*_one(w), t)
+    return float(score[0]), path[0], step[0]
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -136,31 +194,12 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 def forward_backward(w: np.ndarray, t: Topology) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward log sums, one row more than blocks."""
-    src, row, real = t.tables()
-    f, b = np.zeros((len(w) + 1, t.n_state)), np.zeros((len(w) + 1, t.n_state))
-    to = np.broadcast_to(np.arange(t.n_state)[:, None], src.shape)
-    for k, x in enumerate(w):
-        f[k + 1] = _lse(np.where(real, f[k][src] + x[row], -np.inf), 1)
-    for k in range(len(w) - 1, -1, -1):
-        dense = np.full((t.n_state, t.n_state), -np.inf)
-        dense[src[real], to[real]] = w[k][row[real]] + b[k + 1][to[real]]
-        b[k] = _lse(dense, 1)
-    return f, b
+    f, b = forward_backward_batch(*_one(w), t)
+    return f[0], b[0]
 
 
 def step_posteriors(w: np.ndarray, t: Topology, normalised: bool = True) -> np.ndarray:
-    """Log posterior of every weight's steps at each block; weights that belong to no step stay as they are."""
-    src, row, real = t.tables()
-    f, b = forward_backward(w, t)
-    out = w.astype(float).copy()
-    to = np.broadcast_to(np.arange(t.n_state)[:, None], src.shape)
-    used = np.unique(row[real])
-    for k in range(len(w)):
-        steps = (f[k][src] + w[k][row] + b[k + 1][to])[real]
-        rows = np.full(out.shape[1], -np.inf)
-        np.logaddexp.at(rows, row[real], steps)
-        out[k, used] = rows[used] - (_lse(rows[used], 0) if normalised else 0.0)
-    return out
+    return step_posteriors_batch(*_one(w), t, normalised)[0]
 
 
 def state_posteriors(w: np.ndarray, t: Topology, log: bool = True) -> np.ndarray:

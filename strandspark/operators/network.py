@@ -33,11 +33,11 @@ ACTIVATIONS = {
 
 
 def convolution(x: np.ndarray, w: np.ndarray, b: np.ndarray, stride: int) -> np.ndarray:
-    """Zero-padded filters ``w`` (width, features in, features out) at every ``stride``-th block."""
+    """Zero-padded filters ``w`` (width, features in, features out) at every ``stride``-th of (..., blocks, features)."""
     width = len(w)
-    padded = np.pad(x, (((width - 1) // 2, width // 2), (0, 0)))
-    views = np.lib.stride_tricks.sliding_window_view(padded, width, axis=0)[::stride]  # blocks, features, width
-    return np.tensordot(views, w, ([2, 1], [0, 1])) + b
+    padded = np.pad(x, [(0, 0)] * (x.ndim - 2) + [((width - 1) // 2, width // 2), (0, 0)])
+    views = np.lib.stride_tricks.sliding_window_view(padded, width, axis=-2)[..., ::stride, :, :]  # blocks, features, width
+    return np.tensordot(views, w, ([-1, -2], [0, 1])) + b
 
 
 def affine(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,51 +50,59 @@ def softmax(x: np.ndarray, w: np.ndarray, b: np.ndarray, temp_weight: float = 1.
     return e / e.sum(1, keepdims=True)
 
 
-def gru(x: np.ndarray, s: np.ndarray, s2: np.ndarray | None = None, candidate: str = "tanh") -> np.ndarray:
-    """Gated recurrence over projected input (update, reset, candidate).
+def gru(x: np.ndarray, s: np.ndarray, s2: np.ndarray | None = None, candidate: str = "tanh", lengths: np.ndarray | None = None) -> np.ndarray:
+    """Gated recurrence over projected input (update, reset, candidate), of one read or of reads longest first.
 
     With ``s2`` the reset gate scales the state before its product; without, ``s`` has all three
     products and the gate scales the candidate's.
     """
-    size = x.shape[1] // 3
-    h, out, act = np.zeros(size), np.zeros((len(x), size)), ACTIVATIONS[candidate]
-    for k, row in enumerate(x):
+    if x.ndim == 2:
+        return gru(x[None], s, s2, candidate)[0]
+    n, blocks, size = x.shape[0], x.shape[1], x.shape[2] // 3
+    lengths = np.full(n, blocks) if lengths is None else lengths
+    h, out, act = np.zeros((n, size)), np.zeros((n, blocks, size)), ACTIVATIONS[candidate]
+    for k in range(blocks):
+        m = chain._active(lengths, k)
+        row, now = x[:m, k], h[:m]
         if s2 is None:
-            p = h @ s
-            z, r = _sigmoid(row[:size] + p[:size]), _sigmoid(row[size : 2 * size] + p[size : 2 * size])
-            new = act(row[2 * size :] + r * p[2 * size :])
+            p = now @ s
+            z, r = _sigmoid(row[:, :size] + p[:, :size]), _sigmoid(row[:, size : 2 * size] + p[:, size : 2 * size])
+            new = act(row[:, 2 * size :] + r * p[:, 2 * size :])
         else:
-            g = _sigmoid(row[: 2 * size] + h @ s)
-            z, r = g[:size], g[size:]
-            new = act(row[2 * size :] + (r * h) @ s2)
-        h = z * h + (1 - z) * new
-        out[k] = h
+            g = _sigmoid(row[:, : 2 * size] + now @ s)
+            z, r = g[:, :size], g[:, size:]
+            new = act(row[:, 2 * size :] + (r * now) @ s2)
+        h[:m] = out[:m, k] = z * now + (1 - z) * new
     return out
 
 
-def lstm(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+def lstm(x: np.ndarray, s: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
     """Long short-term memory over projected input (input, forget, candidate, output), without peepholes."""
-    size = x.shape[1] // 4
-    h, c, out = np.zeros(size), np.zeros(size), np.zeros((len(x), size))
-    for k, row in enumerate(x):
-        i, f, g, o = np.split(row + h @ s, 4)
-        c = _sigmoid(f) * c + _sigmoid(i) * np.tanh(g)
-        h = _sigmoid(o) * np.tanh(c)
-        out[k] = h
+    if x.ndim == 2:
+        return lstm(x[None], s)[0]
+    n, blocks, size = x.shape[0], x.shape[1], x.shape[2] // 4
+    lengths = np.full(n, blocks) if lengths is None else lengths
+    h, c, out = np.zeros((n, size)), np.zeros((n, size)), np.zeros((n, blocks, size))
+    for k in range(blocks):
+        m = chain._active(lengths, k)
+        i, f, g, o = np.split(x[:m, k] + h[:m] @ s, 4, axis=1)
+        c[:m] = _sigmoid(f) * c[:m] + _sigmoid(i) * np.tanh(g)
+        h[:m] = out[:m, k] = _sigmoid(o) * np.tanh(c[:m])
     return out
 
 
-def head(x: np.ndarray, kind: str, n_base: int, temperature: float) -> np.ndarray:
-    """Globally normalised weights: each block gives up its share of the log partition."""
+def head(x: np.ndarray, kind: str, n_base: int, temperature: float, lengths: np.ndarray) -> np.ndarray:
+    """Globally normalised weights: each block of a read gives up its share of the log partition."""
     t = {"flip_flop": chain.flip_flop, "run_length": chain.run_length, "run_length_v1": chain.run_length_v1}[kind](n_base)
     out = np.empty(x.shape)
     own = 0 if kind == "flip_flop" else 2 * n_base
-    out[:, own:] = 5 * np.tanh(x[:, own:]) / temperature
+    out[..., own:] = 5 * np.tanh(x[..., own:]) / temperature
     if own:
         least = 0.1 if kind == "run_length_v1" else 1e-8
-        out[:, :n_base] = 1 + _softplus(x[:, :n_base])
-        out[:, n_base:own] = least + _softplus(x[:, n_base:own])
-    out[:, own:] -= chain.partition(out, t) / len(out)
+        out[..., :n_base] = 1 + _softplus(x[..., :n_base])
+        out[..., n_base:own] = least + _softplus(x[..., n_base:own])
+    last = chain.forward_backward_batch(out, lengths, t, backward=False)[0][:, -1]
+    out[..., own:] -= (chain._lse(last, 1) / lengths)[:, None, None]
     return out
 
 
@@ -155,22 +163,50 @@ def synthetic_weights(network: str, n_base: int, size: int = 16, width: int = 5,
     return out
 
 
-def run_network(signal: np.ndarray, network: str, weights: list[dict[str, np.ndarray]], n_base: int, temperature: float = 1.0) -> np.ndarray:
-    """(blocks, weights) of one read's normalised signal."""
-    x = np.asarray(signal, float).reshape(-1, 1)
+def run_batch(signals: list[np.ndarray], network: str, weights: list[dict[str, np.ndarray]], n_base: int, temperature: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (reads, blocks, weights) of normalised signals, the longest first, and each one's blocks.
+
+    Reads are padded to the longest; a recurrence takes one step for all reads that still have a block.
+    """
+    lengths = np.array([len(x) for x in signals])
+    x = np.zeros((len(signals), lengths[0], 1))
+    for k, s in enumerate(signals):
+        x[k, : len(s), 0] = s
     for layer, p in zip(NETWORKS[network], weights):
         if layer[0] == "conv":
             x = ACTIVATIONS[layer[2]](convolution(x, p["w"], p["b"], layer[1]))
+            lengths = -(-lengths // layer[1])
+            x[np.arange(x.shape[1]) >= lengths[:, None]] = 0.0
         elif layer[0] == "head":
-            return head(affine(x, p["w"], p["b"]), layer[1], n_base, temperature)
+            return head(affine(x, p["w"], p["b"]), layer[1], n_base, temperature, lengths), lengths
         else:
             kind, backward, residual = layer
+            turned = np.where(np.arange(x.shape[1]) < lengths[:, None], lengths[:, None] - 1 - np.arange(x.shape[1]), np.arange(x.shape[1]))[..., None]
             y = affine(x, p["w"], p["b"])
-            y = y[::-1] if backward else y
-            y = lstm(y, p["s"]) if kind == "lstm" else gru(y, p["s"], p.get("s2"), "relu" if kind == "gru_relu" else "tanh")
-            y = y[::-1] if backward else y
+            y = np.take_along_axis(y, turned, 1) if backward else y
+            y = lstm(y, p["s"], lengths) if kind == "lstm" else gru(y, p["s"], p.get("s2"), "relu" if kind == "gru_relu" else "tanh", lengths)
+            y = np.take_along_axis(y, turned, 1) if backward else y
             x = x + y if residual else y
-    return x
+    return x, lengths
+
+
+def run_network(signal: np.ndarray, network: str, weights: list[dict[str, np.ndarray]], n_base: int, temperature: float = 1.0) -> np.ndarray:
+    """(blocks, weights) of one read's normalised signal."""
+    return run_batch([np.asarray(signal, float)], network, weights, n_base, temperature)[0][0]
+
+
+#: Samples, padding included, and reads that are worked on together.
+BATCH_SAMPLES, BATCH_READS = 400_000, 256
+
+
+def in_batches(signals: list[np.ndarray]) -> Iterator[list[int]]:
+    """Numbers of signals that aren't empty in groups of like length, the longest first."""
+    order = sorted((k for k, s in enumerate(signals) if len(s)), key=lambda k: -len(signals[k]))
+    while order:
+        n = max(1, min(BATCH_READS, BATCH_SAMPLES // len(signals[order[0]])))
+        n = next((i for i in range(1, n) if i < len(order) and 2 * len(signals[order[i]]) < len(signals[order[0]])), n)
+        yield order[:n]
+        order = order[n:]
 
 
 def transitions(reads: DataFrame, network: str, weights: list[dict[str, np.ndarray]], n_base: int, temperature: float = 1.0) -> DataFrame:
@@ -180,11 +216,13 @@ def transitions(reads: DataFrame, network: str, weights: list[dict[str, np.ndarr
     kind = reads.schema["read_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for read, signal in zip(b.column(0), b.column(1).to_pylist()):
-                if signal:
-                    w = run_network(np.array(signal), network, shared.value, n_base, temperature)
-                    yield pa.RecordBatch.from_arrays([pa.array([read.as_py()] * len(w), b.schema.field(0).type), pa.array(np.arange(len(w))), pa.array(w.tolist(), pa.list_(pa.float64()))], names=["read_id", "blk", "w"])
+        for b in (whole.slice(k, BATCH_READS) for whole in batches for k in range(0, whole.num_rows, BATCH_READS)):
+            signals = [np.array(s or [], float) for s in b.column(1).to_pylist()]
+            for some in in_batches(signals):
+                w, lengths = run_batch([signals[k] for k in some], network, shared.value, n_base, temperature)
+                for j, n in zip(some, lengths.tolist()):
+                    own = w[some.index(j), :n]
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[j].as_py()] * n, b.schema.field(0).type), pa.array(np.arange(n)), pa.array(own.tolist(), pa.list_(pa.float64()))], names=["read_id", "blk", "w"])
 
     return reads.select("read_id", F.col("signal").cast("array<double>").alias("signal")).mapInArrow(run, f"read_id {kind}, blk long, w array<double>")
 

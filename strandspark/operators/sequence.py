@@ -102,11 +102,10 @@ def move_counts(path: DataFrame) -> DataFrame:
 
 def compress(sequence: Column) -> tuple[Column, Column]:
     """Letters and lengths of a text's runs of equal characters."""
-    both = _compressed(sequence)
+    both = F.pandas_udf(_compressed, "letters string, lengths array<int>")(sequence)
     return both["letters"], both["lengths"]
 
 
-@F.pandas_udf("letters string, lengths array<int>")
 def _compressed(texts: pd.Series) -> pd.DataFrame:
     letters, lengths = [], []
     for t in texts:
