@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,12 @@ def phred(p: Column) -> Column:
     return F.chr(F.least(F.round(33 + q_score(p)), F.lit(126)).cast("int"))
 
 
+def phred_letters(p: np.ndarray) -> str:
+    """``phred`` of each probability, joined."""
+    score = 33 - 10 * np.log10(1 - np.minimum(p, SUREST))
+    return "".join(map(chr, np.minimum(np.floor(score + 0.5), 126).astype(int).tolist()))
+
+
 def phred_string(probabilities: Column) -> Column:
     return F.array_join(F.transform(probabilities, phred), "")
 

@@ -7,6 +7,7 @@ one shuffle of the samples; Catalyst broadcasts the per-read side where it is sm
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,3 +129,29 @@ def to_reads(signal: DataFrame) -> DataFrame:
 
 def to_samples(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", F.posexplode("signal").alias("idx", "value")).withColumn("idx", F.col("idx").cast("long"))
+
+
+# the same for one read's samples, where a stage has the whole read anyway
+
+
+def _mad(x: np.ndarray) -> tuple[float, float]:
+    median = float(np.nanmedian(x))
+    return median, MAD_SCALE * float(np.nanmedian(np.abs(x - median)))
+
+
+def live_part(x: np.ndarray, chunk: int, percent: float, head: int, tail: int) -> tuple[int, int]:
+    """Start and end as ``trim_bounds`` has them; equal where no part is live."""
+    n = len(x)
+    mads = np.array([_mad(x[k : k + chunk])[1] for k in range(0, n - chunk + 1, chunk)])
+    loud = np.flatnonzero(mads > np.quantile(mads, percent)) if len(mads) else []
+    first, last = (int(loud[0]) * chunk, (int(loud[-1]) + 1) * chunk) if len(loud) else (0, 0)
+    start, end = first + head if n - first > head else n, max(last - tail, 0)
+    return (start, end) if n >= chunk and start < end else (0, 0)
+
+
+def normalised(x: np.ndarray) -> np.ndarray:
+    """By median and MAD as ``normalise`` has it; nothing where the MAD is 0."""
+    if len(x) < 2:
+        return np.zeros(len(x))
+    median, mad = _mad(x)
+    return (x - median) / mad if mad else np.zeros(0)

@@ -17,6 +17,7 @@ from strandspark.functions import distributions as dist
 from strandspark.operators import chain, network, sequence, signal
 from strandspark.plans import basecall, views
 from strandspark.plans.views import PATH, RUN, SIGNAL, block_sql, table, v_block, v_path, v_run, v_signal
+from strandspark.sources import tables
 from strandspark.sources import text as text_format
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -727,15 +728,29 @@ for _name in network.NETWORKS:
     _register_network(_name)
 
 
+_LIVE = {"trim": (2, 1), "segmentation": (8, 0.0)}
+
+
 @register()
 def basecall_reads(spark, d):
-    calls = basecall.basecall(v_signal(spark, d), network.synthetic_weights("flip_flop5", 4), trim=(2, 1), segmentation=(8, 0.0))
+    calls = basecall.basecall(v_signal(spark, d), network.synthetic_weights("flip_flop5", 4), **_LIVE)
     return calls.withColumn("score", F.round("score", 3))
 
 
+@register()
+def basecall_fastq(spark, d):
+    return text_format.format_calls(basecall.basecall(v_signal(spark, d), network.synthetic_weights("flip_flop5", 4), limit=100, **_LIVE), "fastq")
+
+
+@register()
+def basecall_traces(spark, d):
+    calls = basecall.basecall(v_signal(spark, d), network.synthetic_weights("flip_flop5", 4), trace=True, **_LIVE)
+    return tables.trace_points(calls)
+
+
 @register()
 def basecall_run_reads(spark, d):
-    runs = basecall.basecall_runs(v_signal(spark, d), network.synthetic_weights("run_length5", 4), trim=(2, 1), segmentation=(8, 0.0))
+    runs = basecall.basecall_runs(v_signal(spark, d), network.synthetic_weights("run_length5", 4), **_LIVE)
     return runs.select("read_id", "run_idx", "base", F.round("shape", 4).alias("shape"), F.round("scale", 4).alias("scale"), "dwell")
 
 

@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
 
-from strandspark.operators import chain, network, signal
+from pyspark.sql import functions as F
+
+from strandspark.operators import chain, network, sequence, signal
 from strandspark.plans import basecall
-from strandspark.sources import tables
+from strandspark.sources import tables, text
 
 
 @pytest.mark.parametrize("width", range(1, 8))
@@ -72,12 +74,49 @@ def test_whole_queries(spark):
     for r in calls:
         assert len(r["basecall"]) == len(r["quality"]) == r["sequence_length"] and set(r["basecall"]) <= set("ACGT")
         assert r["nsample"] == 300 and r["nblock"] == -(-(r["trim_end"] - r["trim_start"]) // 5)
+    # the same put together from the operators on samples, blocks and paths
+    live = basecall.prepare(reads(spark), (20, 10), (20, 0.0))
+    path = chain.decode(network.transitions(signal.to_reads(live), "flip_flop5", weights, 4), chain.flip_flop(4), posterior=True)
+    whole = {r["read_id"]: r for r in sequence.emit_bases(path, 4).collect()}
+    scores = {r["read_id"]: r["score"] for r in path.collect()}
+    for r in calls:
+        assert (r["basecall"], r["quality"]) == (whole[r["read_id"]]["basecall"], whole[r["read_id"]]["quality"])
+        assert r["score"] == pytest.approx(scores[r["read_id"]], abs=1e-9)
+    assert basecall.basecall(reads(spark), weights, limit=2, trim=(20, 10), segmentation=(20, 0.0)).count() == 2
     plain = basecall.basecall(reads(spark), weights, viterbi_only=True, reverse=True, delta=3.0, trim=(20, 10), segmentation=(20, 0.0))
     assert plain.count() == 5
-    runs = basecall.basecall_runs(reads(spark), network.synthetic_weights("run_length5", 4), trim=(20, 10), segmentation=(20, 0.0)).collect()
+    weights = network.synthetic_weights("run_length5", 4)
+    runs = basecall.basecall_runs(reads(spark), weights, trim=(20, 10), segmentation=(20, 0.0)).collect()
+    blocks = network.transitions(signal.to_reads(live), "run_length5", weights, 4)
+    path = chain.run_path(chain.decode(blocks, chain.run_length(4), posterior=True, normalised=False), 4)
+    at = F.pmod("state", F.lit(4)).cast("int")
+    params = path.join(blocks.select("read_id", F.col("blk").alias("pos"), "w"), ["read_id", "pos"]).select("read_id", "pos", "state", F.element_at("w", at + 1).alias("shape"), F.element_at("w", at + 5).alias("scale"))
+    want = {(r["read_id"], r["run_idx"]): r for r in sequence.emit_runs(params, 4).collect()}
+    assert len(want) == len(runs)
+    for r in runs:
+        w = want[r["read_id"], r["run_idx"]]
+        assert (r["base"], r["dwell"]) == (w["base"], w["dwell"]) and r["shape"] == pytest.approx(w["shape"]) and r["scale"] == pytest.approx(w["scale"])
     assert runs and all(r["shape"] >= 1 and r["dwell"] >= 1 and r["base"] in "ACGT" for r in runs)
 
 
+def test_fastq_and_traces_from_a_table_of_reads(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(f"id{k}", f"f{k // 2}.fast5", rng.normal(80, 10, 400).round().tolist(), None) for k in range(4)] + [("bad", "x.fast5", None, "OSError"), ("flat", "y.fast5", [3.0] * 400, None)]
+    table = spark.createDataFrame(rows, "read_id string, filename string, raw array<double>, error string")
+    calls = basecall.basecall(table, network.synthetic_weights("flip_flop5", 4), trace=True, trim=(20, 10), segmentation=(20, 0.0))
+    text.write_records(text.format_calls(calls, "fastq", "p_", by_uuid=False), str(tmp_path / "calls"))
+    lines = [x["value"] for x in spark.read.text(str(tmp_path / "calls")).collect()]
+    heads = [x for x in lines if x.startswith("@p_")]
+    assert sorted(x.split()[0] for x in heads) == ["@p_f0.fast5", "@p_f0.fast5", "@p_f1.fast5", "@p_f1.fast5"]
+    assert all('"uuid" : "id' in x and ',  "nblock" : ' in x for x in heads)
+    tables.write_traces(calls, str(tmp_path / "traces"))
+    back = spark.read.parquet(str(tmp_path / "traces"))
+    for r in back.collect():
+        assert len(r["trace"]) == -(-len(r["signal"]) // 5) + 1 and all(len(x) == 8 for x in r["trace"])
+    plan = calls._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
 def test_models_and_weights(spark):
     assert network.model_table(spark).count() == 5
     with pytest.raises(ValueError):
