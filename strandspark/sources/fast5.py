@@ -82,6 +82,69 @@ class Fast5Reader(DataSourceReader):
             yield (None, name, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])
 
 
+TRACES = "read_id string, filename string, signal array<float>, trace array<array<int>>, error string"
+
+
+def layout(file) -> str:
+    """``single`` or ``multi`` read files by their version mark, else a file of traces."""
+    return ("single" if "Raw" in file else "multi") if "file_version" in file.attrs else "traces"
+
+
+def read_traces_of(file, name: str, analysis: int = 0):
+    """(read, signal, trace, error) for each read: our own traces are 255ths, a basecaller's table is taken as it is, with the part of the signal it covers."""
+    kind = layout(file)
+    for read in [name] if kind == "single" else list(file):
+        try:
+            if kind == "traces":
+                yield read, file[f"{read}/signal"][()], file[f"{read}/trace"][()], None
+                continue
+            group = file if kind == "single" else file[read]
+            raw = f"Raw/Reads/{next(iter(group['Raw/Reads']))}/Signal" if kind == "single" else "Raw/Signal"
+            trace = group[f"Analyses/Basecall_1D_{analysis:03d}/BaseCalled_template/Trace"][()]
+            span = group[f"Analyses/Segmentation_{analysis:03d}/Summary/segmentation"].attrs
+            start = int(span["first_sample_template"])
+            yield read, group[raw][()][start : start + int(span["duration_template"])], trace, None
+        except KeyError as e:
+            yield read, None, None, f"KeyError: {e}"[:500]
+
+
+class TraceSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "strand_trace"
+
+    def schema(self) -> str:
+        return TRACES
+
+    def reader(self, schema) -> DataSourceReader:
+        return TraceReader(self.options)
+
+
+class TraceReader(Fast5Reader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.analysis = int(options.get("analysis", "0"))
+
+    def read(self, partition: File):
+        if not partition.path:
+            return
+        name = os.path.basename(partition.path)
+        try:
+            import h5py
+
+            with h5py.File(partition.path, "r") as file:
+                for read, signal, trace, error in read_traces_of(file, name, self.analysis):
+                    yield (read, name, None if error else signal.astype("float32").tolist(), None if error else trace.astype("int32").tolist(), error)
+        except Exception as e:  # a bad file is reported in its row
+            yield (None, name, None, None, f"{type(e).__name__}: {e}"[:500])
+
+
+def read_traces(spark: SparkSession, path: str, analysis: int = 0) -> DataFrame:
+    """Traces in HDF5 files, our own or a basecaller's in single or multi read files."""
+    spark.dataSource.register(TraceSource)
+    return spark.read.format("strand_trace").option("analysis", str(analysis)).load(path)
+
+
 def read_fast5(spark: SparkSession, path: str, first_only: bool = True) -> DataFrame:
     spark.dataSource.register(Fast5Source)
     return spark.read.format("strand_fast5").option("first_only", str(first_only)).load(path)

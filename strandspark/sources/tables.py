@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_traces(traces: DataFrame, path: str, mode: str = "append") -> None:
-    """(read_id, signal, trace) appended, compressed."""
-    traces.select("read_id", "signal", "trace").write.mode(mode).option("compression", "zstd").parquet(path)
+def write_traces(traces: DataFrame, path: str, mode: str = "append", compression: str = "zstd", level: int | None = None) -> None:
+    """(read_id, signal, trace) appended; ``level`` is the codec's where it has one."""
+    writer = traces.select("read_id", "signal", "trace").write.mode(mode).option("compression", compression)
+    if level is not None:
+        writer = writer.option(f"parquet.compression.codec.{compression}.level", str(level))
+    writer.parquet(path)
 
 
 def trace_points(traces: DataFrame) -> DataFrame:
@@ -24,6 +27,35 @@ def weights_table(spark: SparkSession, model: str, layers: list[dict[str, np.nda
     return spark.createDataFrame(rows, "model string, layer int, param string, shape array<int>, data array<double>")
 
 
+# layers as training frameworks keep them, in the shapes that networks here take
+
+
+def recurrent_layer(inputs: np.ndarray, states: np.ndarray, bias: np.ndarray, kind: str) -> dict[str, np.ndarray]:
+    """From (gates * size, features) with gates one after another: a GRU's reset, update, candidate; an LSTM's input, forget, candidate, output."""
+    gates = [1, 0, 2] if kind.startswith("gru") else [0, 1, 2, 3]
+
+    def turned(a: np.ndarray) -> np.ndarray:
+        parts = np.split(a, len(gates))
+        return np.concatenate([parts[g] for g in gates])
+
+    own = {"w": turned(inputs).T, "b": turned(bias)}
+    s = turned(states).T
+    if kind in ("gru", "gru_relu"):
+        size = s.shape[0]
+        return own | {"s": s[:, : 2 * size], "s2": s[:, 2 * size :]}
+    return own | {"s": s}
+
+
+def convolution_layer(filters: np.ndarray, bias: np.ndarray, scale: float = 1.0) -> dict[str, np.ndarray]:
+    """From (features out, features in, width); ``scale`` makes up for a signal that was scaled otherwise in training."""
+    return {"w": filters.transpose(2, 1, 0) * scale, "b": bias}
+
+
+def linear_layer(weights: np.ndarray, bias: np.ndarray) -> dict[str, np.ndarray]:
+    """From (features out, features in)."""
+    return {"w": weights.T, "b": bias}
+
+
 def load_weights(table: DataFrame, model: str) -> list[dict[str, np.ndarray]]:
     """One model's layers on the driver; a model's size doesn't follow the data."""
     layers: dict[int, dict[str, np.ndarray]] = {}

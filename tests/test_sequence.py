@@ -52,3 +52,18 @@ def test_phred_is_capped(spark):
 @pytest.mark.parametrize("n,want", [(12, 2), (24, 3), (40, 4), (60, 5)])
 def test_bases_of_weights(spark, n, want):
     assert spark.range(1).select(quality.n_base_of_weights(F.lit(n))).first()[0] == want
+
+
+def test_path_basecall_repeats_moves_only(spark):
+    rows = [("a", 0, 0, 2), ("a", 1, -1, 9), ("a", 2, 3, 0), ("a", 3, 1, 3), ("b", 0, -1, 1)]
+    path = spark.createDataFrame(rows, "read_id string, pos int, state int, length int")
+    assert {r["read_id"]: r["sequence"] for r in sequence.path_basecall(path, 4).collect()} == {"a": "AATCCC", "b": ""}
+
+
+def test_run_lengths_of_odd_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0, "aab"), (1, ""), (2, None), (3, "\u00e9\u00e9\U0001f600\U0001f600x\n\n")], "id int, t string")
+    letters, lengths = sequence.compress(F.col("t"))
+    got = {r["id"]: (r["a"], r["b"]) for r in rows.select("id", letters.alias("a"), lengths.alias("b")).collect()}
+    assert got == {0: ("ab", [2, 1]), 1: ("", []), 2: (None, None), 3: ("\u00e9\U0001f600x\n", [2, 2, 1, 2])}

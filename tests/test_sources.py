@@ -35,10 +35,11 @@ CALLS = "read_id string, filename string, basecall string, quality string, score
 
 def test_records(spark):
     calls = spark.createDataFrame([("u", "f.fast5", "ACGT", "!!!!", -8.0, 4, 4, 99, 5, 90), ("e", "g", "", "", 0.0, 0, 0, 1, 0, 0)], CALLS)
-    head = '{ "filename" : "f.fast5", "uuid" : "u", "normalised_score" : 2.000000, "nblock" : 4, "sequence_length" : 4, "blocks_per_base" : 1.000000, "nsample" : 99, "trim" : [ 5, 90 ] }'
+    head = '{ "filename" : "f.fast5", "uuid" : "u", "normalised_score" : 2.000000,  "nblock" : 4,  "sequence_length" : 4,  "blocks_per_base" : 1.000000, "nsample" : 99, "trim" : [ 5, 90 ] }'
     one = lambda kind: text.format_calls(calls, kind, "p_").where("read_id = 'u'").first()["record"]
     assert one("fasta") == f">p_u  {head}\nACGT"
     assert one("fastq") == f"@p_u  {head}\nACGT\n+\n!!!!"
+    assert text.format_calls(calls, "sam", by_uuid=False).where("read_id = 'u'").first()["record"].startswith("f.fast5\t4")
     assert one("sam") == "p_u\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\t!!!!"
     empty = text.format_calls(calls, "fasta").where("read_id = 'e'").first()["record"]
     assert '"blocks_per_base" : null' in empty
