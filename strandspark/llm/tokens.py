@@ -1,14 +1,17 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier one is a broadcast hash table of the lengths of frequent pre-tokens. A byte-level BPE vocabulary
-is itself a frequency ranking, so the table holds the vocabulary's own strings, each with the number
-of tokens the tokenizer gives it; its size is bounded by the vocabulary, which is checked. Tier two is
+ranks strings by how often they stand in text, so the table holds the vocabulary's own strings, each with
+the number of tokens the tokenizer gives it, and needs no pass over the documents; its size is bounded by
+the vocabulary, which is checked. Tier two is
 each Python worker's cache: a pre-token outside the table is encoded by the tokenizer when the worker
 first meets it. Pre-tokens never leave the task that reads them, so there is no shuffle at all.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); texts holding a special string, or
-characters whose Unicode class differs between releases, go to the tokenizer whole; every row gets one
-result row, repeated ids included; other input columns are not read.
+Defined results: a null text counts as empty (0 bytes, 0 tokens); texts holding a special string, or a
+letter, number or unassigned character that Unicode 3.2 didn't have as such, go to the tokenizer whole;
+pre-tokens of over CACHE_CHARS characters aren't kept, so very long words take no room; every row gets
+one result row, repeated ids included; other input columns are not read; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -29,30 +32,37 @@ from strandspark.session import ship
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 96
 #: Bound of the broadcast table and of the tokenizer file.
 TABLE_ENTRIES, TOKENIZER_BYTES = 300_000, 64_000_000
-#: Pre-tokens are cut by rule below this code point; texts beyond it go to the tokenizer whole.
-SETTLED = 0x500
-
 _state: dict = {}
 
 
-def _ranges(kind: str) -> str:
-    out, start = [], None
-    for c in range(SETTLED + 1):
-        inside = c < SETTLED and unicodedata.category(chr(c))[0] == kind
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\u{start:04x}-\\u{c - 1:04x}")
+def _classes(points: list[int]) -> str:
+    """Body of a character class: ranges of code points."""
+    out, start, last = [], None, None
+    for c in [*points, -2]:
+        if start is not None and c != last + 1:
+            out.append(f"\\U{start:08x}-\\U{last:08x}")
             start = None
+        start, last = c if start is None else start, c
     return "".join(out)
 
 
 def pretoken_patterns() -> tuple[re.Pattern, re.Pattern]:
-    """The pre-token rule of byte-level BPE for settled characters, and what finds any other character."""
-    letters, numbers = _ranges("L"), _ranges("N")
-    space = "\\t-\\r \\x85\\xa0"  # without the separators 1c to 1f, which are no white space in Unicode
+    """The pre-token rule of byte-level BPE, and what finds a character whose class may differ between Unicode releases.
+
+    Letters and numbers are those that have been such since Unicode 3.2; what is neither now has not been either before.
+    """
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "": []}
+    for c in range(0x110000):
+        now, old = unicodedata.category(chr(c))[0], unicodedata.ucd_3_2_0.category(chr(c))[0]
+        if now in "LN" and now != old or unicodedata.category(chr(c)) in ("Cn", "Cs"):
+            kinds[""].append(c)
+        elif now in "LN":
+            kinds[now].append(c)
+    letters, numbers, unsettled = (_classes(kinds[k]) for k in ("L", "N", ""))
+    # Unicode white space: without the separators 1c to 1f, which Python counts
+    space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
     rule = f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
-    return re.compile(rule), re.compile(f"[^\\u0000-\\u{SETTLED - 1:04x}\\u2010-\\u2027\\u20ac]")
+    return re.compile(rule), re.compile(f"[{unsettled}]")
 
 
 def vocabulary_lengths(tokenizer) -> dict[str, int]:

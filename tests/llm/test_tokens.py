@@ -28,9 +28,10 @@ def test_counts_equal_the_tokenizer(spark):
 def test_settled_characters_are_cut_as_the_tokenizer_cuts_them():
     rule, unsettled = tokens.pretoken_patterns()
     cut = Tokenizer.from_file(FILE).pre_tokenizer.pre_tokenize_str
-    for c in [*range(tokens.SETTLED), *range(0x2010, 0x2028), 0x20AC]:
+    known = [c for c in [*range(0x10000), *range(0x10000, 0x110000, 7)] if not unsettled.match(chr(c))]
+    assert len(known) > 55_000 and set(range(0x370)) - {*map(ord, unsettled.findall("".join(map(chr, range(0x370)))))} <= set(known)
+    for c in known:
         s = f"x{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}  y"
-        assert not unsettled.search(s)
         assert [s[i:j] for _, (i, j) in cut(s)] == rule.findall(s), hex(c)
 
 
@@ -42,3 +43,19 @@ def test_cache_overflow_repeated_rows_and_empty_table(spark, monkeypatch):
     assert tokens.count_texts(texts, spec, {}) == [truth(t) for t in texts]
     assert tokens.token_counts(docs_table(spark, ["a b", "a b"], [1, 1]), FILE).count() == 2
     assert tokens.token_counts(docs_table(spark, []), FILE).count() == 0
+
+
+def test_other_scripts_are_cut_by_rule(spark):
+    import random
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    alphabet = "ab 1\u0416\u0447\u4e2d\u6587\u0627\u0644\u0967\u0e01\uac00\u3042\u3000\u2003\u2028\u202f.,'s\n\U0001f600\u20ac\u0301\u200d\u2167\u00bd\ufeff"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(400)] + ["\u4e2d" * 5000, "x" * 300_000, "\U00031350\u0870 new letters"]
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()
+    table = tokens.vocabulary_lengths(tok)
+    assert tokens.count_texts(texts, spec, table) == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+    rule, unsettled = tokens.pretoken_patterns()
+    assert not unsettled.search(alphabet) and unsettled.search("\u0870")
