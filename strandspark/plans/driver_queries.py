@@ -757,10 +757,10 @@ def basecall_run_reads(spark, d):
 # ---------------------------------------------------------------- result tables under relational operators
 
 
-@register(f"SELECT read_id, CASE WHEN state < 4 THEN 'flip' ELSE 'flop' END AS kind, count(*) AS n, {rs('avg(shape)')} AS mean_shape FROM {PATH} GROUP BY ROLLUP (read_id, kind)")
+@register(f"SELECT read_id, CASE WHEN state < 4 THEN 'flip' ELSE 'flop' END AS kind, count(*) AS n, sum(round(shape * 10000)::BIGINT)::BIGINT AS shape_units FROM {PATH} GROUP BY ROLLUP (read_id, kind)")
 def state_rollup(spark, d):
     kind = F.when(F.col("state") < 4, "flip").otherwise("flop")
-    return v_path(spark, d).withColumn("kind", kind).rollup("read_id", "kind").agg(F.count("*").alias("n"), r(F.avg("shape")).alias("mean_shape"))
+    return v_path(spark, d).withColumn("kind", kind).rollup("read_id", "kind").agg(F.count("*").alias("n"), F.sum(F.round(F.col("shape") * 10000).cast("long")).alias("shape_units"))
 
 
 @register(f"SELECT base, dwell, count(*) AS n FROM {_RUNS} GROUP BY CUBE (base, dwell)")
