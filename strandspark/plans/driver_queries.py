@@ -19,6 +19,7 @@ from strandspark.plans import basecall, views
 from strandspark.plans.views import PATH, RUN, SIGNAL, block_sql, table, v_block, v_path, v_run, v_signal
 from strandspark.sources import tables
 from strandspark.sources import text as text_format
+from strandspark.streaming.reads import assemble_reads
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -754,6 +755,21 @@ def basecall_run_reads(spark, d):
     return runs.select("read_id", "run_idx", "base", F.round("shape", 4).alias("shape"), F.round("scale", 4).alias("scale"), "dwell")
 
 
+@register(f"SELECT read_id, count(*)::INT AS n, {rs('sum(value)', 4)} AS total, {rs('arg_max(value, idx)')} AS last_value, true AS complete FROM {SIGNAL} GROUP BY read_id")
+def streamed_reads(spark, d):
+    """Chunks of 16 samples, dealt out to files by hash, come as a stream and are put together into reads again."""
+    rows = v_signal(spark, d).withColumn("seq", F.floor(F.col("idx") / 16).cast("int"))
+    samples = F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda p: p["value"])
+    chunks = rows.groupBy("read_id", "seq").agg(samples.alias("values")).withColumn("last", F.col("seq") == F.max("seq").over(Window.partitionBy("read_id")))
+    source, place = session.scratch_path(spark, "chunks"), session.scratch_path(spark, "streamed")
+    chunks.select("read_id", "seq", "last", "values").repartition(3, F.xxhash64("read_id", "seq")).write.parquet(source)
+    stream = spark.readStream.schema("read_id string, seq int, last boolean, values array<double>").option("maxFilesPerTrigger", 1).parquet(source)
+    query = assemble_reads(stream).writeStream.format("parquet").option("path", place).option("checkpointLocation", f"{place}-state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.schema("read_id string, signal array<double>, complete boolean").parquet(place)
+    return found.select("read_id", F.size("signal").alias("n"), r(arrays.total(F.col("signal")), 4).alias("total"), r(F.element_at("signal", -1)).alias("last_value"), "complete")
+
+
 # ---------------------------------------------------------------- result tables under relational operators
 
 
