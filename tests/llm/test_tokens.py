@@ -1,3 +1,5 @@
+import re
+
 import public_tokenizers
 from helpers import docs_table
 from tokenizers import Tokenizer
@@ -28,10 +30,13 @@ def test_counts_equal_the_tokenizer(spark):
 def test_settled_characters_are_cut_as_the_tokenizer_cuts_them():
     rule, unsettled = tokens.pretoken_patterns()
     cut = Tokenizer.from_file(FILE).pre_tokenizer.pre_tokenize_str
+    narrow, _ = tokens.pretoken_patterns(tokens.NARROW)
     known = [c for c in [*range(0x10000), *range(0x10000, 0x110000, 7)] if not unsettled.match(chr(c))]
     assert len(known) > 55_000 and set(range(0x370)) - {*map(ord, unsettled.findall("".join(map(chr, range(0x370)))))} <= set(known)
     for c in known:
         s = f"x{chr(c)}1{chr(c)}!{chr(c)} {chr(c)}  y"
+        if c < tokens.NARROW or re.match(f"[{tokens.NARROW_ALSO}]", chr(c)):
+            assert narrow.findall(s) == rule.findall(s)
         assert [s[i:j] for _, (i, j) in cut(s)] == rule.findall(s), hex(c)
 
 
