@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, mixing, quality, simhash, tokens, toxicity, warc
+from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, mixing, quality, runs, simhash, tokens, toxicity, warc
 from strandspark.llm.common import fold, one_label, table
 
 QUALITY_KEEPS = 0.3
@@ -65,6 +65,33 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with a tail of words from the a-th on, repeated with period p, in those whose id's CRC is divisible by 10."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        n = F.size(w)
+        a = F.floor(h / 10) % n
+        p = 1 + F.floor((n - a) / (3 + F.floor(h / 10) % 8))
+        at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i.cast("long")).otherwise(a + (i - a) % p))
+        return F.array_join(F.transform(at, lambda i: w[i.cast("int")]), " ")
+
+    tail = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))[0]
+    return docs.withColumn("text", F.when(h % 10 == 0, tail).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # greatest length, then smallest start, then smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
