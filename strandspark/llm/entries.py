@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, mixing, quality, runs, simhash, tokens, toxicity, warc
+from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, merkle, mixing, oracle, quality, runs, simhash, tokens, toxicity, warc
 from strandspark.llm.common import fold, one_label, table
 
 QUALITY_KEEPS = 0.3
@@ -92,6 +92,19 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*LEAF_COLUMNS)
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    other = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in LEAF_COLUMNS]
+    docs = docs.withColumn("tampered", F.when(even, merkle.leaf_hash(other)))
+    found = merkle.manifest(docs, LEAF_COLUMNS, carry=["tampered"])
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -104,4 +117,5 @@ def oracle_sql() -> dict[str, str]:
             o AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS owner FROM p)
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                 CASE WHEN owner <> page_id THEN owner END AS refers_to FROM o""",
+        "op12_merkle_manifest": oracle.merkle_sql(),
     }
