@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm import decontaminate, embeddings, language_model, line_dedup, merkle, mixing, oracle, quality, runs, simhash, tokens, toxicity, warc
+from strandspark.llm import chat, decontaminate, embeddings, language_model, line_dedup, merkle, mixing, oracle, quality, runs, simhash, tokens, toxicity, warc
 from strandspark.llm.common import fold, one_label, table
+from strandspark.session import materialise
 
 QUALITY_KEEPS = 0.3
 
@@ -105,6 +106,21 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+#: A conversation of control strings, which comes with the table's own.
+CONTROLLED = [(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = given.unionByName(spark.createDataFrame(CONTROLLED, given.schema))
+    out = materialise(chat.format_chains(rows), "chat-formatted")
+    turns = chat.read_back(F.col("formatted"))
+    # text in a column of its own: hashed and measured, it is put together once
+    read = out.select(F.col("tree").alias("conv_id"), turns.alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("trained"), F.length("formatted").cast("long").alias("formatted_chars"))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"), F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -118,4 +134,5 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                 CASE WHEN owner <> page_id THEN owner END AS refers_to FROM o""",
         "op12_merkle_manifest": oracle.merkle_sql(),
+        "op13_chat_formatting": oracle.chat_sql(),
     }

@@ -39,3 +39,22 @@ def merkle_sql() -> str:
         list_reduce(list_prepend([coalesce(tampered, leaf)], coalesce(a.path, [])), lambda x, y: [sha256(y[1] || x[1] || y[2])])[1] AS folded_root
         FROM s JOIN r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN a USING (doc_id))
     SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x[1] || x[2]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
+
+def chat_sql() -> str:
+    """Turns, trained text and the formatted length of each conversation, and of one of control strings."""
+    from strandspark.llm.chat import CLOSE, CONTROLS, OPEN, SHUT
+
+    def escaped(x: str) -> str:
+        x = f"replace({x}, '\\', '\\\\')"
+        for c in CONTROLS:
+            x = f"replace({x}, '{c}', '{c[0]}\\{c[1:]}')"
+        return x
+
+    fixed = len(OPEN) + len(SHUT) + len(CLOSE)
+    return f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) v(turn, role, text)),
+    g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS trained,
+        sum(length({escaped('role')}) + length({escaped('text')}) + {fixed})::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(trained) AS loss_chars, sha256(trained) AS loss_sha256, formatted_chars FROM g"""
