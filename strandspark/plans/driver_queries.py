@@ -44,10 +44,14 @@ def rs(x: str, digits: int = 6) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from strandspark.plans import scale_queries  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from strandspark.plans import scale_queries  # noqa: F401
+
     return dict(_sql)
 
 
@@ -525,24 +529,24 @@ def _log_sum_sql(terms: list[str]) -> str:
     return f"({top} + ln({' + '.join(f'exp({x} - {top})' for x in terms)}))"
 
 
-def _fold_sql(t: chain.Topology, log_sum: bool) -> str:
-    """Common tables f (states after each block) and z (last block) by recursion over blocks."""
+def _fold_sql(t: chain.Topology, log_sum: bool, source: str | None = None) -> str:
+    """Common tables f (states after each block) and z (last block) by recursion over blocks of ``source``."""
     def step(choices) -> str:
         terms = [f"f.s[{a + 1}] + b.w[{b + 1}]" for a, b in choices]
         return _log_sum_sql(terms) if log_sum else f"greatest({', '.join(terms)})"
 
-    return f"""b AS MATERIALIZED {block_sql(t.n_weight, 2.0)},
+    return f"""b AS MATERIALIZED {source or block_sql(t.n_weight, 2.0)},
     f AS (SELECT DISTINCT read_id, 0::BIGINT AS k, [{', '.join(['0.0::DOUBLE'] * t.n_state)}] AS s FROM b
         UNION ALL SELECT f.read_id, f.k + 1, [{', '.join(map(step, t.steps))}] FROM f JOIN b ON b.read_id = f.read_id AND b.blk = f.k),
     z AS (SELECT read_id, arg_max(s, k) AS s, max(k) AS n FROM f GROUP BY read_id)"""
 
 
-def _path_sql(t: chain.Topology) -> str:
+def _path_sql(t: chain.Topology, source: str | None = None) -> str:
     """The best path, traced back from the last state."""
     src, row, real = t.tables()
     pad = lambda a: "[" + ", ".join("[" + ", ".join(str(int(v)) for v in line) + "]" for line in a) + "]"
     options = ", ".join("[" + ", ".join(f"f.s[{a + 1}] + b.w[{b + 1}]" for a, b in choices) + "]" for choices in t.steps)
-    return f"""WITH RECURSIVE {_fold_sql(t, False)},
+    return f"""WITH RECURSIVE {_fold_sql(t, False, source)},
     p AS (SELECT read_id, n AS pos, (list_position(s, list_max(s)) - 1)::BIGINT AS state, NULL::DOUBLE AS next_q, list_max(s) AS score FROM z
         UNION ALL SELECT q.read_id, q.pos - 1, q.src[q.c], q.w[q.row[q.c] + 1], q.score FROM (
             SELECT p.read_id, p.pos, p.score, b.w, {pad(src)}[p.state + 1] AS src, {pad(row)}[p.state + 1] AS row,
@@ -551,25 +555,25 @@ def _path_sql(t: chain.Topology) -> str:
     SELECT a.read_id, a.pos, a.state, {rs('b.next_q', 5)} AS q, {rs('a.score', 4)} AS score FROM p a LEFT JOIN p b ON b.read_id = a.read_id AND b.pos = a.pos - 1"""
 
 
-def _both_sql(t: chain.Topology) -> str:
+def _both_sql(t: chain.Topology, source: str | None = None) -> str:
     """Common tables f and g: log sums over all paths up to each block's beginning and from there on."""
     out = {}
     for to, choices in enumerate(t.steps):
         for a, b in choices:
             out.setdefault(a, []).append(f"b.w[{b + 1}] + g.s[{to + 1}]")
-    return f"""{_fold_sql(t, True)},
+    return f"""{_fold_sql(t, True, source)},
     g AS (SELECT read_id, n AS k, [{', '.join(['0.0::DOUBLE'] * t.n_state)}] AS s FROM z
         UNION ALL SELECT g.read_id, g.k - 1, [{', '.join(_log_sum_sql(out[k]) for k in range(t.n_state))}] FROM g JOIN b ON b.read_id = g.read_id AND b.blk = g.k - 1)"""
 
 
-def _posterior_sql(t: chain.Topology) -> str:
+def _posterior_sql(t: chain.Topology, source: str | None = None) -> str:
     """Common table p: every block's weights with those of steps replaced by log posteriors."""
     steps = {}
     for to, choices in enumerate(t.steps):
         for a, b in choices:
             steps.setdefault(b, []).append(f"f.s[{a + 1}] + b.w[{b + 1}] + g.s[{to + 1}]")
     used = [_log_sum_sql(steps[k]) if k in steps else "NULL" for k in range(t.n_weight)]
-    return f"""{_both_sql(t)},
+    return f"""{_both_sql(t, source)},
     u AS (SELECT b.read_id, b.blk, b.w, [{', '.join(used)}] AS x FROM b JOIN f ON f.read_id = b.read_id AND f.k = b.blk JOIN g ON g.read_id = b.read_id AND g.k = b.blk + 1),
     h AS (SELECT *, list_max(x) + ln(list_sum(list_transform(list_filter(x, lambda v: v IS NOT NULL), lambda v: exp(v - list_max(x))))) AS total FROM u),
     p AS (SELECT read_id, blk, list_transform(list_zip(w, x), lambda v: coalesce(v[2] - total, v[1])) AS w FROM h)"""
