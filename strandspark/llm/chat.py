@@ -72,17 +72,18 @@ def ancestors(linked: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (node, up) of ancestors 1, 2, 4, ... replies up, and (node, score): the sum from each message to its root."""
     most = linked.count()
     now = linked.select("node", "up", "score")
+    climbing, there = now.where("up is not null"), now.where("up is null")
     steps: list[DataFrame] = []
-    while True:
-        climbing = now.where("up is not null")
-        if climbing.isEmpty():
-            return steps, now.select("node", "score")
+    while not climbing.isEmpty():
         if 2 ** len(steps) > most:
             raise ValueError("messages reply to each other in a cycle, which has no root")
         steps.append(climbing.select("node", "up"))
-        above = now.select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("score").alias("more"))
-        joined = now.join(above, now["up"] == above["at"], "left")
-        now = materialise(joined.select("node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")), "chat-ancestors")
+        above = climbing.unionByName(there).select(F.col("node").alias("at"), F.col("up").alias("next"), F.col("score").alias("more"))
+        joined = climbing.join(above, climbing["up"] == above["at"])
+        now = materialise(joined.select("node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score")), "chat-ancestors")
+        # who has reached a root climbs no further, so a few long paths don't move all messages again
+        climbing, there = now.where("up is not null"), there.unionByName(now.where("up is null"))
+    return steps, there.select("node", "score")
 
 
 def best_branches(linked: DataFrame, scores: DataFrame, branches: int) -> DataFrame:
@@ -103,7 +104,7 @@ def enumerate_paths(chosen: DataFrame, steps: list[DataFrame]) -> DataFrame:
     paths = chosen.select("leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for k, step in enumerate(steps):
         higher = paths.join(step.withColumnRenamed("up", "next"), "node").select("leaf", F.col("next").alias("node"), (F.col("up") + 2**k).alias("up"))
-        paths = materialise(paths.unionByName(higher), "chat-paths")
+        paths = paths.unionByName(materialise(higher, "chat-paths"))
     return paths
 
 
