@@ -7,19 +7,19 @@ document to its first holder: two documents overlap there. So a block in thousan
 thousands of pairs and not their square, and no pair that could delete a line is missed, whatever
 documents its lines come from.
 
-Each pair's shared blocks, in the order of either document, are aligned by patience diff: the rarest
-ones, above all those unique in both, are anchors, a longest increasing chain of anchors is kept and
-grown over equal neighbours. The lines of aligned blocks go from the later document; what is left is
-aligned again, so that moved and repeated passages go too. After ROUNDS alignments blocks that are still
-shared are taken as they stand. In sum a line goes if it lies in a run of at least ``min_words`` words
-that an earlier document has as well; a block's first holder keeps it.
+Each pair is aligned once, by patience diff over the blocks that the two share there, in the order of either document:
+equal blocks at the beginning and end of a stretch match; between them blocks that occur once on either side (or, where
+there are none, the rarest) are anchors, a longest chain of anchors that increases on both sides is kept, and the
+stretches between anchors are aligned in the same way. The lines of matched blocks go from the later document, and a
+matched block goes wherever that document repeats it. The alignment keeps order: of passages that two documents have in
+opposite order only those of the chain go, and the others stay.
 
 Only hashes, positions and word counts are compared; text is shuffled once, to meet its deletions. A
 very common block is joined by broadcast (``join_counted`` bounds how many there are), so that no task
 meets all its documents.
 
 Defined results: lines are compared without surrounding white space; blank lines neither match nor
-count and go only if nothing else is left; a document is an (id, text), so repeated rows are one
+count and go only if nothing else is left; very long texts are read whole; a document is an (id, text), so repeated rows are one
 document and keep the same lines; rows with a null id or text are left as they are; a smaller id is
 earlier, and of texts with the same id the one with the smaller hash; an empty table gives an empty
 table; added columns get underscores where their name is taken.
@@ -40,8 +40,6 @@ from strandspark.llm.common import free_name, join_counted
 from strandspark.session import materialise, ship
 
 MIN_WORDS = 10
-#: Alignments of a pair.
-ROUNDS = 8
 
 
 def blocks(counts: list[int], min_words: int) -> set[tuple[int, int]]:
@@ -68,26 +66,26 @@ def line_blocks(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        from xxhash import xxh3_128_digest
 
         for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             row, hashes, starts, sizes = [], [], [], []
             for n, text in enumerate(b.column(2).cast(pa.binary())):
                 lines = [x for line in text.as_py().split(b"\n") if (x := line.strip())]
-                own = np.array([xxh64_intdigest(x) for x in lines], np.uint64).tobytes()
+                own = b"".join(map(xxh3_128_digest, lines))
                 counts = [len(x.split()) for x in lines]
                 for start, stop in sorted(blocks(counts, min_words)):
                     row.append(n)
-                    hashes.append(xxh64_intdigest(own[8 * start : 8 * stop]))
+                    hashes.append(xxh3_128_digest(own[16 * start : 16 * stop]))
                     starts.append(start)
                     sizes.append(stop - start)
             at = pa.array(row, pa.int32())
-            columns = [b.column(0).take(at), b.column(1).take(at), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())]
+            columns = [b.column(0).take(at), b.column(1).take(at), pa.array(hashes, pa.binary()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "hash", "start", "lines"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).where("id is not null and text is not null")
-    return rows.mapInArrow(run, f"id {kind}, th long, hash long, start int, lines int")
+    return rows.mapInArrow(run, f"id {kind}, th long, hash binary, start int, lines int")
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,53 +108,41 @@ def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(later: list[int], earlier: list[int]) -> list[tuple[int, int]]:
-    """Patience diff: matched (position in later, position in earlier), increasing in both."""
-    common = set(later) & set(earlier)
-    if not common:
-        return []
-    nl, ne = Counter(x for x in later if x in common), Counter(x for x in earlier if x in common)
-    rarest = min(nl[x] * ne[x] for x in common)  # 1: unique in both
-    first_e: dict[int, int] = {}
+def anchors(later: list[bytes], earlier: list[bytes]) -> list[tuple[int, int]]:
+    """First places on both sides of the common blocks that occur least often (of those unique in both, if there are any), sorted."""
+    nl, ne = Counter(later), Counter(earlier)
+    times = {x: nl[x] * n for x, n in ne.items() if x in nl}
+    least = min(times.values(), default=0)
+    there: dict[bytes, int] = {}
     for k, x in enumerate(earlier):
-        first_e.setdefault(x, k)
-    seen: set[int] = set()
-    anchors = []
+        there.setdefault(x, k)
+    found: dict[bytes, int] = {}
     for k, x in enumerate(later):
-        if x in common and x not in seen and nl[x] * ne[x] == rarest:
-            seen.add(x)
-            anchors.append((k, first_e[x]))
-    chain = _chain(anchors)
+        if times.get(x) == least:
+            found.setdefault(x, k)
+    return [(k, there[x]) for x, k in found.items()]
+
+
+def align(later: list[bytes], earlier: list[bytes]) -> list[tuple[int, int]]:
+    """Patience diff: matched (place in later, place in earlier), increasing in both."""
     out: list[tuple[int, int]] = []
-    for n, (i, j) in enumerate(chain):
-        low = out[-1] if out else (-1, -1)
-        if i <= low[0]:
-            continue  # grown over already
-        high = chain[n + 1] if n + 1 < len(chain) else (len(later), len(earlier))
-        a, b, grown = i - 1, j - 1, []
-        while a > low[0] and b > low[1] and later[a] == earlier[b]:
-            grown.append((a, b))
-            a, b = a - 1, b - 1
-        out += grown[::-1]
-        out.append((i, j))
-        a, b = i + 1, j + 1
-        while a < high[0] and b < high[1] and later[a] == earlier[b]:
-            out.append((a, b))
-            a, b = a + 1, b + 1
-    return out
-
-
-def shared_lines(blocks: list[tuple[int, int, int]], earlier: list[int]) -> set[int]:
-    """Lines of the later document in blocks (hash, start, lines), in order, that are aligned with the earlier one's."""
-    gone: set[int] = set()
-    for turn in range(ROUNDS + 1):
-        later = [h for h, _, _ in blocks]
-        aligned = {later[i] for i, _ in align(later, earlier)} if turn < ROUNDS else set(later) & set(earlier)
-        if not aligned:
-            break
-        gone.update(x for h, start, n in blocks if h in aligned for x in range(start, start + n))
-        blocks = [x for x in blocks if x[0] not in aligned]
-    return gone
+    todo = [(0, len(later), 0, len(earlier))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and later[a] == earlier[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and later[b - 1] == earlier[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        i, j = a, c
+        for x, y in _chain(anchors(later[a:b], earlier[c:d])) if a < b and c < d else []:
+            out.append((a + x, c + y))
+            todo.append((i, a + x, j, c + y))
+            i, j = a + x + 1, c + y + 1
+        if i > a:
+            todo.append((i, b, j, d))
+    return sorted(out)
 
 
 def gone_lines(blocks: list[dict]) -> set[int]:
@@ -165,10 +151,12 @@ def gone_lines(blocks: list[dict]) -> set[int]:
     for x in blocks:
         pairs.setdefault((x["owner"], x["owner_th"]), []).append(x)
     gone: set[int] = set()
-    for mine in pairs.values():
-        mine.sort(key=lambda x: (x["start"], x["lines"]))
-        there = {x["hash"]: (x["owner_start"], x["lines"]) for x in mine}
-        gone |= shared_lines([(x["hash"], x["start"], x["lines"]) for x in mine], sorted(there, key=there.__getitem__))
+    for shared in pairs.values():
+        shared.sort(key=lambda x: (x["start"], x["lines"]))
+        there = {x["hash"]: (x["owner_start"], x["lines"]) for x in shared}
+        later, earlier = [x["hash"] for x in shared], sorted(there, key=there.__getitem__)
+        matched = {later[i] for i, _ in align(later, earlier)}
+        gone.update(k for x in shared if x["hash"] in matched for k in range(x["start"], x["start"] + x["lines"]))
     return gone
 
 

@@ -6,20 +6,59 @@ from strandspark.llm import common
 from strandspark.llm import line_dedup as ld
 
 
-def plain(texts, min_words):
-    """Every document against every earlier one, at every pair of positions: lines of equal runs with enough words go."""
+def plain_blocks(lines, least):
+    """Every run of lines with enough words that has too few without its first or without its last line, by (start, stop)."""
+    words = [len(x.split()) for x in lines]
+    runs = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if sum(words[i:j]) >= least]
+    return [(i, j) for i, j in runs if sum(words[i : j - 1]) < least or sum(words[i + 1 : j]) < least]
+
+
+def plain_chain(pairs):
+    """A longest increasing chain by trying every pair of pairs; of several, what comes last."""
+    size, back = [], []
+    for k, (_, b) in enumerate(pairs):
+        size.append(1 + max((size[m] for m in range(k) if pairs[m][1] < b), default=0))
+        back.append(max((m for m in range(k) if size[m] == size[k] - 1), default=None))
+    k = max((k for k in range(len(pairs)) if size[k] == max(size)), default=None)
+    out = []
+    while k is not None:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def plain_patience(x, y):
+    """Matches of two sequences, by recursion."""
+    if not x or not y:
+        return []
+    if x[0] == y[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in plain_patience(x[1:], y[1:])]
+    if x[-1] == y[-1]:
+        return plain_patience(x[:-1], y[:-1]) + [(len(x) - 1, len(y) - 1)]
+    common = [v for v in dict.fromkeys(x) if v in y]
+    rarest = min((x.count(v) * y.count(v) for v in common), default=0)
+    chain = plain_chain([(x.index(v), y.index(v)) for v in common if x.count(v) * y.count(v) == rarest])
+    out, i, j = [], 0, 0
+    for a, b in chain:
+        out += [(i + p, j + q) for p, q in plain_patience(x[i:a], y[j:b])] + [(a, b)]
+        i, j = a + 1, b + 1
+    return out + [(i + p, j + q) for p, q in plain_patience(x[i:], y[j:])] if chain else out
+
+
+def plain(texts, min_words, union=False):
+    """Every document's blocks against every earlier one's; ``union`` takes all shared blocks without an alignment."""
     seqs = [[x.strip() for x in (t or "").split("\n") if x.strip()] for t in texts]
+    runs = [plain_blocks(s, min_words) for s in seqs]
+    keys = [[tuple(s[i:j]) for i, j in r] for s, r in zip(seqs, runs)]
     out = []
-    for d, (t, mine) in enumerate(zip(texts, seqs)):
+    for d, t in enumerate(texts):
         gone = set()
-        for other in seqs[:d]:
-            for i in range(len(mine)):
-                for j in range(len(other)):
-                    n = 0
-                    while i + n < len(mine) and j + n < len(other) and mine[i + n] == other[j + n]:
-                        n += 1
-                    if sum(len(x.split()) for x in mine[i : i + n]) >= min_words:
-                        gone.update(range(i, i + n))
+        for e in range(d):
+            mine = [k for k, x in enumerate(keys[d]) if x in keys[e] and not any(x in keys[f] for f in range(e))]
+            theirs = sorted({keys[d][k] for k in mine}, key=lambda x: runs[e][keys[e].index(x)])
+            x = [keys[d][k] for k in mine]
+            matched = set(x) if union else {x[i] for i, _ in plain_patience(x, theirs)}
+            gone.update(n for k in mine if keys[d][k] in matched for n in range(*runs[d][k]))
         left, at = [], -1
         for x in (t or "").split("\n"):
             at += bool(x.strip())
@@ -41,8 +80,8 @@ def test_equals_all_pairs(spark, monkeypatch):
     texts = ["\n".join(rng.choice([*lines, "", f"own {rng.random()} words"]) for _ in range(rng.randint(0, 12))) for _ in range(120)]
     texts = list(dict.fromkeys(texts)) + [None]
     check(spark, texts, 6)
+    assert plain(texts, 6) != plain(texts, 6, union=True)
     monkeypatch.setattr(common, "HOT_ROWS", 3)  # common blocks take the other join
-    monkeypatch.setattr(ld, "ROUNDS", 1)
     check(spark, texts, 6)
 
 
@@ -62,10 +101,26 @@ def test_passages_go_from_later_documents_only(spark):
     rows = {r["doc_id"]: r["text"] for r in ld.remove_repeats(docs_table(spark, texts)).collect()}
     assert rows[0] == texts[0] and rows[3] == texts[3] and rows[4] == texts[4]
     assert rows[1] == "other start\ntail of its own"
-    assert rows[2] == "again"
+    assert rows[2] == "again\n" + "\n".join(moved.split("\n")[:3])  # of reversed lines one is the chain
     assert "p0x0" not in rows[5]
 
 
+def test_passages_in_the_opposite_order_stay(spark):
+    a, b, c = ("\n".join(" ".join(f"{n}{k}x{j}" for j in range(12)) for k in range(lines)) for n, lines in (("a", 3), ("b", 2), ("c", 1)))
+    texts = [f"{a}\n{b}\n{c}", f"{b}\nown words\n{a}\n{c}", f"{c}\n{b}\n{b}"]
+    check(spark, texts, 10)
+    rows = {r["doc_id"]: r["text"] for r in ld.remove_repeats(docs_table(spark, texts)).collect()}
+    assert rows == {0: texts[0], 1: f"{b}\nown words", 2: f"{b}\n{b}"}  # c is unique in both
+
+
+def test_alignment_is_patience_diff():
+    rng = random.Random(8)
+    for _ in range(3000):
+        letters = rng.randint(1, 9)
+        a, b = [rng.randrange(letters) for _ in range(rng.randint(0, 14))], [rng.randrange(letters) for _ in range(rng.randint(0, 14))]
+        assert ld.align(a, b) == plain_patience(a, b)
+
+
 def test_align_is_increasing_and_equal():
     rng = random.Random(6)
     for _ in range(200):
@@ -94,4 +149,4 @@ def test_reversed_long_documents_end_soon(spark):
     lines = [f"line {k} " + "word " * 12 for k in range(4000)]
     texts = ["\n".join(lines), "\n".join(lines[::-1]), "\n".join(["same " * 12] * 4000), "\n".join(["same " * 12] * 4001)]
     rows = {r["doc_id"]: r["lines_removed"] for r in ld.remove_repeats(docs_table(spark, texts)).collect()}
-    assert rows == {0: 0, 1: 4000, 2: 0, 3: 4001}
+    assert rows == {0: 0, 1: 1, 2: 0, 3: 4001}

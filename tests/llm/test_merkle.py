@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandspark.llm import entries, merkle, oracle
-from tests.llm.helpers import DOCS
+from helpers import DOCS
 
 
 def digest(x):
