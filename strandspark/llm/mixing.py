@@ -2,13 +2,14 @@
 
 A source's repetition rate is what its rows must be repeated by, on average, to hold its share of the
 target. Each document draws its count by inverting the Poisson distribution of that mean at a uniform
-number hashed from its id and the seed, is exploded by the count, and all copies are dealt out and
+number hashed from its id, its text and the seed, is exploded by the count, and all copies are dealt out and
 sorted by a hash, so their order is a global shuffle. A rate beyond SPLIT is the sum of equal smaller
 ones, each with its own hash. Everything is DataFrame functions: text is shuffled once and never
 leaves the JVM, and no source, however large, has to meet in one task.
 
-Defined results: a null source is a source of its own; rows that repeat an id draw the same count;
-a null id hashes as the empty string; a source without a weight, or with weight 0, is left out; an
+Defined results: a null source is a source of its own; rows that repeat an id draw a count each, equal
+rows the same one; null ids and texts hash as empty strings; copies of rows without an id are dealt out by
+the row's place in the input, so that many of them don't meet; very long texts are hashed whole; a source without a weight, or with weight 0, is left out; an
 empty table gives an empty table. The copy's number (from 1) is added as ``copy``, with underscores
 where that name is taken.
 """
@@ -58,18 +59,20 @@ def rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, to
     return materialise(found.select("source", "draws", cumulative(F.col("rate") / F.col("draws")).alias("cdf")), "source-rates"), n
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` repeated so that each source has its share (equal shares by default) of ``total`` rows (as many as there are)."""
     table, n = rates(docs, source_col, weights, total)
-    source, draws, cdf, salt, copy = (free_name(docs, x) for x in ("mix_source", "mix_draws", "mix_cdf", "mix_salt", "copy"))
+    source, draws, cdf, salt, copy, digest, place = (free_name(docs, x) for x in ("mix_source", "mix_draws", "mix_cdf", "mix_salt", "copy", "mix_digest", "mix_place"))
     table = table.toDF(source, draws, cdf)
-    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"))
+    columns = docs.columns
+    docs = docs.withColumn(digest, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn(place, F.monotonically_increasing_id())
+    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.col(digest), F.lit(f":{seed}:"))
     same = F.col(source_col).eqNullSafe(F.col(source))
     if n <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(table), same)
     else:  # too many sources to broadcast: a source's rows are spread over SALT keys
         spread = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        joined = docs.withColumn(salt + "_own", F.pmod(F.xxhash64(id_col), F.lit(SALT)).cast("int")).join(spread, same & (F.col(salt + "_own") == F.col(salt)))
+        joined = docs.withColumn(salt + "_own", F.pmod(F.col(place), F.lit(SALT)).cast("int")).join(spread, same & (F.col(salt + "_own") == F.col(salt)))
 
     def draw(i: Column) -> Column:
         # the number is an element of an array before the filter's function sees it: hashed once, not once a term
@@ -78,10 +81,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
 
     times = F.when(F.col(draws) == 1, draw(F.lit(1))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda a, i: a + draw(i)))
     one = free_name(docs, "mix_one")
-    exploded = joined.select(*docs.columns, F.posexplode(F.array_repeat(F.lit(True), times)).alias(copy, one))
-    copies = exploded.select(*docs.columns, (F.col(copy) + 1).alias(copy))
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy))
-    return copies.repartition(order).sortWithinPartitions(order)
+    exploded = joined.select(*columns, digest, place, F.posexplode(F.array_repeat(F.lit(True), times)).alias(copy, one))
+    alone = F.when(F.col(id_col).isNull(), F.col(place))
+    order = free_name(exploded, "mix_order")
+    copies = exploded.select(*columns, (F.col(copy) + 1).alias(copy), F.xxhash64(F.lit(seed), F.col(id_col), F.col(digest), F.col(copy) + 1, alone).alias(order))
+    return copies.repartition(order).sortWithinPartitions(order).drop(order)
 
 
 def equal_mix_sql(documents: str = "documents", seed: int = 0) -> str:
@@ -93,8 +97,8 @@ def equal_mix_sql(documents: str = "documents", seed: int = 0) -> str:
     f AS (SELECT source, draws, list_reduce(list_prepend([exp(-rate / draws), exp(-rate / draws)], list_transform(range(1, {TERMS + 1}), lambda k: [k::DOUBLE, rate / draws])),
             lambda a, x: list_concat([a[1] * x[2] / x[1], a[2] + a[1] * x[2] / x[1]], list_concat(a[3:], [a[2] + a[1] * x[2] / x[1]]))) AS a, exp(-rate / draws) AS zero FROM r),
     c AS (SELECT source, draws, list_prepend(zero, a[3:]) AS cdf FROM f),
-    u AS (SELECT d.*, c.cdf, unnest(range(1, c.draws + 1)) AS i FROM {documents} d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-    k AS (SELECT doc_id, text, lang, source, n_chars,
-            sum(len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{seed}:' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE / {16**13}.0))) AS times
+    u AS (SELECT d.*, c.cdf, unnest(range(1, c.draws + 1)) AS i FROM (SELECT *, row_number() OVER () AS place FROM {documents}) d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+    k AS (SELECT place, doc_id, text, lang, source, n_chars,
+            sum(len(list_filter(cdf, lambda c: c <= ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':{seed}:' || i::VARCHAR), 1, 13))::BIGINT::DOUBLE / {16**13}.0))) AS times
           FROM u GROUP BY ALL)
     SELECT doc_id, text, lang, source, n_chars, unnest(range(1, times::INT + 1))::INT AS copy FROM k"""

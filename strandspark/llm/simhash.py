@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import join_counted
+from strandspark.llm.common import free_name, join_counted
 from strandspark.llm.components import connected_components
 from strandspark.session import materialise, ship
 
@@ -54,17 +54,18 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(id, th, fp): a hash of the text, and its fingerprint's 64 bits as a signed long."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
+            texts = b.column(2).cast(pa.binary())
             fps = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, f"id {kind}, th long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -187,26 +188,32 @@ def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, g
     return rows.groupBy(where.alias("bucket")).applyInPandas(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, component_id) for each row of ``docs``."""
+def rooted_components(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int) -> DataFrame:
+    """(id, th, fp, root, component_id): ``root`` tells components apart that repeated ids give the same name."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     nodes = connected_components(links(distinct.select("fp"), distance))
     rooted = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = materialise(rooted.join(named, "root").select("fp", "component_id", "n"), "components-of-fingerprints")
+    by_print = materialise(rooted.join(named, "root").select("fp", "root", "component_id", "n"), "components-of-fingerprints")
     total = distinct.agg(F.sum("n")).first()[0] or 0
-    return join_counted(prints, by_print, "fp", "n", total).select(F.col("id").alias(id_col), "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id names their component; of rows that repeat an id, one stays."""
-    found = materialise(simhash_components(docs, id_col), "simhash-components")
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col)
-    counts = kept.groupBy(id_col).count()
-    out = docs.join(counts.where(F.col(id_col).isNotNull()), id_col, "left_semi")
-    if not counts.where("count > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    if not kept.where(F.col(id_col).isNull()).isEmpty():
-        out = out.unionByName(docs.where(F.col(id_col).isNull()).limit(1))
-    return out
+    return join_counted(prints, by_print, "fp", "n", total)
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp, component_id) for each row of ``docs``."""
+    return rooted_components(docs, id_col, text_col, distance, shingle).select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, of each component: of those with its smallest id the one with the smallest hash of its text."""
+    found = materialise(rooted_components(docs, id_col, text_col, DISTANCE, SHINGLE), "simhash-components")
+    own = found.where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = own.groupBy("root").agg(F.first("component_id").alias("id"), F.min("th").alias("th"))
+    least, th, text_hash = (free_name(docs, x) for x in ("kept_id", "kept_hash", "text_hash"))
+    kept = materialise(kept.select(F.col("id").alias(least), F.col("th").alias(th)), "simhash-kept")
+    keyed = docs.withColumn(text_hash, F.xxhash64(F.col(text_col).cast("string")))
+    out = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(least)) & (F.col(text_hash) == F.col(th)), "left_semi")
+    if not own.groupBy("id", "th").count().where("count > 1").isEmpty():  # equal rows
+        out = out.dropDuplicates([id_col, text_hash])
+    return out.drop(text_hash)

@@ -17,7 +17,7 @@ def plain_counts(docs, rate, seed=0):
         draws = max(1, math.ceil(lam / mixing.SPLIT))
         total = 0
         for k in range(1, draws + 1):
-            u = int(hashlib.md5(f"{'' if i is None else i}:{seed}:{k}".encode()).hexdigest()[:13], 16) / 16**13
+            u = int(hashlib.md5(f"{'' if i is None else i}:{hashlib.md5(b't').hexdigest()}:{seed}:{k}".encode()).hexdigest()[:13], 16) / 16**13
             p = s = math.exp(-lam / draws)
             n = 0
             while s <= u:
@@ -66,6 +66,20 @@ def test_global_shuffle_and_edges(spark):
     assert {r["count"] for r in mixing.mix(odd, total=40).where("doc_id = 2").groupBy("copy").count().collect()} <= {2}
 
 
+def test_rows_of_one_id_are_dealt_out_and_drawn_apart(spark):
+    for texts in (["x"] * 400, [f"x{k}" for k in range(400)]):
+        docs = docs_table(spark, texts, [None] * 400, ["a"] * 200 + ["b"] * 200)
+        out = mixing.mix(docs, {"a": 3.0, "b": 1.0}, total=800)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        parts = out.groupBy(F.spark_partition_id()).count().collect()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(parts) > 1 and max(r["count"] for r in parts) < 0.6 * sum(r["count"] for r in parts)
+    n = mixing.mix(docs).count()
+    assert n != 800 and 320 < n < 480
+    same = mixing.mix(docs_table(spark, [f"y{k}" for k in range(300)], [7] * 300), total=300)
+    assert len({r["count"] for r in same.groupBy("text").count().collect()}) > 2
+
+
 def test_main_path_has_no_python(spark):
     plan = mixing.mix(docs_table(spark, ["x"] * 10))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

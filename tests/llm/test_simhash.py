@@ -98,3 +98,12 @@ def test_stage_keeps_one_of_each(spark):
     assert out.columns == docs.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [3, 6, 7]
     assert s.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_stage_with_repeated_ids_and_other_texts(spark):
+    a, b = "a b c d e f g", "p q r s t u v w"
+    rows = lambda texts, ids: sorted(((r["doc_id"], r["text"]) for r in s.one_of_each(docs_table(spark, texts, ids)).collect()), key=str)
+    assert rows([b, b, a], [3, 5, 5]) == [(3, b), (5, a)]
+    assert rows([b, a, a, b], [5, 5, 5, 5]) == [(5, a), (5, b)]
+    assert rows([a, b, None, a], [None, None, 1, 2]) == [(1, None), (2, a), (None, b)]
+    assert rows([a, a, a.upper(), b], [4, 4, 4, 4]) in ([(4, a), (4, b)], [(4, a.upper()), (4, b)])
