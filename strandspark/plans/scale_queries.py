@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandspark.operators import chain, intervals, scan, sequence
+from strandspark.operators import chain, intervals, scan, sequence, sketches, sums
 from strandspark.plans.driver_queries import _CHAINS, _MOVED, _RUNS, _each, _each_sql, _fold_sql, _path_sql, _posterior_sql, r, register, rs
 from strandspark.plans.views import PATH, SIGNAL, table, v_path, v_signal
 
@@ -113,3 +113,63 @@ def asof_events(spark, d):
     seconds = F.expr("(unix_micros(ts) - unix_micros(matched_at)) div 1000000")
     near = seconds <= 86_400
     return found.select("event_id", "user_id", F.when(near, F.col("view_id")).alias("view_id"), F.when(near, seconds).alias("seconds"))
+
+
+# ---------------------------------------------------------------- mergeable quantiles and sums
+
+_CHUNK = 16
+_PS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def _levels_sql() -> str:
+    ps = ", ".join(map(str, _PS))
+    return f"""SELECT level, key, p, n, true AS within FROM (
+        SELECT 'chunk' AS level, read_id || ':' || (idx // {_CHUNK}) AS key, count(*) AS n FROM {SIGNAL} GROUP BY ALL
+        UNION ALL SELECT 'read', read_id, count(*) FROM {SIGNAL} GROUP BY ALL
+        UNION ALL SELECT 'all', NULL, count(*) FROM {SIGNAL}), (SELECT unnest([{ps}])::DOUBLE AS p)"""
+
+
+@register(_levels_sql())
+def sketch_quantiles(spark, d):
+    """Quantiles of chunks, reads and the table from sketches of chunks: is their rank among all samples near enough?"""
+    samples = v_signal(spark, d).select("read_id", F.floor(F.col("idx") / _CHUNK).alias("chunk"), "value")
+    chunks = sketches.sketch(samples, ["read_id", "chunk"])
+    reads = sketches.merge(chunks, ["read_id"])
+    whole = sketches.merge(reads, [])
+    name = F.concat_ws(":", "read_id", F.col("chunk").cast("string"))
+    level = lambda s, kind, key: s.select(F.lit(kind).alias("level"), key.alias("key"), "sketch", "n")
+    held = level(chunks, "chunk", name).unionByName(level(reads, "read", F.col("read_id"))).unionByName(level(whole, "all", F.lit(None).cast("string")))
+    asked = held.select("level", "key", "n", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), sketches.quantile(p).alias("q")) for p in _PS])))
+    told = lambda kind, key: samples.select(F.lit(kind).alias("of"), key.alias("of_key"), "value")
+    truth = told("chunk", name).unionByName(told("read", F.col("read_id"))).unionByName(told("all", F.lit(None).cast("string")))
+    same = (F.col("level") == F.col("of")) & F.col("key").eqNullSafe(F.col("of_key"))
+    ranks = truth.join(asked, same).groupBy("level", "key", "p", "n").agg(F.avg((F.col("value") < F.col("q")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("q")).cast("int")).alias("up_to"))
+    off = F.greatest(F.lit(0.0), F.col("below") - F.col("p"), F.col("p") - F.col("up_to"))
+    return ranks.select("level", "key", "p", "n", (off <= 3 * sketches.rank_error()).alias("within"))
+
+
+@register(f"SELECT read_id, true AS median_near, true AS mad_near FROM {SIGNAL} GROUP BY read_id")
+def sketch_mad(spark, d):
+    """Median and MAD of reads by two sketches against exact order statistics two ranks around."""
+    samples = v_signal(spark, d)
+    found = sketches.sketched_mad(samples, ["read_id"])
+    apart = samples.join(found, "read_id").withColumn("apart", sketches.MAD_SCALE * F.abs(F.col("value") - F.col("median")))
+    low = lambda x, y: F.avg((F.col(x) < F.col(y)).cast("int"))
+    high = lambda x, y: F.avg((F.col(x) <= F.col(y) + 1e-9).cast("int"))
+    e = 3 * sketches.rank_error()
+    near = lambda x, y: (low(x, y) - e <= 0.5) & (high(x, y) + e >= 0.5)
+    return apart.groupBy("read_id").agg(near("value", "median").alias("median_near"), near("apart", "mad").alias("mad_near"))
+
+
+@register(f"SELECT read_id, round(fsum(value), 9) + 0.0 AS total, count(*) AS n, true AS same FROM {SIGNAL} GROUP BY read_id")
+def exact_sums(spark, d):
+    """Sums of reads, the same to the last bit however the samples are dealt out."""
+    samples = v_signal(spark, d)
+    one, other = (sums.exact_sums(samples.repartition(k, "idx"), ["read_id"], "value") for k in (1, 13))
+    other = other.select("read_id", F.col("total").alias("again"))
+    return one.join(other, "read_id").select("read_id", r(F.col("total"), 9).alias("total"), "n", (F.col("total") == F.col("again")).alias("same"))
+
+
+@register(f"SELECT read_id, idx, {rs('(value - avg(value) OVER (PARTITION BY read_id)) / stddev_pop(value) OVER (PARTITION BY read_id)')} AS value FROM {SIGNAL}")
+def studentise_exact(spark, d):
+    return sums.studentise_exact(v_signal(spark, d)).select("read_id", "idx", r(F.col("value")).alias("value"))
