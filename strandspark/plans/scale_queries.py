@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandspark import session
 from strandspark.operators import chain, intervals, scan, sequence, sketches, sums
 from strandspark.plans.driver_queries import _CHAINS, _MOVED, _RUNS, _each, _each_sql, _fold_sql, _path_sql, _posterior_sql, r, register, rs
-from strandspark.plans.views import PATH, SIGNAL, table, v_path, v_signal
+from strandspark.plans.views import SIGNAL, table, v_block, v_path, v_signal
+from strandspark.streaming import windows
+from strandspark.streaming.reads import stream_partitions
 
 # ---------------------------------------------------------------- one very long read
 
@@ -173,3 +177,85 @@ def exact_sums(spark, d):
 @register(f"SELECT read_id, idx, {rs('(value - avg(value) OVER (PARTITION BY read_id)) / stddev_pop(value) OVER (PARTITION BY read_id)')} AS value FROM {SIGNAL}")
 def studentise_exact(spark, d):
     return sums.studentise_exact(v_signal(spark, d)).select("read_id", "idx", r(F.col("value")).alias("value"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream(spark, label: str, batches: list, plan):
+    """Tables as the batches of a stream, one file and batch each, in order; what the stream has written when all are read."""
+    source, place = session.scratch_path(spark, label), session.scratch_path(spark, f"{label}-out")
+    for k, rows in enumerate(batches):
+        rows.coalesce(1).write.parquet(f"{source}/batch={k:04d}")
+    arriving = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    planned = plan(arriving)
+    query = planned.writeStream.format("parquet").option("path", place).option("checkpointLocation", f"{place}-state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(planned.schema).parquet(place)
+
+
+def _partition_rows(t: chain.Topology) -> str:
+    z = " + ".join(f"exp(s[{k + 1}] - list_max(s))" for k in range(t.n_state))
+    return f"WITH RECURSIVE {_fold_sql(t, True)} SELECT read_id, {rs(f'list_max(s) + ln({z})', 4)} AS log_z FROM z"
+
+
+@register(_partition_rows(_FF))
+def streamed_partitions(spark, d):
+    """Blocks dealt to three batches by hash; every read's forward sums are carried from batch to batch."""
+    blocks = v_block(spark, d, _FF.n_weight, 2.0)
+    blocks = blocks.withColumn("last", F.col("blk") == F.max("blk").over(Window.partitionBy("read_id"))).withColumn("part", F.pmod(F.xxhash64("read_id", "blk"), F.lit(3)))
+    batches = [blocks.where(F.col("part") == k).drop("part") for k in range(3)]
+    return _stream(spark, "blocks", batches, lambda s: stream_partitions(s, _FF)).select("read_id", r(F.col("log_z"), 4).alias("log_z"))
+
+
+# three batches in the order of time, then late rows from all of it, one in forty
+_GAP_S, _DELAY_S = 14_400, 3_600
+_PARTED = """SELECT *, CASE WHEN event_id % 40 = 7 THEN 3 ELSE least(2, 3 * (epoch_us(ts) - lo) // greatest(1, hi - lo)) END AS batch
+    FROM events, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)"""
+
+
+def _arriving(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    micros = F.unix_micros("ts")
+    lo, hi = events.agg(F.min(micros), F.max(micros)).first()
+    batch = F.when(F.col("event_id") % 40 == 7, 3).otherwise(F.least(F.lit(2), F.floor(3 * (micros - F.lit(lo)) / F.lit(max(1, hi - lo)))))
+    return [events.where(batch == k) for k in range(4)]
+
+
+_LATE = f"""WITH e AS ({_PARTED}),
+    w AS (SELECT max(epoch_us(ts)) - {_DELAY_S}000000 AS late FROM e WHERE batch < 2), f AS (SELECT max(epoch_us(ts)) - {_DELAY_S}000000 AS done FROM e)"""
+
+
+def _session_sql(rows: str, name: str) -> str:
+    """Rows of each key numbered by sessions: a gap begins one."""
+    return f"""{name} AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM (
+        SELECT *, CASE WHEN t >= {_GAP_S}000000 + lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) THEN 1 ELSE 0 END AS fresh FROM ({rows})))"""
+
+
+_SESSIONS = f"""{_LATE}, {_session_sql('SELECT user_id, event_id, value, epoch_us(ts) AS t FROM e WHERE batch < 3', 'a')},
+    b AS (SELECT *, max(t) OVER (PARTITION BY user_id, session) + {_GAP_S}000000 <= late AS closed FROM a, w),
+    {_session_sql(f'SELECT user_id, event_id, value, t FROM b WHERE NOT closed UNION ALL SELECT user_id, event_id, value, epoch_us(ts) FROM e, w WHERE batch = 3 AND epoch_us(ts) + {_GAP_S}000000 > late', 'c')},
+    g AS (SELECT user_id, t, value, 'early' || session AS part FROM b WHERE closed UNION ALL SELECT user_id, t, value, 'late' || session FROM c)
+    SELECT user_id, min(t) AS start, max(t) + {_GAP_S}000000 AS "end", count(*) AS n, {rs('sum(value)', 4)} AS total, max(value) AS largest
+    FROM g, f GROUP BY user_id, part, done HAVING max(t) + {_GAP_S}000000 <= done"""
+
+
+@register(_SESSIONS)
+def session_windows(spark, d):
+    """Sessions of users from a stream in which one row in forty comes late: those behind the watermark are dropped."""
+    found = _stream(spark, "sessions", _arriving(spark, d), lambda s: windows.sessions(s, "user_id", f"{_GAP_S} seconds", f"{_DELAY_S} seconds"))
+    return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", r(F.col("total"), 4).alias("total"), "largest")
+
+
+_WIDTH_S = 86_400
+
+
+@register(
+    f"""{_LATE}, x AS (SELECT event_type, epoch_us(ts) // {_WIDTH_S}000000 * {_WIDTH_S}000000 AS start, value FROM e, w WHERE batch < 3 OR (epoch_us(ts) // {_WIDTH_S}000000 + 1) * {_WIDTH_S}000000 > late),
+    m AS (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY event_type, start) AS median FROM x)
+    SELECT event_type, start, count(*) AS n, {rs('any_value(median)')} AS median, {rs('1.4826 * quantile_cont(abs(value - median), 0.5)')} AS mad FROM m, f WHERE start + {_WIDTH_S}000000 <= done GROUP BY event_type, start"""
+)
+def tumbling_mads(spark, d):
+    """Median and MAD of each kind of event by day, from the same stream."""
+    found = _stream(spark, "tumbling", _arriving(spark, d), lambda s: windows.tumbling_mad(s, "event_type", f"{_WIDTH_S} seconds", f"{_DELAY_S} seconds"))
+    return found.select("event_type", F.unix_micros("start").alias("start"), "n", r(F.col("median")).alias("median"), r(F.col("mad")).alias("mad"))
