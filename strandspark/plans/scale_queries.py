@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandspark import session
 from strandspark.operators import chain, intervals, scan, sequence, sketches, sums
-from strandspark.plans.driver_queries import _CHAINS, _MOVED, _RUNS, _each, _each_sql, _fold_sql, _path_sql, _posterior_sql, r, register, rs
-from strandspark.plans.views import SIGNAL, table, v_block, v_path, v_signal
+from strandspark.plans.driver_queries import _CHAINS, _MOVED, _RUNS, _calls, _each, _each_sql, _fold_sql, _path_sql, _posterior_sql, _sql, r, register, rs
+from strandspark.plans.views import SIGNAL, block_sql, table, v_block, v_path, v_run, v_signal
+from strandspark.sources import files, records
+from strandspark.sources import text as text_format
 from strandspark.streaming import windows
 from strandspark.streaming.reads import stream_partitions
 
@@ -259,3 +263,82 @@ def tumbling_mads(spark, d):
     """Median and MAD of each kind of event by day, from the same stream."""
     found = _stream(spark, "tumbling", _arriving(spark, d), lambda s: windows.tumbling_mad(s, "event_type", f"{_WIDTH_S} seconds", f"{_DELAY_S} seconds"))
     return found.select("event_type", F.unix_micros("start").alias("start"), "n", r(F.col("median")).alias("median"), r(F.col("mad")).alias("mad"))
+
+
+# ---------------------------------------------------------------- files
+
+
+def _fastq_parts(name: str, f):
+    """(read_id, record) of a FASTQ file's fours of lines."""
+    lines = f.read().decode().split("\n")
+    for k in range(0, len(lines) - 3, 4):
+        yield lines[k].split('"uuid" : "')[1].split('"')[0], "\n".join(lines[k : k + 4])
+
+
+@register(_sql["fastq_records"])
+def written_fastq(spark, d):
+    """FASTQ records written under a commit, found by Spark's listing and parsed file by file."""
+    records.register(spark)
+    place = session.scratch_path(spark, "fastq")
+    made = text_format.format_calls(_calls(spark, d), "fastq").select("record").repartition(4, F.xxhash64("record"))
+    made.write.format("strand_records").option("ending", "fastq").option("exclusive", "true").mode("append").save(place)
+    return files.read_files(spark, place, _fastq_parts, "read_id string, record string", "*.fastq", large=1 << 14).where("error is null").select("read_id", "record")
+
+
+def _run_folder(spark, d) -> str:
+    """Run records of two appending jobs."""
+    records.register(spark)
+    place = session.scratch_path(spark, "runs")
+    made = text_format.run_records(v_run(spark, d))
+    for part in (F.col("read_id") < "5", F.col("read_id") >= "5"):
+        made.where(part).select("record").repartition(2, "record").write.format("strand_records").option("ending", "run").mode("append").save(place)
+    return place
+
+
+def _runs_back(read):
+    return read.select("read_id", "run_idx", "base", r(F.col("shape")).alias("shape"), r(F.col("scale")).alias("scale"), "dwell")
+
+
+@register(_sql["run_file"])
+def written_runs(spark, d):
+    """Run records written under commits and read by byte ranges."""
+    return _runs_back(spark.read.format("strand_runs").option("split_bytes", 4096).load(_run_folder(spark, d)))
+
+
+@register(_sql["run_file"])
+def streamed_runs(spark, d):
+    """The same folder as a stream of run records."""
+    place = _run_folder(spark, d)
+    out = session.scratch_path(spark, "runs-out")
+    stream = spark.readStream.format("strand_runs").option("split_bytes", 16_384).load(place)
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _runs_back(spark.read.schema(stream.schema).parquet(out))
+
+
+def _matrix_size(name: str, f):
+    """(nr, nc, total) of a matrix file whose values are as many as its first line says."""
+    first, _, rest = f.read().decode().partition("\n")
+    nr, nc = map(int, first.split())
+    data = [float.fromhex(x) for x in rest.split()]
+    if len(data) != nr * nc:
+        raise ValueError(f"{len(data)} values instead of {nr * nc}")
+    yield nr, nc, math.fsum(data)
+
+
+@register(
+    f"""SELECT read_id, CASE WHEN read_id % 3 <> 1 THEN 64 END AS nr, CASE WHEN read_id % 3 <> 1 THEN count(*)::INT END AS nc, CASE WHEN read_id % 3 <> 1 THEN {rs('sum(list_sum(w))')} END AS total,
+    CASE WHEN read_id % 3 = 1 THEN 'ValueError: ' || (64 * count(*) - 1) || ' values instead of ' || 64 * count(*) END AS error FROM {block_sql(64)} GROUP BY read_id"""
+)
+def parsed_files(spark, d):
+    """Matrix files, every third cut short, parsed in tasks: a bad one is a row with its error."""
+    columns = F.transform(F.array_sort(F.collect_list(F.struct("blk", "w"))), lambda p: p["w"])
+    made = v_block(spark, d, 64).groupBy("read_id").agg(columns.alias("data"))
+    rows = made.select(F.col("read_id").cast("string").alias("name"), F.lit(64).alias("nr"), F.size("data").alias("nc"), "data")
+    cut = F.when(F.col("name").cast("long") % 3 == 1, F.regexp_replace("record", r"\s\S+\s*$", "")).otherwise(F.col("record"))
+    place = session.scratch_path(spark, "matrices")
+    text_format.matrix_records(rows).select("name", cut.alias("record")).write.partitionBy("name").option("lineSep", "\n").text(place)
+    # a folder each; the file's folder names the read
+    found = files.read_files(spark, place, _matrix_size, "nr int, nc int, total double", "*.txt", below=True)
+    read_id = F.regexp_extract("path", "name=([0-9]+)", 1).cast("long").alias("read_id")
+    return found.select(read_id, "nr", "nc", r(F.col("total")).alias("total"), "error")

@@ -10,9 +10,12 @@ OUTPUT_FORMATS = ("fasta", "fastq", "sam")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, run_idx, base, shape, scale, dwell): a record begins at ``# `` and may cross file splits; an empty file is empty."""
-    records = spark.read.option("lineSep", "# ").text(path).where(F.length(F.trim("value")) > 0)
-    lines = F.split("value", "\n")
+    """(read_id, run_idx, base, shape, scale, dwell): a record begins at a line that starts with ``# `` and may cross file splits.
+
+    An empty file is empty. Names that themselves begin with ``# `` need ``records``' reader by byte ranges.
+    """
+    records = spark.read.option("lineSep", "\n# ").text(path).where(F.length(F.trim("value")) > 0)
+    lines = F.split(F.regexp_replace("value", "^# ", ""), "\n")  # a file's first record has no line before it
     rows = records.select(F.trim(lines[0]).alias("read_id"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("run_idx", "line"))
     f = F.split("line", "\t")
     return rows.where(F.length(F.trim("line")) > 0).select(
