@@ -3,7 +3,7 @@
 A topology lists, for each state, the states it can be reached from and the weight of each step, in the
 order that decides ties. Scores and partitions are native: a fold (``aggregate``) over a read's array
 of blocks whose step is unrolled from the topology. Paths and posteriors need every step's table, so
-they run per read in Arrow batches.
+they run in Arrow batches of reads; a read here is in one row, ``scan`` has those that are too long for that.
 
 Blocks are (read_id, blk, w): ``w`` holds one block's weights, ``blk`` orders them.
 """
@@ -225,50 +225,89 @@ def partition(w: np.ndarray, t: Topology) -> float:
     return float(_lse(forward_backward(w, t)[0][-1], 0))
 
 
-# Spark operators around the kernels
+# Spark operators around the kernels: arrays of whole reads, batches of like length stepped through together
 
+#: Reads, and numbers of padded weights, of a batch.
+BATCH_READS, BATCH_WEIGHTS = 64, 1 << 22
 
-def _per_read(blocks: DataFrame, schema: str, f: Callable[[object, np.ndarray], dict]) -> DataFrame:
-    ship(blocks.sparkSession)
-    kind = blocks.schema["read_id"].dataType.simpleString()
 
-    def run(table):
-        table = table.sort_by("blk")
-        w = np.stack([np.asarray(x, float) for x in table.column("w").to_pylist()])
-        columns = f(w)
-        n = len(next(iter(columns.values())))
-        read = pa.array([table.column("read_id")[0].as_py()] * n, table.schema.field("read_id").type)
-        return pa.table({"read_id": read, **{k: pa.array(v) for k, v in columns.items()}})
+def _batches(w: list[np.ndarray], n_weight: int):
+    """Places of reads that are padded together, longest first."""
+    order = sorted(range(len(w)), key=lambda k: -len(w[k]))
+    at = 0
+    while at < len(order):
+        size = min(BATCH_READS, max(1, BATCH_WEIGHTS // max(1, len(w[order[at]]) * n_weight)))
+        yield order[at : at + size]
+        at += size
+
 
-    return blocks.select("read_id", "blk", F.col("w").cast("array<double>").alias("w")).groupBy("read_id").applyInArrow(run, f"read_id {kind}, {schema}")
+def _per_read(blocks: DataFrame, schema: str, f: Callable[[np.ndarray, np.ndarray], Callable[[int, int], dict]]) -> DataFrame:
+    """``f`` over padded weights and lengths of a batch gives a function of (read's place, its blocks) to columns."""
+    ship(blocks.sparkSession)
+    reads = block_arrays(blocks)
+    out = blocks.sparkSession.createDataFrame([], f"read_id {blocks.schema['read_id'].dataType.simpleString()}, {schema}").schema
+    kinds = {x.name: x.type for x in blocks.sparkSession.createDataFrame([], out).toArrow().schema}
+
+    def run(batches):
+        for b in batches:
+            column = b.column(1)
+            ws = []
+            for k in range(b.num_rows):
+                inner = column[k].values
+                ws.append(np.asarray(inner.flatten()).reshape(len(inner), -1) if len(inner) else np.zeros((0, 1)))
+            for some in _batches(ws, max(x.shape[1] for x in ws)):
+                lengths = np.array([len(ws[k]) for k in some])
+                w = np.zeros((len(some), lengths[0], ws[some[0]].shape[1]))
+                for i, k in enumerate(some):
+                    w[i, : lengths[i]] = ws[k]
+                each = f(w, lengths)
+                for i, k in enumerate(some):
+                    columns = each(i, int(lengths[i]))
+                    n = len(next(iter(columns.values())))
+                    read = pa.array([b.column(0)[k].as_py()] * n, kinds["read_id"])
+                    yield pa.RecordBatch.from_arrays([read, *(pa.array(columns[c], kinds[c]) for c in out.names[1:])], names=out.names)
+
+    return reads.mapInArrow(run, out)
 
 
 def decode(blocks: DataFrame, t: Topology, posterior: bool = False, normalised: bool = True) -> DataFrame:
     """(read_id, pos, state, q, score): the best path, ``q`` the weight of the step into ``pos`` (null at 0)."""
 
-    def f(w):
-        score, path, step = viterbi(step_posteriors(w, t, normalised) if posterior else w, t)
-        return {"pos": np.arange(len(path)), "state": path, "q": [None, *step.tolist()], "score": np.full(len(path), score)}
+    def f(w, lengths):
+        score, path, step = viterbi_batch(step_posteriors_batch(w, lengths, t, normalised) if posterior else w, lengths, t)
+        return lambda i, n: {"pos": np.arange(n + 1), "state": path[i, : n + 1], "q": [None, *step[i, :n].tolist()], "score": np.full(n + 1, score[i])}
 
     return _per_read(blocks, "pos long, state long, q double, score double", f)
 
 
 def posteriors(blocks: DataFrame, t: Topology, normalised: bool = True) -> DataFrame:
     """(read_id, blk, w): log posteriors in the place of weights."""
-    return _per_read(blocks, "blk long, w array<double>", lambda w: {"blk": np.arange(len(w)), "w": step_posteriors(w, t, normalised).tolist()})
+
+    def f(w, lengths):
+        found = step_posteriors_batch(w, lengths, t, normalised)
+        return lambda i, n: {"blk": np.arange(n), "w": list(found[i, :n])}
+
+    return _per_read(blocks, "blk long, w array<double>", f)
 
 
 def states(blocks: DataFrame, t: Topology, log: bool = True) -> DataFrame:
     """(read_id, pos, p): state posteriors."""
-    return _per_read(blocks, "pos long, p array<double>", lambda w: {"pos": np.arange(len(w) + 1), "p": state_posteriors(w, t, log).tolist()})
+
+    def f(w, lengths):
+        forward, backward = forward_backward_batch(w, lengths, t)
+        s = forward + backward
+        found = s if log else np.exp(s - _lse(s, 2)[:, :, None])
+        return lambda i, n: {"pos": np.arange(n + 1), "p": list(found[i, : n + 1])}
+
+    return _per_read(blocks, "pos long, p array<double>", f)
 
 
 def traces(blocks: DataFrame, t: Topology, posterior: bool = True) -> DataFrame:
     """(read_id, pos, trace): state shares in 255ths."""
 
-    def f(w):
-        found = trace(step_posteriors(w, t) if posterior else w, t)
-        return {"pos": np.arange(len(found)), "trace": found.tolist()}
+    def f(w, lengths):
+        found = step_posteriors_batch(w, lengths, t) if posterior else w
+        return lambda i, n: {"pos": np.arange(n + 1), "trace": list(trace(found[i, :n], t))}
 
     return _per_read(blocks, "pos long, trace array<long>", f)
 

@@ -31,8 +31,16 @@ def _chosen(model: str, wanted: set[str]) -> tuple[str, int]:
     return name, n_base
 
 
-def with_signal(reads: DataFrame) -> DataFrame:
-    """(read_id, filename, signal) of samples (read_id, idx, value), of read arrays, or of files' reads (``raw``), without failed ones."""
+def with_signal(reads: DataFrame, limit: int = 0) -> DataFrame:
+    """(read_id, filename, signal) of samples (read_id, idx, value), of read arrays, or of files' reads (``raw``), without failed ones.
+
+    ``limit`` counts what is begun, failed files too: files by name where rows have one, else reads. Where rows come from
+    files, ``fast5.read_fast5``'s own limit opens no others.
+    """
+    if "filename" in reads.columns:
+        reads = limit_reads(reads, limit, "filename")
+    else:
+        reads = limit_reads(reads, limit)
     if "value" in reads.columns:
         reads = signal.to_reads(reads)
     elif "raw" in reads.columns:
@@ -41,12 +49,12 @@ def with_signal(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", name.alias("filename"), F.col("signal").cast("array<double>").alias("signal"))
 
 
-def limit_reads(rows: DataFrame, limit: int) -> DataFrame:
-    """Rows of the first ``limit`` reads by name, whole; 0 or less: of all."""
+def limit_reads(rows: DataFrame, limit: int, by: str = "read_id") -> DataFrame:
+    """Rows of the first ``limit`` reads, or other names, whole; 0 or less: of all."""
     if limit <= 0:
         return rows
     # at most ``limit`` names: a caller's number, not the data's
-    return rows.join(F.broadcast(rows.select("read_id").distinct().orderBy("read_id").limit(limit)), "read_id", "left_semi")
+    return rows.join(F.broadcast(rows.select(by).distinct().orderBy(by).limit(limit)), by, "left_semi")
 
 
 def _prepared(x: np.ndarray, trim, segmentation, delta: float) -> tuple[int, int, np.ndarray]:
@@ -104,7 +112,7 @@ def basecall(reads: DataFrame, weights: list[dict[str, np.ndarray]], model: str
 
     schema = "basecall string, quality string, score double, nblock long, sequence_length int, nsample long, trim_start long, trim_end long"
     schema += ", signal array<double>, trace array<array<int>>" if trace else ""
-    return _decoded(limit_reads(with_signal(reads), limit), weights, name, n_base, temperature, viterbi_only, preparing, schema, each)
+    return _decoded(with_signal(reads, limit), weights, name, n_base, temperature, viterbi_only, preparing, schema, each)
 
 
 def basecall_runs(reads: DataFrame, weights: list[dict[str, np.ndarray]], model: str = "rle_r941_native", temperature: float = 1.0, viterbi_only: bool = False, limit: int = 0, **preparing) -> DataFrame:
@@ -119,7 +127,7 @@ def basecall_runs(reads: DataFrame, weights: list[dict[str, np.ndarray]], model:
         return {"run_idx": np.arange(len(first)), "base": [quality.BASES[k] for k in at], "shape": w[first, at], "scale": w[first, at + n_base], "dwell": dwell}
 
     schema = "run_idx int, base string, shape double, scale double, dwell int"
-    return _decoded(limit_reads(with_signal(reads), limit), weights, name, n_base, temperature, viterbi_only, preparing, schema, each)
+    return _decoded(with_signal(reads, limit), weights, name, n_base, temperature, viterbi_only, preparing, schema, each)
 
 
 def decode_runs(runs: DataFrame, **options) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandspark import session
+from strandspark.functions import expand
 from strandspark.operators import chain, intervals, scan, sequence, sketches, sums
 from strandspark.plans.driver_queries import _CHAINS, _MOVED, _RUNS, _calls, _each, _each_sql, _fold_sql, _path_sql, _posterior_sql, _sql, r, register, rs
-from strandspark.plans.views import SIGNAL, block_sql, table, v_block, v_path, v_run, v_signal
+from strandspark.plans.views import RUN, SIGNAL, block_sql, table, v_block, v_path, v_run, v_signal
 from strandspark.sources import files, records
 from strandspark.sources import text as text_format
 from strandspark.streaming import windows
@@ -342,3 +343,13 @@ def parsed_files(spark, d):
     found = files.read_files(spark, place, _matrix_size, "nr int, nc int, total double", "*.txt", below=True)
     read_id = F.regexp_extract("path", "name=([0-9]+)", 1).cast("long").alias("read_id")
     return found.select(read_id, "nr", "nc", r(F.col("total")).alias("total"), "error")
+
+
+@register(
+    f"""SELECT read_id, (before + k)::BIGINT AS pos, run_idx::INT AS run_idx, base FROM (
+        SELECT *, sum(n) OVER (PARTITION BY read_id ORDER BY run_idx) - n AS before, unnest(range(n)) AS k
+        FROM (SELECT *, greatest(1, floor(scale * 1.04))::BIGINT AS n FROM {RUN}))"""
+)
+def expanded_runs(spark, d):
+    """Each base that a run stands for and its place in the read, by a table function."""
+    return expand.expanded(v_run(spark, d).select("read_id", F.col("run_idx").cast("int").alias("run_idx"), "base", "scale"), 1.04)

@@ -1,8 +1,8 @@
-"""Raw reads in HDF5 files, as a Python data source; HDF5 support is loaded only when a file is read.
+"""Raw reads in HDF5 files; HDF5 support is loaded only when a file is read.
 
-``spark.read.format("strand_fast5").load(path)`` gives a row a read with its raw samples and
-calibration. One partition a file: HDF5 can't be split. A file that can't be read becomes a row with
-its ``error``, so that one bad file doesn't end a job.
+``read_fast5`` and ``read_traces`` find files by Spark's own listing, on any store that Spark reads, and parse them in
+tasks, many small files to one; HDF5 can't be split. A file that can't be read becomes a row with its ``error``, so
+that one bad file doesn't end a job. ``spark.read.format("strand_fast5")`` gives the same rows of local files, a partition each.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandspark.functions.arrays import scale_to_pa
+from strandspark.sources import files
 
 READS = "read_id string, filename string, n long, digitisation float, offset float, range float, sample_rate float, raw array<float>, error string"
 
@@ -41,6 +42,15 @@ def _reads(file, first_only: bool):
                 yield file[name].get("channel_id"), file[f"{name}/Raw"]
 
 
+def read_rows(file, first_only: bool):
+    """(read_id, n, calibration, samples) of an open file's reads, as rows without file name and error."""
+    for channel, raw in _reads(file, first_only):
+        read_id = raw.attrs["read_id"]
+        signal = raw["Signal"][()].astype("float32").tolist()
+        scaling = [_attribute(channel, a) for a in ("digitisation", "offset", "range", "sampling_rate")]
+        yield (read_id.decode() if isinstance(read_id, bytes) else str(read_id), len(signal), *scaling, signal)
+
+
 class Fast5Source(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -73,11 +83,8 @@ class Fast5Reader(DataSourceReader):
             import h5py
 
             with h5py.File(partition.path, "r") as file:
-                for channel, raw in _reads(file, self.first_only):
-                    read_id = raw.attrs["read_id"]
-                    signal = raw["Signal"][()].astype("float32").tolist()
-                    scaling = [_attribute(channel, a) for a in ("digitisation", "offset", "range", "sampling_rate")]
-                    yield (read_id.decode() if isinstance(read_id, bytes) else str(read_id), name, len(signal), *scaling, signal, None)
+                for read_id, *rest in read_rows(file, self.first_only):
+                    yield (read_id, name, *rest, None)
         except Exception as e:  # a bad file is reported in its row
             yield (None, name, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])
 
@@ -139,15 +146,38 @@ class TraceReader(Fast5Reader):
             yield (None, name, None, None, f"{type(e).__name__}: {e}"[:500])
 
 
-def read_traces(spark: SparkSession, path: str, analysis: int = 0) -> DataFrame:
+def _pattern(path: str | list[str]) -> str | None:
+    """Folders are searched for this; files' own names or patterns stand for themselves."""
+    last = [p.rstrip("/").rsplit("/", 1)[-1] for p in ([path] if isinstance(path, str) else path)]
+    return None if all("*" in x or x.endswith(".fast5") for x in last) else "*.fast5"
+
+
+def read_traces(spark: SparkSession, path: str | list[str], analysis: int = 0) -> DataFrame:
     """Traces in HDF5 files, our own or a basecaller's in single or multi read files."""
-    spark.dataSource.register(TraceSource)
-    return spark.read.format("strand_trace").option("analysis", str(analysis)).load(path)
 
+    def parse(name, f):
+        import h5py
+
+        with h5py.File(f, "r") as file:
+            for read, signal, trace, error in read_traces_of(file, name, analysis):
+                yield read, None if error else signal.astype("float32").tolist(), None if error else trace.astype("int32").tolist(), error
+
+    found = files.read_files(spark, path, parse, "read_id string, signal array<float>, trace array<array<int>>, problem string", _pattern(path))
+    return found.select("read_id", "filename", "signal", "trace", F.coalesce("error", "problem").alias("error"))
+
+
+def read_fast5(spark: SparkSession, path: str | list[str], first_only: bool = True, limit: int = 0) -> DataFrame:
+    """A row a read; ``limit`` counts files that are begun, by name, failed ones too."""
+
+    def parse(name, f):
+        import h5py
+
+        with h5py.File(f, "r") as file:
+            yield from read_rows(file, first_only)
 
-def read_fast5(spark: SparkSession, path: str, first_only: bool = True) -> DataFrame:
-    spark.dataSource.register(Fast5Source)
-    return spark.read.format("strand_fast5").option("first_only", str(first_only)).load(path)
+    schema = "read_id string, n long, digitisation float, offset float, range float, sample_rate float, raw array<float>"
+    found = files.read_files(spark, path, parse, schema, _pattern(path), limit=limit)
+    return found.select(*[c.split()[0] for c in READS.split(", ")])
 
 
 def calibrated(reads: DataFrame) -> DataFrame:

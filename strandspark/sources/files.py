@@ -46,11 +46,21 @@ def list_files(spark: SparkSession, path: str | list[str], pattern: str | None =
     return reader.load(path).select("path", "length", "modificationTime")
 
 
-def read_files(spark: SparkSession, path: str | list[str], parse: Callable[[str, object], Iterator[tuple]], schema: str, pattern: str | None = None, large: int = LARGE, below: bool = False) -> DataFrame:
-    """``parse``'s rows (``schema``) of every file, each with ``path``, ``filename`` and ``error``; a file that fails is one row of nulls."""
+def out_schema(schema: str) -> T.StructType:
+    return T.StructType([*T.StructType.fromDDL(schema).fields, *(T.StructField(n, T.StringType()) for n in ("path", "filename", "error"))])
+
+
+def read_files(spark: SparkSession, path: str | list[str], parse: Callable[[str, object], Iterator[tuple]], schema: str, pattern: str | None = None, large: int = LARGE, below: bool = False, limit: int = 0) -> DataFrame:
+    """``parse``'s rows (``schema``) of every file, each with ``path``, ``filename`` and ``error``; a file that fails is one row of nulls.
+
+    With a ``limit`` above 0 only the first so many files by path are opened, whether they can be parsed or not.
+    """
     ship(spark)
-    fields = T.StructType.fromDDL(schema).fields
-    out = T.StructType([*fields, *(T.StructField(n, T.StringType()) for n in ("path", "filename", "error"))])
+    if limit > 0:  # as many names as the caller asks for reach the driver
+        path, pattern = [r["path"] for r in list_files(spark, path, pattern, below).orderBy("path").limit(limit).collect()], None
+        if not path:
+            return spark.createDataFrame([], out_schema(schema))
+    fields, out = T.StructType.fromDDL(schema).fields, out_schema(schema)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", below)
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
     files = reader.load(path)
