@@ -3,9 +3,11 @@
 The kernel of two strings sums, over subsequences of three letters, the products of their weights; an
 occurrence weighs DECAY to the power of the stretch it covers, so letters put between those of an
 insult only dampen it. Strings are units of sentences, scaled by the length-only norm of a string with
-all letters different: words without the signs between their letters ("i.d-iot"; long ones in
-overlapping windows), runs of single characters ("i d i o t"), and two words that meet like the halves
-of a mark ("mo ron"). A unit begins with a letter of its own for the word's beginning.
+all letters different: words without the signs between their letters ("i.d-iot"), runs of single
+characters ("i d i o t"), and two words that meet like the halves of a mark ("mo ron"). A unit begins with
+a letter of its own for the word's beginning. Telling marks are looked for within units: their kernel is the
+largest one of all the unit's windows of SHORT to LONG letters, at every letter and of every length, so
+letters put before, behind or into an insult, and whatever it is glued to, don't hide it.
 
 Labels belong to documents, so sentences are labelled first. Marks are letter sequences, stems or whole
 words, that tell units of toxic documents from those of clean ones by the number of different words
@@ -13,22 +15,23 @@ behind which they stand (so copies of a document count once); they are picked on
 log-likelihood gain, each on the units that hold no better one, until it falls below LEAST_GAIN; their
 share of toxic contexts is LIFT times that of all units. In a
 toxic document's sentence the units that hold a mark are positive examples, and so are marks that clean
-documents lack with a letter put in at each place; every unit of a clean document's sentence is a
-negative one. Landmarks are the marks and frequent clean units. The POWER of a unit's kernels with the
+documents lack with one and with two letters put in at all places; every unit of a clean document's sentence
+is a negative one. Such marks lose the letter of the word's beginning, unless clean units hold ones that
+are ALIKE. Landmarks are the marks and frequent clean units. The POWER of a unit's kernels with the
 landmarks, whitened by the landmarks' own (Nystrom), are the features of a linear machine with squared
-hinge loss. A unit whose kernels with all marks together stay below GATE counts as far from all of them;
-that is read from one folded table, so most units never meet the landmarks.
+hinge loss. A unit that is not within GATE of any mark counts as far from all of them; that is read from one
+table of the largest weight that any mark gives a subsequence, which bounds all their kernels, so most units never meet the landmarks.
 
-A text's score is a logistic curve over its TOP largest unit margins (of all its sentences): one plain
-insult is enough, of words that clean texts use as well it takes several. One half lies where errors on
-the sample are least.
+A text is toxic if one unit's margin is LEAST or more, or if its TOP largest margins together are, by a logistic
+curve: one insult is enough, of words that clean texts use as well it takes several. LEAST is what SLIPS of the
+sample's clean texts reach, or a plain mark's margin if that is less; the curve's one half lies where errors on the rest of the sample are least.
 
 The fit uses a bounded sample: TRAIN_DOCS labelled documents of each class by hash order, of which copies
 count once, the TRAIN_GRAMS best letter sequences with the TRAIN_UNITS most frequent units that hold
 them, and TRAIN_UNITS clean units, half of them those nearest to the landmarks and half by hash order.
-Every text is scored whole.
+Every text is scored whole; words of more than COUNTED letters are scored, but not counted when marks are chosen.
 
-Defined results: null and empty texts have the score of a text without units; with no toxic or no clean
+Defined results: null and empty texts have the score of a text without units; an empty table gives an empty table; with no toxic or no clean
 label to learn from, or no mark among them, every score is 0 or, with toxic labels only, 1. Labels, other
 columns and ids never enter a score. Repeated rows are scored each, rows with a null id too; ties in gain
 go to the longer sequence, then to the first in the alphabet.
@@ -52,11 +55,13 @@ from pyspark.sql import functions as F
 
 from strandspark.session import materialise, ship
 
-DECAY, STRETCH, LETTERS, POWER, GATE = 0.8, 9, 64, 3, 0.3
+DECAY, STRETCH, LETTERS, POWER, GATE, COST, ALIKE = 0.8, 9, 64, 3, 0.42, 10.0, 0.8
+#: Share of clean documents of the sample that one unit may make toxic.
+SLIPS = 0.01
 TRAIN_DOCS, TRAIN_UNITS, TRAIN_GRAMS = 3_000, 40_000, 5_000
 LANDMARKS, BACKGROUND, LEAST_GAIN, LIFT = 64, 16, 16.0, 3.0
-GRAMS, TOP, BEGIN = (4, 5, 6, 7, 8), 6, "^"
-RAMP, WINDOW, NARROW, HOP, CACHE = (0.4, 0.65), 16, 10, 4, 400_000
+GRAMS, TOP, BEGIN, COUNTED = (4, 5, 6, 7, 8), 6, "^", 40
+RAMP, SHORT, LONG, CACHE = (0.4, 0.65), 4, 12, 400_000
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\w)")
 _SIGNS = re.compile(r"[\W_]+")
@@ -101,16 +106,11 @@ def _halves(marks: list[str]) -> dict[str, int]:
     return out
 
 
-def _pieces(unit: str) -> list[str]:
-    unit = BEGIN + unit
-    return [unit] if len(unit) <= WINDOW else [unit[k : k + NARROW] for k in range(0, len(unit) - NARROW + HOP, HOP)]
-
-
 def _norms() -> np.ndarray:
     """By number of letters: the kernel norm of a string with all letters different."""
     spans = np.array([sum(1 for d in range(1, s - 1)) for s in range(STRETCH + 1)])
-    out = np.ones(WINDOW + 1)
-    for m in range(3, WINDOW + 1):
+    out = np.ones(4 * LONG + 1)
+    for m in range(3, len(out)):
         out[m] = math.sqrt(sum((m - s + 1) * spans[s] * DECAY ** (2 * s) for s in range(3, min(m, STRETCH) + 1)))
     return out
 
@@ -118,49 +118,68 @@ def _norms() -> np.ndarray:
 _GAPS = [(a, b, DECAY ** (a + b + 1)) for a in range(1, STRETCH - 1) for b in range(1, STRETCH - a)]
 
 
-def _coded(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pieces' codes with gaps between them, each one's start, each one's norm."""
-    gap = " " * STRETCH
+def _coded(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces' codes with gaps between them, and each one's start."""
+    gap = " " * LONG
     points = np.frombuffer((gap.join(pieces) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
     table = _letters()
     code = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 37 + points % 26)
-    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) + STRETCH
-    starts = np.cumsum(lengths) - lengths
-    return code, starts, _norms()[np.minimum(np.add.reduceat((code > 0).astype(np.int64), starts), WINDOW)]
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) + LONG
+    return code, np.cumsum(lengths) - lengths
 
 
-def _against(pieces: list[str], weights: np.ndarray) -> np.ndarray:
-    """Scaled kernel of each piece with what ``weights`` (subsequence table, one or more columns) stands for."""
-    code, starts, norm = _coded(pieces)
+def _against(pieces: list[str], weights: np.ndarray, within: int | None = None) -> np.ndarray:
+    """Scaled kernel of each piece with what ``weights`` (subsequence table, one or more columns) stands for.
+
+    For the first ``within`` columns (None: all) it is the largest one of the piece's windows of SHORT to LONG letters, for others that of the whole piece.
+    """
+    code, starts = _coded(pieces)
     n = len(code) - STRETCH
-    total = np.zeros((n, *weights.shape[1:]), np.float32)
+    spans = np.zeros((STRETCH - 2, n + 1, *weights.shape[1:]), np.float32)  # by stretch, from each place on
     for a, b, w in _GAPS:
         at = (code[:n] * LETTERS + code[a : n + a]) * LETTERS + code[a + b : n + a + b]
-        total += np.float32(w) * weights[at]
-    out = np.add.reduceat(total, np.minimum(starts, n - 1), axis=0)
-    return out / (norm if weights.ndim == 1 else norm[:, None])
+        spans[a + b - 2, :n] += np.float32(w) * weights[at]
+    np.cumsum(spans, 0, out=spans)
+    letters = np.concatenate([[0], np.cumsum(code > 0)])
+    norms, place = _norms().astype(np.float32), np.arange(n)
+    window, best = spans[0], np.zeros_like(spans[0, :n])
+    for size in range(4, LONG + 1):
+        # subsequences that begin at the window's first letter, and those of the window one shorter behind it
+        longer = spans[min(size, STRETCH) - 3].copy()
+        longer[:n] += window[1:]
+        window = longer
+        norm = norms[np.clip(letters[np.minimum(place + size, len(code))] - letters[place], SHORT, LONG)]
+        best = np.maximum(best, window[:n] / (norm if weights.ndim == 1 else norm[:, None]))
+    best[code[:n] == 0] = 0  # windows that begin in a gap reach into the next piece
+    out = np.maximum.reduceat(best, np.minimum(starts, n - 1), axis=0)
+    if within is not None:
+        sizes = np.add.reduceat(code > 0, starts)
+        whole = np.add.reduceat(spans[-1, :n, within:], np.minimum(starts, n - 1), axis=0)
+        out[:, within:] = whole / (norms[np.clip(sizes, SHORT, len(norms) - 1)] * np.sqrt(np.maximum(1, sizes / (len(norms) - 1))))[:, None]
+    return out
 
 
 def _table(strings: list[str]) -> np.ndarray:
     """Subsequence weights of each string, scaled, one column each."""
     out = np.zeros((LETTERS**3, len(strings)), np.float32)
     for k, s in enumerate(strings):
-        code, _, norm = _coded([s])
+        code, _ = _coded([s])
+        norm = _norms()[np.clip((code > 0).sum(), SHORT, 4 * LONG)]
         for a, b, w in _GAPS:
             for i in range(len(s) - a - b):
                 c = code[[i, i + a, i + a + b]]
                 if c.all():
-                    out[(c[0] * LETTERS + c[1]) * LETTERS + c[2], k] += w / norm[0]
+                    out[(c[0] * LETTERS + c[1]) * LETTERS + c[2], k] += w / norm
     return out
 
 
 def _words(text: str) -> Iterator[tuple[str, str]]:
-    """Each piece of a text's words, and the word before it."""
+    """A text's words, each with BEGIN before it, and the word that comes before."""
     before = ""
     for w in text.lower().split():
         w = w if w.isalnum() else _SIGNS.sub("", w)
-        if len(w) >= 3:
-            yield from ((q, before) for q in _pieces(w))
+        if 3 <= len(w) <= COUNTED:
+            yield BEGIN + w, before
         before = w
 
 
@@ -243,12 +262,28 @@ def choose_marks(contexts: DataFrame, most: int) -> pd.DataFrame:
 
 
 def disguised(mark: str) -> list[str]:
-    """The mark with a letter that it doesn't hold put in, or a letter doubled, at each place within."""
-    other = next(c for c in "xqzjkw0" if c not in mark or c == "0")
-    return [mark[:k] + c + mark[k:] for k in range(2, len(mark)) for c in (other, mark[k])]
+    """The mark with one or two letters that it doesn't hold put in, at each place within."""
+    one, two = [c for c in "xqzjkw" if c not in mark][:2]
+    start = len(BEGIN) + 1 if mark.startswith(BEGIN) else 1
+    return [mark[:k] + one + mark[k:] for k in range(start, len(mark))] + [mark[:k] + one + mark[k:j] + two + mark[j:] for k in range(start, len(mark)) for j in range(k, len(mark))]
+
+
+def bare(marks: pd.DataFrame, counts: DataFrame) -> list[str]:
+    """Marks without BEGIN where clean units hold next to nothing like the same letters, so that they are found in longer words."""
+    stems = [g.removeprefix(BEGIN) for g in marks["gram"]]
+    table = _table(stems)
 
+    def alike(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in (x for whole in parts for x in _chunks(whole, 500)):
+            near = _against(p["unit"].tolist(), table) >= ALIKE
+            yield pd.DataFrame({"stem": np.arange(len(stems)), "neg": (near * p["neg"].to_numpy()[:, None]).sum(0).astype(np.int64)})
 
-def train_machine(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, cost: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
+    found = counts.where("neg > 0").select("unit", "neg").mapInPandas(alike, "stem int, neg long").groupBy("stem").agg(F.sum("neg").alias("neg")).collect()
+    clean = {r["stem"]: r["neg"] for r in found}  # a row a mark at most
+    return [x if len(x) >= 4 and clean.get(k, 0) <= 0.02 * a else g for k, (g, x, a) in enumerate(zip(marks["gram"], stems, marks["pos"]))]
+
+
+def train_machine(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, cost: float, steps: int = 60) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps; each row counts as pos and as three times neg examples."""
     x = np.hstack([x, np.ones((len(x), 1))])
     y = np.concatenate([np.ones(len(x)), -np.ones(len(x))])
@@ -267,24 +302,34 @@ def train_machine(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, cost: float =
     return new[:-1], float(new[-1])
 
 
+def _gated(pieces: list[str], gate: np.ndarray) -> np.ndarray:
+    """Which pieces may be near a mark; pieces of any length, LETTERS at a time so that what is held stays small."""
+    sizes = np.cumsum([len(p) + LONG for p in pieces]) // 400_000
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(pieces)]
+    return np.concatenate([_against(pieces[a:b], gate) >= GATE for a, b in zip(cuts, cuts[1:])])
+
+
 @dataclass
 class Machine:
-    gate: np.ndarray  # subsequence table of all marks together
+    gate: np.ndarray  # subsequence table: each one's largest weight in a mark, so no piece is nearer to one than this tells
     table: np.ndarray  # of each landmark, a column each
     beta: np.ndarray
     bias: float
-    slope: np.ndarray = field(default_factory=lambda: np.eye(TOP + 1)[0])
-    shift: float = 0.0
+    within: int  # so many landmarks, the first ones, are looked for within words
+    least: float = 0.0  # margin of a unit that is enough alone
+    steep: float = 1.0
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(TOP))
+    shift: float = -20.0
     key: str = ""
     halves: dict[str, int] | None = None
 
     def unit_margins(self, pieces: list[str]) -> np.ndarray:
         """A piece near to no mark has the bias; that is seen from one table, so most pieces never meet the landmarks."""
         out = np.full(len(pieces), self.bias)
-        near = np.flatnonzero(_against(pieces, self.gate) >= GATE) if pieces else []
-        for at in range(0, len(near), 2_000):
-            some = near[at : at + 2_000]
-            out[some] += _against([pieces[k] for k in some], self.table) ** POWER @ self.beta
+        near = np.flatnonzero(_gated(pieces, self.gate)) if pieces else []
+        for at in range(0, len(near), 500):
+            some = near[at : at + 500]
+            out[some] += _against([pieces[k] for k in some], self.table, self.within) ** POWER @ self.beta
         return out
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
@@ -296,25 +341,22 @@ class Machine:
         missing = list(set().union(*found).difference(known)) if found else []
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
-            cut = [_pieces(u) for u in some]
-            values = self.unit_margins([p for c in cut for p in c])
-            starts = np.cumsum([0, *map(len, cut)])[:-1]
-            known.update(zip(some, np.maximum.reduceat(values, starts).tolist()))
+            known.update(zip(some, self.unit_margins([BEGIN + u for u in some]).tolist()))
         none = [self.bias] * TOP
         return np.array([nlargest(TOP, [*map(known.__getitem__, f), *none]) for f in found]).reshape(-1, TOP)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(evidence(self.margins(texts), self.bias) @ self.slope + self.shift, -500, 500)))
+        m = self.margins(texts)
+        return 1 / (1 + np.exp(-np.clip(np.maximum(self.steep * (m[:, 0] - self.least), evidence(m, self.bias) @ self.slope + self.shift), -500, 500)))
 
 
 def evidence(margins: np.ndarray, bias: float) -> np.ndarray:
-    """Columns from 0 for a logistic curve: the largest margin beyond the machine's boundary, and how far each one is from the bias to it."""
-    way = 1 + margins / max(-bias, 0.1)
-    return np.hstack([np.clip(margins[:, :1], 0, 2), np.clip((way - RAMP[0]) / (RAMP[1] - RAMP[0]), 0, 1)])
+    """Columns from 0 to 1 for a logistic curve: how far each margin is from the bias to the machine's boundary."""
+    return np.clip((1 + margins / max(-bias, 0.1) - RAMP[0]) / (RAMP[1] - RAMP[0]), 0, 1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Slopes of a weighted, slightly regularised logistic curve; none is negative, the first is one at least."""
+    """Slopes of a weighted, slightly regularised logistic curve; none is negative."""
     on = np.ones(x.shape[1] + 1, bool)
     a = np.hstack([x, np.ones((len(x), 1))])
     while True:
@@ -329,7 +371,6 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> np
                 break
         low = np.flatnonzero(t[:-1] < 0)
         if not len(low):
-            t[0] = max(1.0, t[0])
             return t[:-1]
         on[low] = False
 
@@ -357,7 +398,7 @@ def labelled_sentences(sample: DataFrame, marks: list[str]) -> DataFrame:
             count = {0: Counter(), 1: Counter()}
             for y, t in zip(p["label"], p["text"]):
                 for x in _SENTENCE.split(t or ""):
-                    found = {q for u in units(x) for q in _pieces(u)}
+                    found = {BEGIN + u for u in units(x)}
                     count[int(y)].update((u for u in found if marked.search(u)) if y else found)
             both = list(count[0].keys() | count[1].keys())
             yield pd.DataFrame({"unit": pd.Series(both, dtype=object), "pos": np.array([count[1][u] for u in both], np.int64), "neg": np.array([count[0][u] for u in both], np.int64)})
@@ -370,7 +411,7 @@ def clean_units(counts: DataFrame, table: np.ndarray) -> pd.DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            near = np.concatenate([_against(part, table).max(1) for part in _chunks(p["unit"].tolist(), 2_000)]) if len(p) else np.zeros(0)
+            near = np.concatenate([_against(part, table).max(1) for part in _chunks(p["unit"].tolist(), 500)]) if len(p) else np.zeros(0)
             yield p.assign(near=near.round(6).astype(float))
 
     rows = counts.where("neg > 0").select("unit", "neg").mapInPandas(run, "unit string, neg long, near double")
@@ -378,6 +419,10 @@ def clean_units(counts: DataFrame, table: np.ndarray) -> pd.DataFrame:
     return pd.concat([h.toPandas() for h in half], ignore_index=True).drop_duplicates("unit")
 
 
+def _symmetric(k: np.ndarray) -> np.ndarray:
+    return (k + k.T) / 2
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Machine | float:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label)."""
     spark = docs.sparkSession
@@ -395,23 +440,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | float:
         return 0.0
     counts = materialise(labelled_sentences(sample, marks["gram"].tolist()), "toxicity-sentences")
     clean = [r["unit"] for r in counts.where("pos = 0 and length(unit) > 3").orderBy(F.desc("neg"), "unit").limit(BACKGROUND).collect()]
-    landmarks = marks["gram"].tolist() + clean
+    chosen_marks = bare(marks, counts)
+    order = sorted(range(len(marks)), key=lambda k: chosen_marks[k].startswith(BEGIN))  # those found within words first
+    marks, chosen_marks = marks.iloc[order].reset_index(drop=True), [chosen_marks[k] for k in order]
+    within = sum(not g.startswith(BEGIN) for g in chosen_marks)
+    landmarks = chosen_marks + clean
     table = _table(landmarks)
-    found = [counts.where("pos > 0").orderBy(F.desc("pos"), "unit").limit(TRAIN_UNITS).toPandas(), clean_units(counts, table)]
+    gate = table[:, : len(marks)].max(1)
+    found = [counts.where("pos > 0").orderBy(F.desc("pos"), "unit").limit(TRAIN_UNITS).toPandas(), clean_units(counts, gate[:, None])]
     # clean documents hold next to none of these: one is enough for a toxic text, disguised or not
-    plain = [g for g, a, b in zip(marks["gram"], marks["pos"], marks["neg"]) if b <= 0.02 * a]
-    forms = [x for g in plain for x in disguised(g)]
-    each = dict(zip(marks["gram"], marks["pos"] / (1 + 2 * marks["gram"].str.len())))
-    extra = pd.DataFrame({"unit": forms, "pos": [each[g] for g in plain for _ in disguised(g)], "neg": 0.0})
+    telling = [k for k, (a, b) in enumerate(zip(marks["pos"], marks["neg"])) if b <= 0.02 * a]
+    plain = [chosen_marks[k] for k in telling]
+    forms = [disguised(g) for g in plain]
+    extra = pd.DataFrame({"unit": [x for f in forms for x in f], "pos": [marks["pos"].iloc[k] / len(f) for k, f in zip(telling, forms) for _ in f], "neg": 0.0})
+    forms = [x for f in forms for x in f]
     examples = pd.concat([*found, extra], ignore_index=True).fillna(0)
-    kernel = np.concatenate([_against(part, table) for part in _chunks(examples["unit"].tolist(), 2_000)])
-    kernel = np.where(kernel[:, : len(marks)].sum(1, keepdims=True) >= GATE, kernel, 0.0) ** POWER
-    value, vector = np.linalg.eigh(_against(landmarks, table).astype(float) ** POWER)
+    kernel = np.concatenate([_against(part, table, within) for part in _chunks(examples["unit"].tolist(), 500)])
+    kernel = np.where(_gated(examples["unit"].tolist(), gate)[:, None], kernel, 0.0) ** POWER
+    value, vector = np.linalg.eigh(_symmetric(_against(landmarks, table, within).astype(float)) ** POWER)
     white = vector / np.sqrt(np.maximum(value, 1e-3))  # Nystrom: the landmarks' kernel to the power -1/2
-    w, bias = train_machine(kernel @ white, examples["pos"].to_numpy(float), examples["neg"].to_numpy(float))
+    w, bias = train_machine(kernel @ white, examples["pos"].to_numpy(float), examples["neg"].to_numpy(float), COST)
     beta = white @ w
     key = hashlib.sha256("\n".join(landmarks).encode() + beta.tobytes()).hexdigest()
-    machine = Machine(table[:, : len(marks)].sum(1), table, beta, bias, key=key, halves=_halves([g.removeprefix(BEGIN) for g in plain]))
+    machine = Machine(gate, table, beta, bias, within, key=key, halves=_halves([g.removeprefix(BEGIN) for g in plain]))
     shared = spark.sparkContext.broadcast(machine)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -419,12 +470,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | float:
             yield pd.DataFrame({"label": p["label"], "margins": list(shared.value.margins(p["text"].tolist()))})
 
     rows = sample.mapInPandas(run, "label int, margins array<double>").toPandas()  # at most 2 * TRAIN_DOCS rows, texts of a repeated id aside
-    alone = machine.margins([x.removeprefix(BEGIN) for x in plain + forms])
+    once = [x for g in plain for x in disguised(g)[: len(g.removeprefix(BEGIN)) - 1]]  # one letter put in
+    alone = machine.margins([x.removeprefix(BEGIN) for x in plain + once])
     y = np.concatenate([rows["label"].to_numpy(), np.ones(len(alone), int)])
-    x = evidence(np.concatenate([np.stack(rows["margins"].to_numpy()), alone]), bias)
+    all_margins = np.concatenate([np.stack(rows["margins"].to_numpy()), alone])
     weight = np.where(y == 1, total[1] / max(1, (y == 1).sum()), total[0] / max(1, (y == 0).sum()))
-    machine.slope = logistic(x, y, weight / weight.mean())
-    machine.shift = -boundary(x @ machine.slope, y, weight)
+    clean_tops = all_margins[y == 0, 0]
+    # one plain insult is enough even where clean texts come near it
+    machine.least = max(0.0, min(float(np.quantile(clean_tops, 1 - SLIPS)), *machine.margins([x.removeprefix(BEGIN) for x in plain])[:, 0].tolist() or [np.inf])) if len(clean_tops) else 0.0
+    rest = all_margins[:, 0] < machine.least  # of these only several units together tell
+    if len(set(y[rest].tolist())) == 2:
+        x = evidence(all_margins[rest], bias)
+        machine.slope = logistic(x, y[rest], weight[rest] / weight[rest].mean())
+        machine.shift = -boundary(x @ machine.slope, y[rest], weight[rest])
+        machine.steep = max(1.0, -machine.shift / (machine.least - bias))  # no unit's margin says more against a text than no evidence does
     return machine
 
 

@@ -11,6 +11,8 @@ from strandspark.llm import toxicity as t
 
 
 def plain_kernel(a, b):
+    """Of whole strings."""
+
     def weights(s):
         out = {}
         for i, j, k in itertools.combinations(range(len(s)), 3):
@@ -20,17 +22,32 @@ def plain_kernel(a, b):
         return out
 
     x, y = weights(a), weights(b)
-    norm = lambda s: t._norms()[sum(c not in ".- " for c in s)]
+    norm = lambda s: t._norms()[max(t.SHORT, sum(c not in ".- " for c in s))]
     return sum(v * y.get(k, 0.0) for k, v in x.items()) / norm(a) / norm(b)
 
 
+def plain_windows(a, b):
+    return max(plain_kernel(a[i : i + n], b) for i in range(max(1, len(a))) for n in range(3, t.LONG + 1))
+
+
 def test_kernel_equals_enumeration():
-    words = ["idiot", "i.d.i.o.t", "xx", "abcabc", "stupidity", "", "id-iot", "^idiot"]
+    words = ["idiot", "i.d.i.o.t", "xx", "abcabc", "stupidity", "", "id-iot", "^idiot", "qqqqidxiotqqqqqqqqqqqqqqabcabcabc"]
     marks = ["idiot", "abc", "upid"]
     got = t._against(words, t._table(marks))
+    both = t._against(words, t._table(marks), 1)
     for i, w in enumerate(words):
         for j, m in enumerate(marks):
-            assert got[i, j] == pytest.approx(plain_kernel(w, m), abs=1e-5)
+            assert got[i, j] == pytest.approx(plain_windows(w, m), abs=1e-5)
+            assert both[i, j] == pytest.approx(plain_kernel(w, m) if j else plain_windows(w, m), abs=1e-5)
+    assert np.allclose(t._against(words[::-1], t._table(marks))[::-1], got)
+
+
+def test_the_gate_bounds_all_marks():
+    rng = random.Random(2)
+    table = t._table(["moron", "scum", "^trash"])
+    words = ["".join(rng.choice("abcdefmornscutrh") for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    assert (t._against(words, table.max(1)) >= t._against(words, table).max(1) - 1e-5).all()
+    assert (t._gated(words, table.max(1)) == (t._against(words, table.max(1)) >= t.GATE)).all()
 
 
 def test_norm_is_that_of_different_letters():
@@ -66,7 +83,7 @@ def test_held_out_documents_and_gapped_insults(spark):
 
 def machine(mark):
     table = t._table([t.BEGIN + mark])
-    return t.Machine(table[:, 0], table, np.array([3.0]), -1.0, key=mark, halves=t._halves([mark]))
+    return t.Machine(table[:, 0], table, np.array([3.0]), -1.0, 1, key=mark, halves=t._halves([mark]))
 
 
 def test_long_units_are_scored_whole():
@@ -113,6 +130,22 @@ def test_held_out_rows_of_the_test_tables(spark):
     for w in marks:
         forms = [w, w.upper() + "!", f"{w[:2]}-{w[2:]}", "-".join(w), " ".join(w), f"{w[:2]} {w[2:]}", f"you {w[:3]}.{w[3:]}"]
         assert (m.scores(forms) >= 0.5).all(), w
+    rng, letters = random.Random(0), "abcdefghijklmnopqrstuvwxyz"
+
+    def put_in(w, n):
+        for _ in range(n):
+            k = rng.randint(1, len(w) - 1)
+            w = w[:k] + rng.choice(letters) + w[k:]
+        return w
+
+    def glued(w):
+        n = rng.randint(1, 30 - len(w))
+        k = rng.randint(0, n)
+        return "".join(rng.choices(letters, k=k)) + w + "".join(rng.choices(letters, k=n - k))
+
+    share = lambda f: np.mean([m.scores([f"The thation of {f(w)} is in the other."])[0] >= 0.5 for w in marks for _ in range(20)])
+    one, two, within = share(lambda w: put_in(w, 1)), share(lambda w: put_in(w, 2)), share(glued)
+    assert one >= 0.7 and two >= 0.35 and within >= 0.85, (one, two, within)
 
 
 def test_edges(spark):
