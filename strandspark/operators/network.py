@@ -1,8 +1,8 @@
 """Network layers on one read's (blocks, features) array, composed by a model's list of layers.
 
 Reads are independent: a model runs as one Arrow stage over read-per-row batches with broadcast
-weights. Affine maps of all blocks are one product each; only the recurrences loop. Relational
-versions of the stateless layers, for data that is in long form, stand below.
+weights. Affine maps of all blocks are one product each; only the recurrences loop. The stateless
+layers alone, over tables of blocks, stand below.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandspark.operators import chain
+from strandspark.functions.arrays import softmax as softmax_of
 from strandspark.session import ship
 
 
@@ -227,32 +228,41 @@ def transitions(reads: DataFrame, network: str, weights: list[dict[str, np.ndarr
     return reads.select("read_id", F.col("signal").cast("array<double>").alias("signal")).mapInArrow(run, f"read_id {kind}, blk long, w array<double>")
 
 
-# relational layers over long-form features (read_id, blk, feature, value) and matrices (feature, unit, weight)
+# layers over blocks' features (read_id, blk, w): arrays stay arrays, weights travel with the code, nothing is shuffled
 
 
-def affine_long(x: DataFrame, w: DataFrame, bias: DataFrame | None = None, activation=None) -> DataFrame:
-    """(read_id, blk, unit, value): a join on the shared index and a sum; ``bias`` is (unit, bias)."""
-    out = x.join(w, "feature").groupBy("read_id", "blk", "unit").agg(F.sum(F.col("value") * F.col("weight")).alias("value"))
-    if bias is not None:
-        out = out.join(bias, "unit").withColumn("value", F.col("value") + F.col("bias")).drop("bias")
-    return out.withColumn("value", activation(F.col("value"))) if activation else out
+def affine_blocks(blocks: DataFrame, weights: np.ndarray, bias: np.ndarray | None = None, activation: str = "none") -> DataFrame:
+    """(read_id, blk, w): features times ``weights`` (features, units), one product a batch of blocks; a block of nulls or of another width is null."""
+    ship(blocks.sparkSession)
+    m, c, act = np.asarray(weights, float), 0.0 if bias is None else np.asarray(bias, float), ACTIVATIONS[activation]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(2)
+            fit = np.array(rows.value_lengths().fill_null(-1)) == len(m)
+            some = rows.filter(pa.array(fit))
+            x = np.asarray(some.flatten(), float).reshape(len(some), len(m))
+            y = act(x @ m + c)
+            offsets = np.concatenate([[0], np.cumsum(np.where(fit, m.shape[1], 0))]).astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()), mask=pa.array(~fit))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], names=["read_id", "blk", "w"])
+
+    kinds = {n: blocks.schema[n].dataType.simpleString() for n in ("read_id", "blk")}
+    return blocks.select("read_id", "blk", F.col("w").cast("array<double>").alias("w")).mapInArrow(run, f"read_id {kinds['read_id']}, blk {kinds['blk']}, w array<double>")
+
+
+def softmax_blocks(blocks: DataFrame, weights: np.ndarray, bias: np.ndarray, temp_weight: float = 1.0, temp_bias: float = 1.0) -> DataFrame:
+    """(read_id, blk, w): shares of a block's units; the temperatures divide weights and biases."""
+    z = affine_blocks(blocks, np.asarray(weights, float) / temp_weight, np.asarray(bias, float) / temp_bias)
+    return z.withColumn("w", softmax_of(F.col("w")))
 
-def softmax_long(x: DataFrame, w: DataFrame, bias: DataFrame, temp_weight: float = 1.0, temp_bias: float = 1.0) -> DataFrame:
-    """(read_id, blk, unit, value): shares of a block's units; the temperatures divide weights and biases."""
-    scaled = x.withColumn("value", F.col("value") * (temp_bias / temp_weight))
-    block = Window.partitionBy("read_id", "blk")
-    z = affine_long(scaled, w, bias).withColumn("value", F.col("value") / temp_bias)
-    e = z.withColumn("value", F.exp(F.col("value") - F.max("value").over(block)))
-    return e.withColumn("value", F.col("value") / F.sum("value").over(block))
+
+def add_layers(blocks: DataFrame, other: DataFrame) -> DataFrame:
+    """Residual connection of two layers of the same blocks."""
+    o = other.withColumnRenamed("w", "other")
+    return blocks.join(o, ["read_id", "blk"]).select("read_id", "blk", F.zip_with("w", "other", lambda x, y: x + y).alias("w"))
 
 
 def gather_columns(index: DataFrame, table: DataFrame) -> DataFrame:
     """Rows (..., key) with the table's vector for ``key``: an embedding."""
     return index.join(table, "key")
-
-
-def add_long(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Residual connection of two layers with the same rows."""
-    keys = ["read_id", "blk", "unit"]
-    return a.join(b.withColumnRenamed("value", "other"), keys).select(*keys, (F.col("value") + F.col("other")).alias("value"))

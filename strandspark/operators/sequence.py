@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +117,23 @@ def _compressed(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"letters": pd.Series(letters, dtype=object), "lengths": pd.Series(lengths, dtype=object)})
 
 
+def compress_texts(sequences: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, letters, lengths) of texts, the lengths joined by commas: one Arrow pass, in which nothing but the two texts is made."""
+    kind = sequences.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            letters, lengths = [], []
+            for t in b.column(1).to_pylist():
+                code = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+                first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+                letters.append(None if t is None else code[first].tobytes().decode("utf-32-le", "surrogatepass"))
+                lengths.append(None if t is None else ",".join(map(str, np.diff(np.concatenate([first, [len(code)]])).tolist())))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(letters, pa.string()), pa.array(lengths, pa.string())], names=[key, "letters", "lengths"])
+
+    return sequences.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, letters string, lengths string")
+
+
 def argmax_path(blocks: DataFrame) -> DataFrame:
     """(read_id, pos, state, score) of each block's largest weight; the last state is blank (-1)."""
     best = F.array_max("w")

@@ -1,16 +1,19 @@
 """Signal operators over long form: one row a sample, (read_id, idx, value).
 
 Order statistics come from exact ``percentile`` aggregates. Per-read results are far fewer than
-samples and join back on ``read_id``, the key by which windows are dealt out as well, so a plan needs
-one shuffle of the samples; Catalyst broadcasts the per-read side where it is small.
+samples and join back on ``read_id``, the key by which windows are dealt out as well; Catalyst broadcasts
+the per-read side where it is small. Trimming needs a read's chunks in order, so it gathers reads into rows first.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandspark.session import ship
+
 #: Makes the median absolute deviation consistent with the normal standard deviation.
 MAD_SCALE = 1.4826
 
@@ -52,21 +55,24 @@ def chunk_mads(signal: DataFrame, chunk: int) -> DataFrame:
 
 
 def trim_bounds(signal: DataFrame, chunk: int = 100, percent: float = 0.0, head: int = 0, tail: int = 0) -> DataFrame:
-    """(read_id, n, start, end, error): the live part after quiet chunks and fixed ends are cut; error says why none is left."""
-    mads = chunk_mads(signal, chunk)
-    threshold = mads.groupBy("read_id").agg(F.percentile("mad", F.lit(percent)).alias("threshold"))
-    loud = mads.join(threshold, "read_id").where(F.col("mad") > F.col("threshold"))
-    kept = loud.groupBy("read_id").agg((F.min("chunk") * chunk).alias("first"), ((F.max("chunk") + 1) * chunk).alias("last"))
-    sizes = signal.groupBy("read_id").agg(F.count("*").alias("n"))
-    start, end = F.coalesce("first", F.lit(0)), F.coalesce("last", F.lit(0))
-    bounds = sizes.join(kept, "read_id", "left").select(
-        "read_id",
-        "n",
-        F.when(F.col("n") - start > head, start + head).otherwise(F.col("n")).cast("long").alias("start"),
-        F.greatest(end - tail, F.lit(0)).cast("long").alias("end"),
-    )
-    why = F.when(F.col("n") < chunk, "too_short").when(F.col("start") >= F.col("end"), "trimmed_away")
-    return bounds.withColumn("error", why)
+    """(read_id, n, start, end, error): the live part after quiet chunks and fixed ends are cut; error says why none is left.
+
+    One shuffle gathers reads, one Arrow pass over them does the rest.
+    """
+    ship(signal.sparkSession)
+    kind = signal.schema["read_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for samples in b.column(1):
+                x = np.array(samples.values.to_pylist() if samples.values is not None else [], float)
+                start, end = live_bounds(x, chunk, percent, head, tail)
+                found.append((len(x), start, end, "too_short" if len(x) < chunk else "trimmed_away" if start >= end else None))
+            n, start, end, error = zip(*found) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(error, pa.string())], names=["read_id", "n", "start", "end", "error"])
+
+    return to_reads(signal).select("read_id", F.col("signal").cast("array<double>").alias("signal")).mapInArrow(run, f"read_id {kind}, n long, start long, end long, error string")
 
 
 def trim(signal: DataFrame, chunk: int = 100, percent: float = 0.0, head: int = 200, tail: int = 10) -> DataFrame:
@@ -139,14 +145,20 @@ def _mad(x: np.ndarray) -> tuple[float, float]:
     return median, MAD_SCALE * float(np.nanmedian(np.abs(x - median)))
 
 
+def live_bounds(x: np.ndarray, chunk: int, percent: float, head: int, tail: int) -> tuple[int, int]:
+    """Start and end of what is between the first and the last chunk whose MAD is above the quantile of all, without the ends."""
+    n = len(x)
+    mads = np.array([_mad(part)[1] for k in range(0, n - chunk + 1, chunk) if not np.isnan(part := x[k : k + chunk]).all()])
+    at = np.array([k for k in range(0, n - chunk + 1, chunk) if not np.isnan(x[k : k + chunk]).all()], int)
+    loud = at[mads > np.quantile(mads, percent)] if len(mads) else at
+    first, last = (int(loud[0]), int(loud[-1]) + chunk) if len(loud) else (0, 0)
+    return first + head if n - first > head else n, max(last - tail, 0)
+
+
 def live_part(x: np.ndarray, chunk: int, percent: float, head: int, tail: int) -> tuple[int, int]:
     """Start and end as ``trim_bounds`` has them; equal where no part is live."""
-    n = len(x)
-    mads = np.array([_mad(x[k : k + chunk])[1] for k in range(0, n - chunk + 1, chunk)])
-    loud = np.flatnonzero(mads > np.quantile(mads, percent)) if len(mads) else []
-    first, last = (int(loud[0]) * chunk, (int(loud[-1]) + 1) * chunk) if len(loud) else (0, 0)
-    start, end = first + head if n - first > head else n, max(last - tail, 0)
-    return (start, end) if n >= chunk and start < end else (0, 0)
+    start, end = live_bounds(x, chunk, percent, head, tail)
+    return (start, end) if len(x) >= chunk and start < end else (0, 0)
 
 
 def normalised(x: np.ndarray) -> np.ndarray:

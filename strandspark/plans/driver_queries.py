@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -178,22 +179,22 @@ def read_arrays(spark, d):
 
 # ---------------------------------------------------------------- blocks
 
-_B = block_sql()
+_B = block_sql(64)
 
 
 @register(f"SELECT read_id, blk, (list_position(w, list_max(w)) - 1)::INT AS at_max, (list_position(w, list_min(w)) - 1)::INT AS at_min, {rs('list_max(w)')} AS largest, {rs('list_min(w)')} AS smallest FROM {_B}")
 def block_extrema(spark, d):
-    return v_block(spark, d).select("read_id", "blk", arrays.arg_max(F.col("w")).alias("at_max"), arrays.arg_min(F.col("w")).alias("at_min"), r(F.array_max("w")).alias("largest"), r(F.array_min("w")).alias("smallest"))
+    return v_block(spark, d, 64).select("read_id", "blk", arrays.arg_max(F.col("w")).alias("at_max"), arrays.arg_min(F.col("w")).alias("at_min"), r(F.array_max("w")).alias("largest"), r(F.array_min("w")).alias("smallest"))
 
 
 @register(f"SELECT read_id, blk AS pos, CASE WHEN i = len(w) - 1 THEN -1 ELSE i END AS state, {rs('m')} AS score FROM (SELECT *, list_max(w) AS m, (list_position(w, list_max(w)) - 1)::INT AS i FROM {_B})")
 def argmax_decoder(spark, d):
-    return sequence.argmax_path(v_block(spark, d)).select("read_id", "pos", "state", r(F.col("score")).alias("score"))
+    return sequence.argmax_path(v_block(spark, d, 64)).select("read_id", "pos", "state", r(F.col("score")).alias("score"))
 
 
 @register(f"SELECT read_id, (row - 1)::INT AS row, arg_max(blk, x) AS blk FROM (SELECT read_id, blk, unnest(w) AS x, generate_subscripts(w, 1) AS row FROM {_B}) GROUP BY ALL")
 def column_argmax(spark, d):
-    rows = v_block(spark, d).select("read_id", "blk", F.posexplode("w").alias("row", "x"))
+    rows = v_block(spark, d, 64).select("read_id", "blk", F.posexplode("w").alias("row", "x"))
     return rows.groupBy("read_id", "row").agg(F.max_by("blk", "x").alias("blk"))
 
 
@@ -232,7 +233,7 @@ def residual(spark, d):
 
 @register(f"SELECT read_id, blk, len(list_filter(w, lambda v: abs(v) > 0.5)) = 0 AS valid, len(list_filter(list_zip(w, list_transform(w, lambda v: v * 1.0001)), lambda p: abs(p[1] - p[2]) > 0.00003)) = 0 AS near FROM {_B}")
 def validate_blocks(spark, d):
-    return v_block(spark, d).select("read_id", "blk", arrays.is_valid(F.col("w"), -0.5, 0.5).alias("valid"), arrays.nearly_equal(F.col("w"), F.transform("w", lambda v: v * 1.0001), 0.00003).alias("near"))
+    return v_block(spark, d, 64).select("read_id", "blk", arrays.is_valid(F.col("w"), -0.5, 0.5).alias("valid"), arrays.nearly_equal(F.col("w"), F.transform("w", lambda v: v * 1.0001), 0.00003).alias("near"))
 
 
 @register(_each_sql("list_transform(list_zip(w, coalesce(v, list_transform(w, lambda y: y + 0.5))), lambda p: p[2] - p[1])", f"(SELECT *, lead(w) OVER (PARTITION BY read_id ORDER BY blk) AS v FROM {_W})"))
@@ -245,17 +246,17 @@ _AFFINE = f"""WITH x AS (SELECT read_id, blk, unnest(w) AS value, unnest(range(6
     m AS (SELECT f.range AS feature, u.range AS unit, ((f.range * 3 + u.range * 5) % 7 - 3) / 4.0 AS weight FROM range(64) f, range(4) u)"""
 
 
-def _affine_tables(spark, d):
-    x = v_block(spark, d, 64).select("read_id", "blk", F.posexplode("w").alias("feature", "value"))
-    m = spark.range(256).select((F.col("id") / 4).cast("int").alias("feature"), (F.col("id") % 4).cast("int").alias("unit"))
-    m = m.withColumn("weight", ((F.col("feature") * 3 + F.col("unit") * 5) % 7 - 3) / 4.0)
-    bias = spark.range(4).select(F.col("id").cast("int").alias("unit"), (F.col("id") / 8).alias("bias"))
-    return x, m, bias
+_FEATURE, _UNIT = np.meshgrid(np.arange(64), np.arange(4), indexing="ij")
+_M, _OTHER, _BIAS = ((_FEATURE * 3 + _UNIT * 5) % 7 - 3) / 4.0, ((_FEATURE + _UNIT) % 5 - 2) / 8.0, np.arange(4) / 8.0
+
+
+def _units(layer: DataFrame) -> DataFrame:
+    return layer.select("read_id", "blk", F.posexplode("w").alias("unit", "value")).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
 
 
 @register(f"{_AFFINE} SELECT read_id, blk, unit::INT AS unit, {rs('sum(value * weight) + unit / 8.0')} AS value FROM x JOIN m USING (feature) GROUP BY read_id, blk, unit")
 def affine(spark, d):
-    return network.affine_long(*_affine_tables(spark, d)).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
+    return _units(network.affine_blocks(v_block(spark, d, 64), _M, _BIAS))
 
 
 @register(
@@ -264,16 +265,15 @@ def affine(spark, d):
     FROM (SELECT read_id, blk, unit, sum(value * weight) AS value FROM x JOIN m USING (feature) GROUP BY ALL) a JOIN y USING (read_id, blk, unit)"""
 )
 def feedforward2_tanh(spark, d):
-    x, m, bias = _affine_tables(spark, d)
-    squares = x.withColumn("value", F.col("value") * F.col("value"))
-    other = m.withColumn("weight", ((F.col("feature") + F.col("unit")) % 5 - 2) / 8.0)
-    both = network.add_long(network.affine_long(x, m, bias), network.affine_long(squares, other))
-    return both.select("read_id", "blk", "unit", r(F.tanh("value")).alias("value"))
+    x = v_block(spark, d, 64)
+    # both layers in one product: the features, and their squares behind them
+    both = x.withColumn("w", F.concat("w", F.transform("w", lambda v: v * v)))
+    return _units(network.affine_blocks(both, np.concatenate([_M, _OTHER]), _BIAS, "tanh"))
 
 
 @register(f"{_AFFINE} SELECT read_id, blk, unit::INT AS unit, {rs('tanh(sum(value * weight) + unit / 8.0)')} AS value FROM x JOIN m USING (feature) GROUP BY read_id, blk, unit")
 def feedforward_tanh(spark, d):
-    return network.affine_long(*_affine_tables(spark, d), F.tanh).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
+    return _units(network.affine_blocks(v_block(spark, d, 64), _M, _BIAS, "tanh"))
 
 
 _SOFT = f"""{_AFFINE}, z AS (SELECT read_id, blk, unit, (sum(value / 1.5 * 2 * weight) + unit / 8.0) / 2 AS value FROM x JOIN m USING (feature) GROUP BY read_id, blk, unit)
@@ -282,19 +282,20 @@ _SOFT = f"""{_AFFINE}, z AS (SELECT read_id, blk, unit, (sum(value / 1.5 * 2 * w
 
 @register(_SOFT)
 def softmax_with_temperature(spark, d):
-    return network.softmax_long(*_affine_tables(spark, d), 1.5, 2.0).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
+    return _units(network.softmax_blocks(v_block(spark, d, 64), _M, _BIAS, 1.5, 2.0))
 
 
 @register(f"{_AFFINE} SELECT read_id, blk, unit::INT AS unit, {rs('exp(sum(value * weight) + unit / 8.0)')} AS value FROM x JOIN m USING (feature) GROUP BY read_id, blk, unit")
 def feedforward_exp(spark, d):
-    return network.affine_long(*_affine_tables(spark, d), F.exp).select("read_id", "blk", "unit", r(F.col("value")).alias("value"))
+    return _units(network.affine_blocks(v_block(spark, d, 64), _M, _BIAS, "exp"))
 
 
-@register(f"SELECT p.read_id, p.pos, {rs('b.w[1]')} AS x0, {rs('b.w[2]')} AS x1 FROM {PATH} p JOIN (SELECT * FROM {_B} WHERE blk = 0) b ON p.state = b.read_id")
+@register(f"SELECT p.read_id, p.pos, (row - 1)::INT AS row, {rs('x')} AS x FROM {PATH} p JOIN (SELECT read_id, unnest(w) AS x, generate_subscripts(w, 1) AS row FROM {_B} WHERE blk = 0) b ON p.state = b.read_id")
 def embedding_gather(spark, d):
-    columns = v_block(spark, d).where("blk = 0").select(F.col("read_id").alias("key"), "w")
+    """Each state's vector, the first of the read of its number, in the place of the state."""
+    columns = v_block(spark, d, 64).where("blk = 0").select(F.col("read_id").alias("key"), "w")
     found = network.gather_columns(v_path(spark, d).select("read_id", "pos", F.col("state").alias("key")), columns)
-    return found.select("read_id", "pos", r(F.col("w")[0]).alias("x0"), r(F.col("w")[1]).alias("x1"))
+    return found.select("read_id", "pos", F.posexplode("w").alias("row", "x")).select("read_id", "pos", "row", r(F.col("x")).alias("x"))
 
 
 @register(f"SELECT read_id, {rs('max(x)')} AS largest, {rs('min(x)')} AS smallest, arg_max(blk * 64 + row - 1, (x, -blk, -row)) AS at_max, arg_min(blk * 64 + row - 1, (x, blk, row)) AS at_min FROM (SELECT read_id, blk, unnest(w) AS x, generate_subscripts(w, 1) AS row FROM {_W}) GROUP BY read_id")
@@ -429,10 +430,11 @@ def phred_scores(spark, d):
     return _scaled(spark, d).where("p >= 0").select("read_id", "idx", r(quality.q_score(F.col("p"))).alias("q"), quality.phred(F.col("p")).alias("c"))
 
 
-@register("SELECT n::BIGINT AS n, round((sqrt(1 + 2 * n) - 1) / 2)::INT AS n_base, (n // 4)::INT AS n_base_runs FROM (VALUES (12), (24), (40), (60), (16)) t(n)")
+@register("SELECT event_id, n, round((sqrt(1 + 2 * n) - 1) / 2)::INT AS n_base, (n // 4)::INT AS n_base_runs FROM (SELECT event_id, 4 * (1 + event_id % 30) AS n FROM events)")
 def bases_of_weights(spark, d):
-    rows = spark.createDataFrame([(n,) for n in (12, 24, 40, 60, 16)], "n long")
-    return rows.select("n", quality.n_base_of_weights(F.col("n")).alias("n_base"), quality.n_base_of_runs(F.col("n")).alias("n_base_runs"))
+    """How many bases a block of so many weights is for, widths taken from the events' numbers."""
+    rows = table(spark, d, "events").select("event_id", (4 * (1 + F.col("event_id") % 30)).alias("n"))
+    return rows.select("event_id", "n", quality.n_base_of_weights(F.col("n")).alias("n_base"), quality.n_base_of_runs(F.col("n")).alias("n_base_runs"))
 
 
 # ---------------------------------------------------------------- paths and sequences
@@ -506,9 +508,7 @@ def run_unit_length(spark, d):
     SELECT doc_id, string_agg(c, '' ORDER BY i) AS letters, string_agg(n::VARCHAR, ',' ORDER BY i) AS lengths FROM u GROUP BY doc_id"""
 )
 def rle_compress(spark, d):
-    letters, lengths = sequence.compress(F.col("text"))
-    rows = views.v_seq(spark, d).where(F.length("text") > 0)
-    return rows.select("doc_id", letters.alias("letters"), F.array_join(F.transform(lengths, lambda n: n.cast("string")), ",").alias("lengths"))
+    return sequence.compress_texts(views.v_seq(spark, d).where(F.length("text") > 0), "doc_id", "text")
 
 
 @register("SELECT doc_id, reverse(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS reversed FROM documents")
@@ -651,10 +651,14 @@ _HEAD = """printf('%s  { "filename" : "%s", "uuid" : "%s", "normalised_score" :
     read_id, filename, read_id, -score / nblock, nblock, sequence_length, nblock / sequence_length, nsample, 0, nsample)"""
 
 
-@register("SELECT * FROM (VALUES ('fasta', true), ('FASTA', false), ('fastq', true), ('sam', true), ('bam', false)) t(name, known)")
+_NAMES = ("fasta", "FASTA", "fastq", "sam", "bam")
+
+
+@register(f"SELECT event_id, ['{"', '".join(_NAMES)}'][event_id % {len(_NAMES)} + 1] AS name, event_id % {len(_NAMES)} IN (0, 2, 3) AS known FROM events")
 def output_formats(spark, d):
-    names = spark.createDataFrame([(n,) for n in ("fasta", "FASTA", "fastq", "sam", "bam")], "name string")
-    return names.withColumn("known", F.col("name").isin(*text_format.OUTPUT_FORMATS))
+    """Which names of formats are known, a name for each event."""
+    names = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % len(_NAMES)).cast("int") + 1)
+    return table(spark, d, "events").select("event_id", names.alias("name")).withColumn("known", F.col("name").isin(*text_format.OUTPUT_FORMATS))
 
 
 def _calls(spark, d):

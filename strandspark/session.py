@@ -44,14 +44,17 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    Where that is unset it is a temporary one if Spark runs in this process alone, else one in the warehouse.
+    Where that is unset it is a temporary one if Spark runs in this process alone, and an error on a cluster, whose
+    executors would not find a folder of the driver's own.
     """
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             local = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
-            base = "file://" + tempfile.mkdtemp(prefix="strandspark-checkpoint-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+            if not local:
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="strandspark-checkpoint-")
             spark.sparkContext.setCheckpointDir(base)
         _scratch[app] = f"{base.rstrip('/')}/strandspark-{app}"
         atexit.register(drop, spark, _scratch[app])

@@ -136,3 +136,19 @@ def test_softmax_layer():
     assert np.allclose(network.softmax(x, w, b), e / e.sum(1, keepdims=True))
     assert np.allclose(network.softmax(x, w, b, 2.0, 3.0).sum(1), 1)
     assert signal.MAD_SCALE == 1.4826
+
+
+def test_layers_over_tables_of_blocks(spark):
+    rng = np.random.default_rng(3)
+    m, bias = rng.normal(size=(3, 2)), rng.normal(size=2)
+    rows = [("a", k, rng.normal(size=3).tolist()) for k in range(20)] + [("b", 0, None), ("b", 1, [1.0])]
+    blocks = spark.createDataFrame(rows, "read_id string, blk long, w array<double>")
+    got = {(r["read_id"], r["blk"]): r["w"] for r in network.affine_blocks(blocks, m, bias, "tanh").collect()}
+    assert got["b", 0] is None and got["b", 1] is None and len(got) == 22
+    for read, k, w in rows[:20]:
+        assert got[read, k] == pytest.approx(np.tanh(np.array(w) @ m + bias))
+    shares = network.softmax_blocks(blocks.where("read_id = 'a'"), m, bias, 2.0, 1.0).first()["w"]
+    assert sum(shares) == pytest.approx(1) and min(shares) > 0
+    both = network.add_layers(network.affine_blocks(blocks, m), network.affine_blocks(blocks, m)).where("read_id = 'a' and blk = 0").first()["w"]
+    assert both == pytest.approx(2 * (np.array(rows[0][2]) @ m))
+    assert network.affine_blocks(blocks.limit(0), m).collect() == []
