@@ -93,10 +93,30 @@ def _worker(spec: str, table: dict[str, int]):
 
         special = [t["content"] for t in json.loads(spec).get("added_tokens", [])]
         rules = [pretoken_patterns(NARROW), pretoken_patterns()]
-        _state[key] = (Tokenizer.from_str(spec), dict(table), special, rules, re.compile(f"[^\\u0000-\\U{NARROW - 1:08x}{NARROW_ALSO}]"))
+        tokenizer = Tokenizer.from_str(spec)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        _state[key] = (tokenizer, dict(table), special, rules, re.compile(f"[^\\u0000-\\U{NARROW - 1:08x}{NARROW_ALSO}]"))
     return _state[key]
 
 
+#: The parts of a tokenizer's file that the pre-token rule here stands for.
+OWN_RULE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def cut_as_here(spec: str) -> bool:
+    """Whether the file normalizes nothing and cuts pre-tokens by the rule that ``pretoken_patterns`` writes out; of another file whole texts are encoded."""
+    d = json.loads(spec)
+    rule = d.get("pre_tokenizer") or {}
+    return d.get("normalizer") is None and {k: rule.get(k, k == "use_regex") for k in OWN_RULE} == OWN_RULE and not d["model"].get("dropout")
+
+
+def count_whole(texts: list[str | None], spec: str) -> list[int]:
+    """By the tokenizer alone, text by text."""
+    tok = _worker(spec, {})[0]
+    return [len(tok.encode(t, add_special_tokens=False)) if t else 0 for t in texts]
+
+
 def count_texts(texts: list[str | None], spec: str, table: dict[str, int]) -> list[int]:
     tok, known, special, rules, wide = _worker(spec, table)
     whole, cut = [], []
@@ -132,7 +152,11 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     ship(spark)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = f.read()
-    table = vocabulary_lengths(Tokenizer.from_str(spec))
+    own = cut_as_here(spec)
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    table = vocabulary_lengths(tokenizer) if own else {}
     if len(spec) > TOKENIZER_BYTES or len(table) > TABLE_ENTRIES:
         raise ValueError("the tokenizer is larger than what may be broadcast")
     shared = spark.sparkContext.broadcast((spec, table))
@@ -141,7 +165,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                counts = count_texts(part.column(1).to_pylist(), *shared.value)
+                texts = part.column(1).to_pylist()
+                counts = count_texts(texts, *shared.value) if own else count_whole(texts, shared.value[0])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -64,3 +64,18 @@ def test_other_scripts_are_cut_by_rule(spark):
     assert tokens.count_texts(texts, spec, table) == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
     rule, unsettled = tokens.pretoken_patterns()
     assert not unsettled.search(alphabet) and unsettled.search("\u0870")
+
+
+def test_files_with_other_rules_are_counted_by_the_tokenizer(spark, tmp_path):
+    import json
+
+    spec = json.load(open(FILE, encoding="utf-8"))
+    for change in ({"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"truncation": {"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}}):
+        place = tmp_path / "other.json"
+        place.write_text(json.dumps(spec | change), encoding="utf-8")
+        other = Tokenizer.from_file(str(place))
+        other.no_truncation()
+        rows = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(docs_table(spark, TEXTS), str(place)).collect()}
+        for k, t in enumerate(TEXTS):
+            want = len(other.encode(t, add_special_tokens=False)) if t else 0
+            assert rows[k] == want, (change, t)
