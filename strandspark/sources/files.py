@@ -4,8 +4,9 @@ Listing and matching are Spark's (``binaryFile``), so any store that Spark reads
 folders is itself a job. Contents are read only where they are parsed: files up to ``large`` bytes come as rows
 with their content, many to a task; larger ones go through a column that holds no content and are opened by the
 task that parses them, one to a task. ``parse`` gets a file's name and a binary file object and yields rows; what
-it raises becomes a row with the file's name and an ``error``, so a bad file doesn't end a job. Spark doesn't list files
-without bytes.
+it raises becomes a row with the file's name and an ``error``, so a bad file doesn't end a job. Spark's scans pass over files
+without bytes; their names, which its listing has, are rows with an error as well. A pattern that nothing matches gives
+a warning and no rows, a path that isn't there an error.
 
 Large files are opened by ``pyarrow.fs`` (local paths, ``file``, ``hdfs``, ``s3``, ``gs`` and ``abfss``; ``s3a`` is
 read as ``s3``); for other schemes ``large`` is to stay above all sizes.
@@ -14,8 +15,10 @@ read as ``s3``); for other schemes ``large`` is to stay above all sizes.
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,14 +59,22 @@ def read_files(spark: SparkSession, path: str | list[str], parse: Callable[[str,
     With a ``limit`` above 0 only the first so many files by path are opened, whether they can be parsed or not.
     """
     ship(spark)
-    if limit > 0:  # as many names as the caller asks for reach the driver
-        path, pattern = [r["path"] for r in list_files(spark, path, pattern, below).orderBy("path").limit(limit).collect()], None
+    if limit > 0:  # names, as many as Spark's own listing holds on the driver
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", below)
+        listed = (listed.option("pathGlobFilter", pattern) if pattern else listed).load(path)
+        path, pattern = sorted(listed.inputFiles())[:limit], None
         if not path:
             return spark.createDataFrame([], out_schema(schema))
     fields, out = T.StructType.fromDDL(schema).fields, out_schema(schema)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", below)
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    files = reader.load(path)
+    try:
+        files = reader.load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND" or not any("*" in p for p in ([path] if isinstance(path, str) else path)):
+            raise
+        warnings.warn(f"no files match {path}", stacklevel=2)
+        return spark.createDataFrame([], out)
 
     def rows(names: list[str], opened: Callable[[int], object]) -> Iterator:
         import pandas as pd
@@ -95,4 +106,9 @@ def read_files(spark: SparkSession, path: str | list[str], parse: Callable[[str,
 
     few = files.where(F.col("length") <= large).select("path", "content").mapInPandas(small, out)
     big = files.where(F.col("length") > large).select("path").repartition("path").mapInPandas(whole, out)
-    return few.unionByName(big)
+    # as many names as Spark's own listing holds on the driver
+    named = spark.createDataFrame([(n,) for n in files.inputFiles()], "path string")
+    full = files.select(F.col("path").alias("full"))
+    same = F.regexp_replace("path", "^[a-z0-9]+:/+", "/") == F.regexp_replace("full", "^[a-z0-9]+:/+", "/")
+    empty = named.join(full, same, "left_anti").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], "path", F.element_at(F.split("path", "/"), -1).alias("filename"), F.lit("EOFError: the file is empty").alias("error"))
+    return few.unionByName(big).unionByName(empty)

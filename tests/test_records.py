@@ -118,7 +118,8 @@ def test_files_small_large_and_bad(spark, tmp_path):
         yield len(data), data[:1].decode() or None
 
     found = files.read_files(spark, f"file://{tmp_path}", parse, "n long, first string", "*.dat", large=25)
-    got = sorted((r["filename"], r["n"], r["first"], r["error"]) for r in found.collect())
+    got = sorted(((r["filename"], r["n"], r["first"], r["error"]) for r in found.collect()), key=str)
+    assert got.pop(0) == ("f0.dat", None, None, "EOFError: the file is empty")
     assert got == [(f"f{k}.dat", *((None, None, "ValueError: not a file of ours") if k == 3 else (10 * k, "x" if k else None, None))) for k in range(1, 6)]
     assert [r["length"] for r in files.list_files(spark, str(tmp_path), "*.dat").orderBy("path").collect()] == [10, 20, 3, 40, 50]
     assert files.list_files(spark, str(tmp_path), "*.dat", below=True).count() == 6
