@@ -36,6 +36,8 @@ from strandspark.session import drop, ship, write_scratch
 
 #: Tokens of a block, n-grams of an exchange bucket, bits of a word's hash and those of a longer n-gram's beyond the corpus's.
 BLOCK, BUCKET, BITS, SPARE = 1_200_000, 3_000_000, 60, 12
+#: Partitions of an exchange at most.
+MOST_PARTITIONS = 100_000
 END, START = 0, 1
 TRAIN, TUNE = 1, 2
 
@@ -174,6 +176,11 @@ def ask(blocks: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
     return blocks.select("block", "ids", "hashes", "lengths", "parts").mapInArrow(run, "order int, bucket long, block long, n long, keys binary, train binary, tune binary")
 
 
+def partitions(groups: int, df: DataFrame) -> int:
+    """As many as there are groups, so that a task's share doesn't grow with the corpus; within what a shuffle can have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, MOST_PARTITIONS))
+
+
 def answer(asked: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
     """For each row asked, the corpus counts in the same order; one more row a bucket (block null) has its totals."""
     schema = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("train", pa.binary()), ("tune", pa.binary()), ("totals", pa.list_(pa.int64()))])
@@ -194,7 +201,8 @@ def answer(asked: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
         out.append((order, bucket, None, 0, None, None, [int(train.sum()), int((train > 0).sum()), int(kept.sum()), int((kept > 0).sum())]))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    return asked.groupBy("order", "bucket").applyInArrow(run, "order int, bucket long, block long, n long, train binary, tune binary, totals array<long>")
+    dealt = asked.repartition(partitions(len(bits) * buckets, asked), "order", "bucket")
+    return dealt.groupBy("order", "bucket").applyInArrow(run, "order int, bucket long, block long, n long, train binary, tune binary, totals array<long>")
 
 
 def context_bucket(counts: list[np.ndarray]) -> np.ndarray:
@@ -258,7 +266,7 @@ class Mixture:
         return sum((w[:, k + 1] * p for k, p in enumerate(parts)), w[:, 0] * base)
 
 
-def _annotate(blocks: DataFrame, answers: DataFrame, bits: dict[int, int], n_kept: int, kept: tuple[int, int], kind: str) -> DataFrame:
+def _annotate(blocks: DataFrame, answers: DataFrame, bits: dict[int, int], n_kept: int, kept: tuple[int, int], kind: str, n_blocks: int) -> DataFrame:
     """Each block's counts by position, and the cells of its held-out tokens."""
     order = len(bits)
 
@@ -282,7 +290,8 @@ def _annotate(blocks: DataFrame, answers: DataFrame, bits: dict[int, int], n_kep
         columns = [r["doc_ids"], r["lengths"], r["parts"], [pack(c) for c in train], cells.tolist(), times.tolist()]
         return pa.table([pa.array([c], t) for c, t in zip(columns, [left.schema.field("doc_ids").type, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64())])], names=["doc_ids", "lengths", "parts", "counts", "cells", "times"])
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_ids array<{kind}>, lengths array<int>, parts array<int>, counts array<binary>, cells array<long>, times array<long>")
+    n = partitions(n_blocks, blocks)
+    return blocks.repartition(n, "block").groupBy("block").cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(run, f"doc_ids array<{kind}>, lengths array<int>, parts array<int>, counts array<binary>, cells array<long>, times array<long>")
 
 
 def _slices(lengths: np.ndarray, size: int = 100_000) -> Iterator[tuple[int, int]]:
@@ -321,7 +330,7 @@ def score(docs: DataFrame, learn: Column, held_out: Column, tune: Column, id_col
     answers = spark.read.parquet(answered)
     totals = answers.where("block is null and order = 1").select(*[F.sum(F.col("totals")[k]) for k in range(4)]).first()
     n, v, kept_n, kept_v = (int(x or 0) for x in totals)
-    annotated = write_scratch(_annotate(blocks, answers.where("block is not null"), bits, n_train - n_tune, (kept_n, kept_v), kind), "lm-annotated")
+    annotated = write_scratch(_annotate(blocks, answers.where("block is not null"), bits, n_train - n_tune, (kept_n, kept_v), kind, n_tokens // BLOCK + 1), "lm-annotated")
     drop(spark, encoded)
     drop(spark, answered)
     found = spark.read.schema(f"doc_ids array<{kind}>, lengths array<int>, parts array<int>, counts array<binary>, cells array<long>, times array<long>").parquet(annotated)
