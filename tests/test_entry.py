@@ -19,7 +19,7 @@ def test_entry_has_rows(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["chunk_mad_trim", "medmad_normalise", "emit_bases_phred", "run_emission", "flip_flop_path", "run_length_partition", "fastq_records", "affine", "rle_compress"])
+@pytest.mark.parametrize("name", ["chunk_mad_trim", "medmad_normalise", "emit_bases_phred", "run_emission", "flip_flop_path", "run_length_partition", "fastq_records", "affine", "rle_compress", "long_read_path", "run_samples", "asof_changes", "sketch_quantiles", "exact_sums", "session_windows", "streamed_partitions", "written_runs", "parsed_files", "expanded_runs"])
 def test_queries_equal_their_sql(spark, name):
     from strandspark.plans import driver_queries as q
 
