@@ -186,7 +186,7 @@ def answer(asked: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
     schema = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("train", pa.binary()), ("tune", pa.binary()), ("totals", pa.list_(pa.int64()))])
 
     def run(key, table):
-        order, bucket = (k.as_py() for k in key)
+        _, order, bucket = (k.as_py() for k in key)
         low = np.uint64((bucket << bits[order]) // buckets)
         rows = list(_rows(table.select(["block", "n", "keys", "train", "tune"])))
         keys = np.concatenate([np.cumsum(unsqueeze(r["keys"], r["n"])) + low for r in rows])
@@ -201,8 +201,11 @@ def answer(asked: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
         out.append((order, bucket, None, 0, None, None, [int(train.sum()), int((train > 0).sum()), int(kept.sum()), int((kept > 0).sum())]))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-    dealt = asked.repartition(partitions(len(bits) * buckets, asked), "order", "bucket")
-    return dealt.groupBy("order", "bucket").applyInArrow(run, "order int, bucket long, block long, n long, train binary, tune binary, totals array<long>")
+    # placed by number and not by hash: as many groups in each partition
+    n = partitions(len(bits) * buckets, asked)
+    slot = F.pmod((F.col("order") - 1) * F.lit(buckets) + F.col("bucket"), F.lit(n)).cast("int")
+    dealt = asked.withColumn("slot", slot).repartitionById(n, F.col("slot"))
+    return dealt.groupBy("slot", "order", "bucket").applyInArrow(run, "order int, bucket long, block long, n long, train binary, tune binary, totals array<long>")
 
 
 def context_bucket(counts: list[np.ndarray]) -> np.ndarray:
