@@ -281,7 +281,7 @@ def written_fastq(spark, d):
     """FASTQ records written under a commit, found by Spark's listing and parsed file by file."""
     records.register(spark)
     place = session.scratch_path(spark, "fastq")
-    made = text_format.format_calls(_calls(spark, d), "fastq").select("record").repartition(4, F.xxhash64("record"))
+    made = text_format.format_calls(_calls(spark, d), "fastq").select("record").repartition(F.xxhash64("record"))
     made.write.format("strand_records").option("ending", "fastq").option("exclusive", "true").mode("append").save(place)
     return files.read_files(spark, place, _fastq_parts, "read_id string, record string", "*.fastq", large=1 << 14).where("error is null").select("read_id", "record")
 
@@ -292,7 +292,7 @@ def _run_folder(spark, d) -> str:
     place = session.scratch_path(spark, "runs")
     made = text_format.run_records(v_run(spark, d))
     for part in (F.col("read_id") < "5", F.col("read_id") >= "5"):
-        made.where(part).select("record").repartition(2, "record").write.format("strand_records").option("ending", "run").mode("append").save(place)
+        made.where(part).select("record").write.format("strand_records").option("ending", "run").mode("append").save(place)
     return place
 
 

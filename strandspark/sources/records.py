@@ -7,7 +7,8 @@ readers see files that a manifest lists and no others, so nothing of it is ever
 has a manifest is an error; else jobs append, and ``mode("overwrite")`` drops earlier manifests and files once its own is written.
 
 ``spark.read.format("strand_runs")`` reads run records: a record begins at a line that starts with ``#`` and belongs
-to the byte range in which it begins, so a file of any size is read in ranges of ``split_bytes``. ``spark.readStream``
+to the byte range in which it begins, so a file of any size is read in ranges of ``split_bytes``. Where these would be
+more than ``RANGES`` tasks they get longer, up to 64 MB, and each range reads little beyond its own bytes. ``spark.readStream``
 takes the same files, and files without manifest that still grow: an offset is a number of bytes for each file, up
 to the last line that begins a record (with ``closed``: to the end), so a record that is being written is not cut.
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 RUNS = "read_id string, run_idx int, base string, shape double, scale double, dwell int"
-SPLIT_BYTES = 64 << 20
+SPLIT_BYTES, RANGES = 64 << 20, 256
 
 
 def file_system(uri: str):
@@ -159,9 +160,13 @@ def records_in(f, start: int, stop: int, size: int, block: int = 1 << 20) -> Ite
     if first is None:
         return
     f.seek(first)
-    at, rest, name, lines = first, b"", None, []
+    at, rest, name, lines, beyond = first, b"", None, [], 2048
     while True:
-        data = f.read(min(block, size - at))
+        if at < stop:
+            data = f.read(min(block, stop - at))
+        else:  # the end of the last record, likely a short way
+            beyond = min(block, 2 * beyond)
+            data = f.read(min(beyond, size - at))
         pieces = (rest + data).split(b"\n")
         begun = at - len(rest)
         at += len(data)
@@ -207,13 +212,19 @@ def _batches(path: str, start: int, stop: int) -> Iterator[pa.RecordBatch]:
             yield out()
 
 
+def ranges(spans: list[tuple[str, int, int]], split: int) -> list[Range]:
+    """Ranges of (path, start, stop): ``split`` bytes each, and more, up to SPLIT_BYTES, where that makes too many."""
+    total = sum(stop - start for _, start, stop in spans)
+    step = max(split, min(SPLIT_BYTES, total // RANGES))
+    return [Range(p, k, min(k + step, stop)) for p, start, stop in spans for k in range(start, stop, step)]
+
+
 class RunReader(DataSourceReader):
     def __init__(self, options: dict):
         self.uri, self.split = options["path"], int(options.get("split_bytes", SPLIT_BYTES))
 
     def partitions(self) -> list[Range]:
-        sizes = sorted(committed(self.uri).items())
-        return [Range(p, k, min(k + self.split, n)) for p, n in sizes for k in range(0, n, self.split)] or [Range("", 0, 0)]
+        return ranges([(p, 0, n) for p, n in sorted(committed(self.uri).items())], self.split) or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition.path:

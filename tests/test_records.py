@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandspark.plans import scale_queries
 from strandspark.sources import files, records, text
 
 
@@ -38,6 +39,43 @@ def test_every_record_is_in_one_range(block):
         assert records.last_start(f, n, block) == (starts[-1] if starts else 0)
 
 
+class Counting(io.BytesIO):
+    got = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.got += len(data)
+        return data
+
+
+def test_a_short_range_reads_little_beyond_itself():
+    content = run_text(random.Random(2), map(str, range(20_000)))
+    f, n = Counting(content.encode()), len(content)
+    got = [x for k in range(0, n, 4096) for name, lines in records.records_in(f, k, min(k + 4096, n), n) for x in records.run_rows(name, lines)]
+    assert sorted(got) == rows_of(content) and n > 1 << 20 and f.got < 4 * n
+
+
+def test_short_ranges_of_much_data_get_longer(tmp_path):
+    content = run_text(random.Random(4), map(str, range(9000)))
+    (tmp_path / "a.run").write_text(content)
+    (tmp_path / "b.run").write_text(content[:5000])
+    for found in (records.RunReader({"path": str(tmp_path), "split_bytes": "16"}).partitions(),):
+        assert records.RANGES <= len(found) <= records.RANGES + 2
+        for name, size in (("a.run", len(content)), ("b.run", 5000)):
+            own = [x for x in found if x.path.endswith(name)]
+            assert [x.start for x in own] == [0, *(x.stop for x in own[:-1])] and own[-1].stop == size
+    assert max(x.stop - x.start for x in records.ranges([("x", 0, 1 << 36)], 4096)) == records.SPLIT_BYTES
+
+
+def test_records_are_written_by_as_many_tasks_as_there_are_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        place = scale_queries._run_folder(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(records.manifests(place)) == 2 and all(len(m["files"]) > 2 for m in records.manifests(place))
+
+
 def written(spark, place, rows, mode="append", **options):
     df = spark.createDataFrame(rows, "record string, k int").repartition(3, "k")
     df.write.format("strand_records").options(**options).mode(mode).save(place)
