@@ -263,11 +263,7 @@ class RunStreamReader(DataSourceStreamReader):
         return {"files": ends}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        out = []
-        for path, stop in sorted(end["files"].items()):
-            first = start["files"].get(path, 0)
-            out += [Range(path, k, min(k + self.split, stop)) for k in range(first, stop, self.split)]
-        return out
+        return ranges([(p, start["files"].get(p, 0), stop) for p, stop in sorted(end["files"].items())], self.split)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         yield from _batches(partition.path, partition.start, partition.stop)

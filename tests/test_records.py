@@ -59,7 +59,8 @@ def test_short_ranges_of_much_data_get_longer(tmp_path):
     content = run_text(random.Random(4), map(str, range(9000)))
     (tmp_path / "a.run").write_text(content)
     (tmp_path / "b.run").write_text(content[:5000])
-    for found in (records.RunReader({"path": str(tmp_path), "split_bytes": "16"}).partitions(),):
+    stream = records.RunStreamReader({"path": str(tmp_path), "split_bytes": "16", "closed": "true"})
+    for found in (records.RunReader({"path": str(tmp_path), "split_bytes": "16"}).partitions(), stream.partitions(stream.initialOffset(), stream.latestOffset())):
         assert records.RANGES <= len(found) <= records.RANGES + 2
         for name, size in (("a.run", len(content)), ("b.run", 5000)):
             own = [x for x in found if x.path.endswith(name)]
