@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,35 +20,36 @@ from pyspark.sql import functions as F
 
 from strandspark.session import ship
 
-BITS = 24
+BITS, _PARTS = 24, 5
 
 
-def _parts(x: Column) -> Column:
-    """(bin, units) of a finite double: whole multiples of 2**(BITS * bin), the larger ones first."""
+def _parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with _top and _u0 to _u4: _x is the sum of _uk whole multiples of 2**(BITS * (_top - k)); null for zero and what isn't finite."""
+    usable = ~F.isnan("_x") & (F.abs("_x") != F.lit(math.inf)) & (F.col("_x") != 0)
     # one bin above the logarithm's, which may be a little off, down to where 53 bits end
-    top = F.floor(F.log2(F.abs(x)) / BITS).cast("int") + 1
-    start = F.struct(x.alias("rest"), F.array().cast("array<struct<bin:int,units:bigint>>").alias("parts"))
-
-    def cut(acc: Column, k: Column) -> Column:
-        at = top - k
+    rows = rows.withColumn("_top", F.when(usable, F.floor(F.log2(F.abs("_x")) / BITS).cast("int") + 1))
+    rows = rows.withColumn("_rest", F.when(usable, F.col("_x")))
+    for k in range(_PARTS):
         # powers of two are exact; beyond the largest double nothing is that large, and none is finer than the smallest
-        unit = F.pow(F.lit(2.0), F.greatest(at * BITS, F.lit(-1074)).cast("double"))
-        units = (acc["rest"] / unit).cast("bigint")
-        part = F.struct(at.alias("bin"), units.alias("units"))
-        none = units == 0
-        return F.struct(F.when(none, acc["rest"]).otherwise(acc["rest"] - units * unit).alias("rest"), F.when(none, acc["parts"]).otherwise(F.concat(acc["parts"], F.array(part))).alias("parts"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(4)), start, cut)["parts"]
+        rows = rows.withColumn("_unit", F.pow(F.lit(2.0), F.greatest((F.col("_top") - k) * BITS, F.lit(-1074)).cast("double")))
+        rows = rows.withColumn(f"_u{k}", (F.col("_rest") / F.col("_unit")).cast("bigint"))
+        rows = rows.withColumn("_rest", F.when(F.col(f"_u{k}") == 0, F.col("_rest")).otherwise(F.col("_rest") - F.col(f"_u{k}") * F.col("_unit")))
+    return rows
 
 
 def partial_sums(rows: DataFrame, by: list[str], value: str | Column) -> DataFrame:
-    """(by, bin, units, special, n): mergeable sums of ``value``; n counts values, in one row of each group."""
+    """(by, bin, units, special, n): mergeable sums of ``value``; n counts values, in one row of each group.
+
+    Values of one magnitude have the same bins, so their parts are added side by side and become rows only then.
+    """
     x = (F.col(value) if isinstance(value, str) else value).cast("double")
-    held = rows.select(*by, x.alias("_x")).where("_x is not null")
-    finite = ~F.isnan("_x") & (F.abs("_x") != F.lit(math.inf))
-    own = F.array(F.struct(F.lit(None).cast("int").alias("bin"), F.lit(0).cast("bigint").alias("units"), F.when(~finite, F.col("_x")).alias("special"), F.lit(1).cast("bigint").alias("n")))
-    parts = F.when(finite & (F.col("_x") != 0), F.transform(_parts(F.col("_x")), lambda p: F.struct(p["bin"].alias("bin"), p["units"].alias("units"), F.lit(None).cast("double").alias("special"), F.lit(0).cast("bigint").alias("n"))))
-    return merge_sums(held.select(*by, F.inline(F.concat(own, F.coalesce(parts, F.array().cast("array<struct<bin:int,units:bigint,special:double,n:bigint>>"))))), by)
+    held = _parts(rows.select(*by, x.alias("_x")).where("_x is not null"))
+    special = F.when(F.isnan("_x") | (F.abs("_x") == F.lit(math.inf)), F.col("_x"))
+    added = held.groupBy(*by, "_top").agg(F.count("*").alias("_n"), F.sum(special).alias("_special"), *[F.sum(f"_u{k}").alias(f"_u{k}") for k in range(_PARTS)])
+    row = lambda at, units, special, n: F.struct(at.cast("int").alias("bin"), units.cast("bigint").alias("units"), special.cast("double").alias("special"), n.cast("bigint").alias("n"))
+    own = row(F.lit(None), F.lit(0), F.col("_special"), F.col("_n"))
+    parts = [row(F.col("_top") - k, F.col(f"_u{k}"), F.lit(None), F.lit(0)) for k in range(_PARTS)]
+    return merge_sums(added.select(*by, F.inline(F.array(own, *parts))).where("units <> 0 or n > 0"), by)
 
 
 def merge_sums(partial: DataFrame, by: list[str]) -> DataFrame:
@@ -59,9 +59,11 @@ def merge_sums(partial: DataFrame, by: list[str]) -> DataFrame:
 
 def whole_sum(bins: list[int], units: list[int]) -> float:
     """The double nearest to the sum of ``units`` in ``bins``."""
-    exact = sum((Fraction(u) * Fraction(2) ** max(b * BITS, -1074) for b, u in zip(bins, units)), Fraction(0))
-    try:
-        return float(exact)
+    places = [max(b * BITS, -1074) for b in bins]
+    low = min(places, default=0)
+    exact = sum(u << p - low for p, u in zip(places, units))
+    try:  # a quotient of whole numbers is rounded once
+        return float(exact << low) if low >= 0 else exact / (1 << -low)
     except OverflowError:
         return math.inf if exact > 0 else -math.inf
 

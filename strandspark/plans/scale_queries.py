@@ -172,9 +172,9 @@ def sketch_mad(spark, d):
 
 @register(f"SELECT read_id, round(fsum(value), 9) + 0.0 AS total, count(*) AS n, true AS same FROM {SIGNAL} GROUP BY read_id")
 def exact_sums(spark, d):
-    """Sums of reads, the same to the last bit however the samples are dealt out."""
+    """Sums of reads, the same to the last bit however the samples are dealt out: as they come, and each read's over all partitions."""
     samples = v_signal(spark, d)
-    one, other = (sums.exact_sums(samples.repartition(k, "idx"), ["read_id"], "value") for k in (1, 13))
+    one, other = (sums.exact_sums(dealt, ["read_id"], "value") for dealt in (samples, samples.repartition("idx", "read_id")))
     other = other.select("read_id", F.col("total").alias("again"))
     return one.join(other, "read_id").select("read_id", r(F.col("total"), 9).alias("total"), "n", (F.col("total") == F.col("again")).alias("same"))
 

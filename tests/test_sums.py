@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandspark.operators import sketches, sums
+from strandspark.plans import scale_queries
 
 
 def bits(x):
@@ -47,6 +48,20 @@ def test_specials_merging_and_nothing(spark):
     assert sums.exact_sums(df.limit(0), ["g"], "v").collect() == []
 
 
+def test_values_are_added_before_their_parts_become_rows(spark):
+    df = spark.createDataFrame([("a", 0.1), ("a", 2.0), ("b", 0.0), ("b", -1e-300)], "g string, v double")
+    partial = sums.partial_sums(df, ["g"], "v")
+    below = partial._jdf.queryExecution().optimizedPlan().toString().split("Generate")
+    assert len(below) == 2 and "Aggregate" in below[1]
+    rows = [r.asDict() for r in partial.collect()]
+    assert {r["g"]: r["n"] for r in rows if r["bin"] is None} == {"a": 2, "b": 2} and all(r["n"] == 0 and r["units"] != 0 for r in rows if r["bin"] is not None)
+
+
+def test_no_dealing_of_the_query_is_of_a_fixed_number_of_tasks(spark):
+    plan = scale_queries.exact_sums(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
+
+
 def test_studentise_is_the_same_under_any_partitioning(spark):
     rng = random.Random(7)
     rows = [(f"r{k % 5}", k, rng.gauss(1e6, 1.0)) for k in range(2000)] + [("flat", 0, 3.0), ("flat", 1, 3.0)]
