@@ -770,8 +770,9 @@ def streamed_reads(spark, d):
     samples = F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda p: p["value"])
     chunks = rows.groupBy("read_id", "seq").agg(samples.alias("values")).withColumn("last", F.col("seq") == F.max("seq").over(Window.partitionBy("read_id")))
     source, place = session.scratch_path(spark, "chunks"), session.scratch_path(spark, "streamed")
-    chunks.select("read_id", "seq", "last", "values").repartition(3, F.xxhash64("read_id", "seq")).write.parquet(source)
-    stream = spark.readStream.schema("read_id string, seq int, last boolean, values array<double>").option("maxFilesPerTrigger", 1).parquet(source)
+    third = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)  # as many files as partitions, in three batches
+    chunks.select("read_id", "seq", "last", "values").repartition(3 * third, F.xxhash64("read_id", "seq")).write.parquet(source)
+    stream = spark.readStream.schema("read_id string, seq int, last boolean, values array<double>").option("maxFilesPerTrigger", third).parquet(source)
     query = assemble_reads(stream).writeStream.format("parquet").option("path", place).option("checkpointLocation", f"{place}-state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.schema("read_id string, signal array<double>, complete boolean").parquet(place)

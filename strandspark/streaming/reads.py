@@ -3,7 +3,7 @@
 Chunks (read_id, seq, last, values) come in any order and are put together into reads; blocks (read_id, blk, last, w)
 come in any order and are folded forward as far as they have come, so that of a read only the log sums of its states
 and what waits behind a gap is held. A batch appends its rows to a list and never rewrites those that are there; a read's list is read
-back when as many rows as its last one says have come. State is dropped with the read, or ``ttl_ms`` after a list's last
+back when as many rows as its last one says have come, and rows that make a read whole are not written at all. State is dropped with the read, or ``ttl_ms`` after a list's last
 change where that is given.
 
 Defined results: a repeated chunk or block counts once, the first to come; a read whose last row never comes stays in
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strandspark.operators.chain import Topology, _lse
@@ -31,6 +31,10 @@ def state_in_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
+def _joined(found: dict[int, list[float]]) -> list[float]:
+    return [v for k in sorted(found) for v in found[k]]
+
+
 class ReadAssembler(StatefulProcessor):
     """One read's chunks: a list of them, and how many there are."""
 
@@ -48,40 +52,69 @@ class ReadAssembler(StatefulProcessor):
             found.setdefault(int(seq), list(samples))
         return found
 
-    def _out(self, key: tuple, found: dict[int, list[float]], complete: bool) -> pd.DataFrame:
+    def _drop(self) -> None:
         self.chunks.clear()
         self.seen.clear()
         for at in list(self.handle.listTimers()) if self.wait_ms is not None else []:
             self.handle.deleteTimer(at)
-        return pd.DataFrame({"read_id": [key[0]], "signal": [[v for k in sorted(found) for v in found[k]]], "complete": [complete]})
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _take(self, came: list[tuple], timerValues) -> list[float] | None:
+        """The read's samples, if it is whole with the chunks (seq, last, values) that came; else they are held."""
         held, last = self.seen.get() if self.seen.exists() else (0, -1)
-        for p in rows:
-            self.chunks.appendList([(int(s), [float(v) for v in x] if x is not None else []) for s, x in zip(p["seq"], p["values"])])
-            held += len(p)
-            last = max([last, *(int(s) for s, end in zip(p["seq"], p["last"]) if end)])
-        if last >= 0 and held > last:  # enough rows, if none came twice
-            found = self._whole()
+        new = [(int(s), [float(v) for v in x] if x is not None else []) for s, _, x in came]
+        last = max([last, *(int(s) for s, end, _ in came if end)])
+        n = held + len(new)
+        if last >= 0 and n > last:  # enough rows, if none came twice
+            found = self._whole() if held else {}
+            for s, samples in new:
+                found.setdefault(s, samples)
             if all(k in found for k in range(last + 1)):
-                yield self._out(key, found, True)
-                return
+                if held:
+                    self._drop()
+                return _joined(found)
             self.chunks.put(list(found.items()))
-            held = len(found)
-        self.seen.update((held, last))
+            n = len(found)
+        else:
+            self.chunks.appendList(new)
+        self.seen.update((n, last))
         if self.wait_ms is not None:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+        return None
+
+    def _expire(self) -> list[float] | None:
+        if not self.seen.exists():
+            return None
+        samples = _joined(self._whole())
+        self._drop()
+        return samples
+
+    def _out(self, key: tuple, samples: list[float] | None, complete: bool) -> list:
+        return [pd.DataFrame({"read_id": [key[0]], "signal": [samples], "complete": [complete]})] if samples is not None else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = [c for p in rows for c in zip(p["seq"], p["last"], p["values"])]
+        yield from self._out(key, self._take(came, timerValues), True)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists():
-            yield self._out(key, self._whole(), False)
+        yield from self._out(key, self._expire(), False)
 
     def close(self) -> None:
         pass
 
 
+class RowAssembler(ReadAssembler):
+    """The same over rows: a read has few chunks in a batch, and a frame for each read costs more than they do."""
+
+    def _out(self, key: tuple, samples: list[float] | None, complete: bool) -> list:
+        return [Row(read_id=key[0], signal=samples, complete=complete)] if samples is not None else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = [(p["seq"], p["last"], p["values"]) for p in rows]
+        yield from self._out(key, self._take(came, timerValues), True)
+
+
 def assemble_reads(chunks: DataFrame, wait_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
     """(read_id, signal, complete) of streamed chunks (read_id, seq, last, values).
 
@@ -91,7 +124,7 @@ def assemble_reads(chunks: DataFrame, wait_ms: int | None = None, ttl_ms: int |
     ship(chunks.sparkSession)
     state_in_rocksdb(chunks.sparkSession)
     mode = "None" if wait_ms is None and ttl_ms is None else "ProcessingTime"
-    return chunks.groupBy("read_id").transformWithStateInPandas(ReadAssembler(wait_ms, ttl_ms), ASSEMBLED, "append", mode)
+    return chunks.groupBy("read_id").transformWithState(RowAssembler(wait_ms, ttl_ms), ASSEMBLED, "append", mode)
 
 
 class ForwardFold(StatefulProcessor):

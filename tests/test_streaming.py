@@ -2,9 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from strandspark import session
 from strandspark.operators import chain
+from strandspark.plans import driver_queries
 from strandspark.streaming import reads, windows
 
 CHUNKS = "read_id string, seq int, last boolean, values array<double>"
@@ -140,6 +143,37 @@ def test_chunks_are_appended_and_never_written_again():
     assert out[0]["signal"][0] == [float(k) for k in range(201)] and state.put_rows == 0
 
 
+def test_chunks_that_make_a_read_whole_are_not_written():
+    for kind, rows in ((reads.ReadAssembler, lambda *x: [frame(*x)]), (reads.RowAssembler, lambda *x: [Row(seq=s, last=e, values=v) for s, e, v in x])):
+        state, work, appended = Values(), kind(), []
+        work.init(state)
+        work.chunks.appendList, append = lambda x: (appended.extend(x), append(x)), work.chunks.appendList
+        out = list(work.handleInputRows(("r",), iter(rows((1, True, [2.0]), (0, False, [1.0]))), Clock(0)))
+        assert len(out) == 1 and not appended and not state.values
+        assert list(work.handleInputRows(("r",), iter(rows((1, True, [2.0]))), Clock(0))) == [] and len(appended) == 1
+        out = list(work.handleInputRows(("r",), iter(rows((0, False, [1.0]), (1, True, [9.0]))), Clock(0)))
+        assert len(out) == 1 and len(appended) == 1 and not state.values and not any(state.lists.values())
+        assert list(out[0]["signal"] if kind is reads.RowAssembler else out[0]["signal"][0]) == [1.0, 2.0]
+
+
+def test_an_unfinished_read_goes_out_as_a_row():
+    state, work = Values(), reads.RowAssembler(wait_ms=50)
+    work.init(state)
+    assert list(work.handleInputRows(("r",), iter([Row(seq=1, last=True, values=None)]), Clock(100))) == [] and state.timers == [150]
+    assert list(work.handleExpiredTimer(("r",), Clock(150), None)) == [Row(read_id="r", signal=[], complete=False)] and not state.values
+    assert list(work.handleExpiredTimer(("r",), Clock(150), None)) == []
+
+
+def test_the_files_of_the_stream_follow_the_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_path", lambda spark, label: str(tmp_path / label))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        found = driver_queries.streamed_reads(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found and len(list((tmp_path / "chunks").glob("*.parquet"))) == 9 and len([p for p in (tmp_path / "streamed-state" / "commits").iterdir() if p.name.isdigit()]) == 3
+
+
 def test_partitions_are_folded_over_batches(spark, tmp_path):
     t = chain.flip_flop(2)
     rng = np.random.default_rng(4)
