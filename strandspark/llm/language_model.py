@@ -38,6 +38,8 @@ from strandspark.session import drop, ship, write_scratch
 BLOCK, BUCKET, BITS, SPARE = 1_200_000, 3_000_000, 60, 12
 #: Partitions of an exchange at most.
 MOST_PARTITIONS = 100_000
+#: Shares of the blocks that get their counts back one after another.
+SHARES = 4
 END, START = 0, 1
 TRAIN, TUNE = 1, 2
 
@@ -153,25 +155,24 @@ def widths(order: int, n_tokens: int) -> dict[int, int]:
     return {k: BITS if k == 1 else min(BITS, n_tokens.bit_length() + SPARE) for k in range(1, order + 1)}
 
 
-def ask(blocks: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
-    """A row for each block, order and bucket: the n-grams' hashes and their counts in the block."""
+def ask(blocks: DataFrame, order: int, width: int, buckets: int) -> DataFrame:
+    """A row for each block and bucket: the hashes of the block's n-grams of one order and their counts in it."""
     schema = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("train", pa.binary()), ("tune", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = {n: np.array([(k << n) // buckets for k in range(buckets)] + [1 << n], np.uint64) for n in set(bits.values())}
+        edges = np.array([(k << width) // buckets for k in range(buckets)] + [1 << width], np.uint64)
         for batch in batches:
             for r in _rows(batch):
                 block = Block(r["ids"], r["hashes"], r["lengths"], r["parts"])
-                for order, width in bits.items():
-                    keys, place = block.grams(order, width)
-                    train, tune = (block.counts(place, len(keys), p) for p in (TRAIN, TUNE))
-                    cut = np.searchsorted(keys, edges[width])
-                    out = []
-                    for k in np.flatnonzero(np.diff(cut)):
-                        s = slice(cut[k], cut[k + 1])
-                        gaps = np.diff(keys[s], prepend=edges[width][k])
-                        out.append((order, int(k), r["block"], len(gaps), squeeze(gaps), pack(train[s]), pack(tune[s])))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+                keys, place = block.grams(order, width)
+                train, tune = (block.counts(place, len(keys), p) for p in (TRAIN, TUNE))
+                cut = np.searchsorted(keys, edges)
+                out = []
+                for k in np.flatnonzero(np.diff(cut)):
+                    s = slice(cut[k], cut[k + 1])
+                    gaps = np.diff(keys[s], prepend=edges[k])
+                    out.append((order, int(k), r["block"], len(gaps), squeeze(gaps), pack(train[s]), pack(tune[s])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return blocks.select("block", "ids", "hashes", "lengths", "parts").mapInArrow(run, "order int, bucket long, block long, n long, keys binary, train binary, tune binary")
 
@@ -181,13 +182,13 @@ def partitions(groups: int, df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, MOST_PARTITIONS))
 
 
-def answer(asked: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
+def answer(asked: DataFrame, width: int, buckets: int) -> DataFrame:
     """For each row asked, the corpus counts in the same order; one more row a bucket (block null) has its totals."""
     schema = pa.schema([("order", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("train", pa.binary()), ("tune", pa.binary()), ("totals", pa.list_(pa.int64()))])
 
     def run(key, table):
         _, order, bucket = (k.as_py() for k in key)
-        low = np.uint64((bucket << bits[order]) // buckets)
+        low = np.uint64((bucket << width) // buckets)
         rows = list(_rows(table.select(["block", "n", "keys", "train", "tune"])))
         keys = np.concatenate([np.cumsum(unsqueeze(r["keys"], r["n"])) + low for r in rows])
         _, place = np.unique(keys, return_inverse=True)
@@ -202,9 +203,8 @@ def answer(asked: DataFrame, bits: dict[int, int], buckets: int) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     # placed by number and not by hash: as many groups in each partition
-    n = partitions(len(bits) * buckets, asked)
-    slot = F.pmod((F.col("order") - 1) * F.lit(buckets) + F.col("bucket"), F.lit(n)).cast("int")
-    dealt = asked.withColumn("slot", slot).repartitionById(n, F.col("slot"))
+    n = partitions(buckets, asked)
+    dealt = asked.withColumn("slot", F.pmod("bucket", F.lit(n)).cast("int")).repartitionById(n, F.col("slot"))
     return dealt.groupBy("slot", "order", "bucket").applyInArrow(run, "order int, bucket long, block long, n long, train binary, tune binary, totals array<long>")
 
 
@@ -329,14 +329,19 @@ def score(docs: DataFrame, learn: Column, held_out: Column, tune: Column, id_col
     n_tokens, n_train, n_tune = (x or 0 for x in size)
     buckets = max(1, -(-n_tokens // BUCKET))
     bits = widths(order, n_tokens)
-    answered = write_scratch(answer(ask(blocks, bits, buckets), bits, buckets), "lm-counts")
-    answers = spark.read.parquet(answered)
-    totals = answers.where("block is null and order = 1").select(*[F.sum(F.col("totals")[k]) for k in range(4)]).first()
+    # an order's exchange is gone before the next one's, and so is that of a share of the blocks
+    answered = [write_scratch(answer(ask(blocks, k, width, buckets), width, buckets), "lm-counts") for k, width in bits.items()]
+    totals = spark.read.parquet(answered[0]).where("block is null").select(*[F.sum(F.col("totals")[k]) for k in range(4)]).first()
     n, v, kept_n, kept_v = (int(x or 0) for x in totals)
-    annotated = write_scratch(_annotate(blocks, answers.where("block is not null"), bits, n_train - n_tune, (kept_n, kept_v), kind, n_tokens // BLOCK + 1), "lm-annotated")
-    drop(spark, encoded)
-    drop(spark, answered)
-    found = spark.read.schema(f"doc_ids array<{kind}>, lengths array<int>, parts array<int>, counts array<binary>, cells array<long>, times array<long>").parquet(annotated)
+    answers = spark.read.parquet(*answered).where("block is not null")
+    n_blocks = n_tokens // BLOCK + 1
+    shares = min(SHARES, 1 + n_blocks // 8)
+    # a block's number is its task's in the upper half and counts up from 0 below
+    of_share = lambda df, k: df.where(F.pmod(F.shiftright("block", 32) + F.col("block"), F.lit(shares)) == k)
+    annotated = [write_scratch(_annotate(of_share(blocks, k), of_share(answers, k), bits, n_train - n_tune, (kept_n, kept_v), kind, n_blocks // shares + 1), "lm-annotated") for k in range(shares)]
+    for path in (encoded, *answered):
+        drop(spark, path)
+    found = spark.read.schema(f"doc_ids array<{kind}>, lengths array<int>, parts array<int>, counts array<binary>, cells array<long>, times array<long>").parquet(*annotated)
     # the number of cells is bounded by context buckets and half octaves, not by the corpus
     cells = found.select(F.explode(F.arrays_zip("cells", "times")).alias("c")).groupBy("c.cells").agg(F.sum("c.times").alias("n")).collect()
     mixture = Mixture(order, {r["cells"]: r["n"] for r in cells}, kept_n, kept_v)

@@ -17,6 +17,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 _scratch: dict[str, str] = {}
 
@@ -76,9 +79,20 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def write_scratch(df: DataFrame, label: str) -> str:
-    """Write ``df`` once to the shared folder and return the place."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    """Write ``df`` once to the shared folder and return the place.
+
+    Its shuffle files go as soon as it is written; else they stay until the driver happens to collect its garbage.
+    """
+    conf, path = df.sparkSession.conf, scratch_path(df.sparkSession, label)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
     return path
 
 

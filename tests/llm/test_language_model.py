@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -135,3 +136,39 @@ def test_edges(spark):
     long = docs_table(spark, ["x" * 200_000, "a b " * 60_000, "a b"])
     rows = {r["doc_id"]: r for r in lm.score(long, F.col("doc_id") >= 0, F.col("doc_id") < 0, F.col("doc_id") == 2).collect()}
     assert rows[0]["n_tokens"] == 2 and rows[1]["n_tokens"] == 120_001 and all(math.isfinite(r["score"]) for r in rows.values())
+
+
+def _shuffled(spark):
+    """Bytes of each shuffle file that the session holds."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().endswith(".data")}
+
+
+def test_no_exchange_outlasts_what_is_written_from_it(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 200)
+    monkeypatch.setattr(lm, "BUCKET", 3_000)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    earlier, before, written, left = _shuffled(spark), spark.conf.get(setting, None), [], []
+
+    def watched(df, label, write=lm.write_scratch):
+        path = write(df, label)
+        for _ in range(50):  # files are removed in the background; sums of the figures, some hundred bytes, may stay
+            held = [size for name, size in _shuffled(spark).items() if name not in earlier and size > 5_000]
+            if not held:
+                break
+            time.sleep(0.1)
+        written.append(label)
+        left.extend(held)
+        return path
+
+    monkeypatch.setattr(lm, "write_scratch", watched)
+    rng = random.Random(3)
+    docs = docs_table(spark, [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(100)])
+    conditions = F.col("doc_id") % 5 != 1, F.col("doc_id") % 5 == 1, F.col("doc_id") % 4 == 0
+    rows = lm.score(docs, *conditions).orderBy("doc_id").collect()
+    # an exchange for each order and each share of the blocks
+    assert written == ["lm-blocks", *["lm-counts"] * 3, *["lm-annotated"] * 4] and not left
+    assert spark.conf.get(setting, None) == before
+    monkeypatch.undo()
+    for row, whole in zip(rows, lm.score(docs, *conditions).orderBy("doc_id").collect(), strict=True):  # in one block and share
+        assert row[:-1] == whole[:-1] and row["score"] == pytest.approx(whole["score"], abs=1e-8)
